@@ -9,6 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package; a cluster without it installed takes --py-files instead."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    return spark
+
+
 def local_session(app: str = "tracewright", cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings a session."""
     spark = (
@@ -22,7 +33,7 @@ def local_session(app: str = "tracewright", cores: int | str = "*", partitions:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
