@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import exact_dedup as exact, toxicity as toxic
+from tracewright.llm import exact_dedup as exact, minhash, substring, toxicity as toxic
 
 
 def table(spark, sf_dir, name):
@@ -27,5 +27,13 @@ def op8_toxicity(spark, sf_dir):
     return toxic.toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
+def op4_substring_dedup(spark, sf_dir):
+    return substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_minhash_near_dedup(spark, sf_dir):
+    return minhash.minhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
 ORACLES = {"op5_exact_dedup": OP5_SQL}
