@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tracewright.llm import exact_dedup as exact, minhash, substring, toxicity as toxic
+from tracewright.llm import exact_dedup as exact, minhash, packing, substring, toxicity as toxic, warc
+
+
+def tokenizer_path(name="word_bpe_49k.json"):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark, sf_dir, name):
@@ -27,6 +33,14 @@ def op8_toxicity(spark, sf_dir):
     return toxic.toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def op3_warc_transactions(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,5 +49,6 @@ def op9_minhash_near_dedup(spark, sf_dir):
     return minhash.minhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
+# SHA-1 is not among DuckDB's functions, so op3 has brute-force tests instead
 ORACLES = {"op5_exact_dedup": OP5_SQL}
