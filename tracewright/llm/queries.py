@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import exact_dedup as exact, minhash, packing, substring, toxicity as toxic, warc
+from tracewright.llm import embeddings, exact_dedup as exact, minhash, packing, substring, toxicity as toxic, warc
 
 
 def tokenizer_path(name="word_bpe_49k.json"):
@@ -49,6 +49,10 @@ def op9_minhash_near_dedup(spark, sf_dir):
     return minhash.minhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
+def op7_embedding_near_dedup(spark, sf_dir):
+    return embeddings.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op7_embedding_near_dedup": op7_embedding_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
 # SHA-1 is not among DuckDB's functions, so op3 has brute-force tests instead
 ORACLES = {"op5_exact_dedup": OP5_SQL}
