@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import embeddings, exact_dedup as exact, minhash, packing, substring, toxicity as toxic, warc
+from tracewright.llm import embeddings, exact_dedup as exact, minhash, packing, sharding, substring, toxicity as toxic, url_filter, warc
 
 
 def tokenizer_path(name="word_bpe_49k.json"):
@@ -37,6 +37,31 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(32)], 3203
+
+
+def op2_sharding(spark, sf_dir):
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
+
+
+OP2_SQL = f"""
+WITH RECURSIVE s AS (
+  SELECT list(('0x' || substr(md5(n), 1, 8))::BIGINT % {SLOTS} ORDER BY i) AS at,
+         list(('0x' || substr(md5(n), 9, 8))::BIGINT % ({SLOTS} - 1) + 1 ORDER BY i) AS skip
+  FROM (SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS n FROM range({len(SHARDS)}) r(i))),
+fill AS (
+  SELECT 0 AS turn, list_resize([]::INT[], {SLOTS}, -1) AS owners, -1::BIGINT AS slot
+  UNION ALL
+  SELECT turn + 1, list_transform(owners, lambda o, k: CASE WHEN k = pick + 1 THEN turn % {len(SHARDS)} ELSE o END)::INT[], pick
+  FROM (SELECT f.turn, f.owners,
+               list_filter(list_transform(range({SLOTS}), lambda j: (s.at[f.turn % {len(SHARDS)} + 1] + j * s.skip[f.turn % {len(SHARDS)} + 1]) % {SLOTS}), lambda p: f.owners[p + 1] = -1)[1] AS pick
+        FROM fill f, s WHERE f.turn < {SLOTS}) x),
+t AS (SELECT slot, (turn - 1) % {len(SHARDS)} AS shard FROM fill WHERE turn > 0)
+SELECT doc_id, slot::INT AS slot, shard::INT AS shard, 'shard-' || lpad(shard::VARCHAR, 2, '0') AS shard_name
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {SLOTS} AS slot FROM documents) d JOIN t USING (slot)
+"""
+
+
 def op3_warc_transactions(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -53,6 +78,44 @@ def op7_embedding_near_dedup(spark, sf_dir):
     return embeddings.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op7_embedding_near_dedup": op7_embedding_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
+def op10_url_filter(spark, sf_dir):
+    """Pages fetched through January 2024 against lists that the events date: error and click block, others allow."""
+    from pyspark.sql import functions as F
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    minutes = F.pmod(F.col("page_id") * 7919, F.lit(43_200))
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1_704_067_200) + minutes * 60))
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    names = hosts.unionByName(hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("host"))).where("host <> ''").distinct()
+    names = names.withColumn("user_id", F.pmod(F.conv(F.substring(F.md5("host"), 1, 8), 16, 10).cast("long"), F.lit(150)))
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("entry_id"), F.pmod("user_id", F.lit(150)).alias("user_id"), F.col("ts").cast("timestamp").alias("at"), "event_type")
+    action = F.when(F.col("event_type").isin("error", "click"), "block").otherwise("allow")
+    entries = events.where("event_type <> 'view'").join(names, "user_id").select("entry_id", "host", "at", action.alias("action"))
+    out = url_filter.filter_urls(captures, entries, "page_id", "url", "fetched_at")
+    return out.withColumn("fetched_at", F.unix_seconds("fetched_at"))
+
+
+OP10_SQL = r"""
+WITH c AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '') AS host,
+         1704067200 + ((page_id * 7919) % 43200) * 60 AS t FROM pages),
+h AS (SELECT DISTINCT host FROM c WHERE host <> ''),
+n AS (
+  SELECT host, ('0x' || substr(md5(host), 1, 8))::BIGINT % 150 AS user_id
+  FROM (SELECT host FROM h UNION SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM h) WHERE host <> ''),
+e AS (
+  SELECT n.host, epoch_us(v.ts) AS since, max_by(CASE WHEN event_type IN ('error', 'click') THEN 'block' ELSE 'allow' END, event_id) AS action, max(event_id) AS entry_id
+  FROM events v JOIN n ON n.user_id = v.user_id % 150 WHERE event_type <> 'view' GROUP BY 1, 2),
+i AS (SELECT *, lead(since) OVER (PARTITION BY host ORDER BY since) AS until FROM e),
+f AS (
+  SELECT c.page_id, c.host, c.t, i.host AS listed, i.entry_id, i.action,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY length(i.host) DESC) AS k
+  FROM c JOIN i ON (c.host = i.host OR suffix(c.host, '.' || i.host)) AND i.since <= c.t * 1000000 AND (i.until IS NULL OR c.t * 1000000 < i.until))
+SELECT c.page_id, c.host, c.t AS fetched_at, f.entry_id, f.listed AS listed_host, f.action, coalesce(f.action <> 'block', true) AS allowed
+FROM c LEFT JOIN f ON f.page_id = c.page_id AND f.k = 1
+""".replace("\\\\", "\\")
+
+
+QUERIES = {"op2_sharding": op2_sharding, "op10_url_filter": op10_url_filter, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
 # SHA-1 is not among DuckDB's functions, so op3 has brute-force tests instead
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {"op2_sharding": OP2_SQL, "op10_url_filter": OP10_SQL, "op5_exact_dedup": OP5_SQL}
