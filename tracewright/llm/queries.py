@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import embeddings, exact_dedup as exact, minhash, packing, sharding, substring, toxicity as toxic, url_filter, warc
+from tracewright.llm import embeddings, exact_dedup as exact, minhash, packing, sampling, sharding, substring, toxicity as toxic, url_filter, warc
 
 
 def tokenizer_path(name="word_bpe_49k.json"):
@@ -74,6 +74,11 @@ def op9_minhash_near_dedup(spark, sf_dir):
     return minhash.minhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_sentencepiece_sampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sampling.sample_segmentations(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op7_embedding_near_dedup(spark, sf_dir):
     return embeddings.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -116,6 +121,6 @@ FROM c LEFT JOIN f ON f.page_id = c.page_id AND f.k = 1
 """.replace("\\\\", "\\")
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op10_url_filter": op10_url_filter, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
+QUERIES = {"op6_sentencepiece_sampling": op6_sentencepiece_sampling, "op2_sharding": op2_sharding, "op10_url_filter": op10_url_filter, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
 # SHA-1 is not among DuckDB's functions, so op3 has brute-force tests instead
 ORACLES = {"op2_sharding": OP2_SQL, "op10_url_filter": OP10_SQL, "op5_exact_dedup": OP5_SQL}
