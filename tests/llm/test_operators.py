@@ -1,0 +1,325 @@
+"""Each training-corpus operator against brute force, and its defined results for odd rows."""
+
+import base64
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tracewright.llm import embeddings, exact_dedup, minhash, packing, sampling, sharding, substring, toxicity, url_filter, warc
+from tracewright.llm.queries import SHARDS, SLOTS, tokenizer_path
+
+WHITE = " \t\n\x0b\x0c\r"
+RNG = random.Random(7)
+VOCAB = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randrange(2, 8))) for _ in range(400)]
+
+
+def prose(n, rng=RNG):
+    return " ".join(rng.choice(VOCAB) for _ in range(n))
+
+
+def corpus():
+    rng = random.Random(3)
+    passage, base = prose(70, rng), [prose(rng.randrange(3, 260), rng) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i in range(40, 60):
+        words = base[i - 40].split()
+        for _ in range(max(1, len(words) // 60)):
+            words[rng.randrange(len(words))] = "edited"
+        rows.append((i, " ".join(words)))
+    rows += [(i, prose(20, rng) + "\n" + passage + "\t" + prose(30, rng)) for i in range(60, 72)]
+    rows += [(80, base[1]), (81, base[1] + "  "), (82, " " + base[1]), (83, ""), (84, None), (85, " \n\t"), (86, "a"), (87, "be " * 400), (88, "be " * 300), (89, prose(4000, rng))]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "x", 1) for i, t in corpus()], "doc_id long, text string, id string, rep int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+def rows_of(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_exact_dedup(docs, nothing):
+    groups = defaultdict(list)
+    for i, t in corpus():
+        groups["".join(c for c in (t or "") if c not in WHITE)].append((-len(t or ""), i))
+    want = {i: (min(g)[1], len(g), min(g)[1] == i, hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for _, i in g}
+    got = rows_of(exact_dedup.exact_dedup(docs, capacity=4))
+    assert {i: tuple(r[1:]) for i, r in got.items()} == want
+    assert exact_dedup.exact_dedup(nothing).count() == 0
+
+
+def test_directory_splits_overfull_buckets_only(spark):
+    from tracewright.session import Scratch
+
+    entries = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    leaves = exact_dedup.directory(entries, Scratch(spark, "t"), 100)
+    bits = leaves.first()["bits"]
+    code = F.shiftrightunsigned("h", 64 - bits).alias("code")
+    held = entries.select(code).join(leaves, "code").groupBy("bucket", "depth").agg(F.count("*").alias("n"))
+    assert held.agg(F.sum("n")).first()[0] == 2000
+    assert held.agg(F.max("n")).first()[0] <= 100
+
+
+def windows_removed(rows):
+    first, out = {}, {}
+    words = {i: (t or "").encode().split() for i, t in rows}
+    for i in sorted(words):
+        for j in range(len(words[i]) - 49):
+            first.setdefault(tuple(words[i][j : j + 50]), i)
+    for i, w in words.items():
+        cover = [False] * len(w)
+        for j in range(len(w) - 49):
+            if first[tuple(w[j : j + 50])] < i:
+                cover[j : j + 50] = [True] * 50
+        kept = [x for x, c in zip(w, cover) if not c]
+        out[i] = (len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_substring_dedup(docs, nothing, hot, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", hot)
+    got = rows_of(substring.substring_dedup(docs))
+    assert {i: tuple(r[1:]) for i, r in got.items()} == windows_removed(corpus())
+    assert substring.substring_dedup(nothing).count() == 0
+
+
+def test_without_repeats_keeps_columns_and_untouched_texts(docs):
+    out = substring.without_repeats(docs)
+    assert out.columns == docs.columns
+    removed = windows_removed(corpus())
+    texts = dict(corpus())
+    got = rows_of(out)
+    assert set(got) == {i for i, (n, gone, _) in removed.items() if not gone or gone < n}
+    assert all(got[i]["text"] == texts[i] for i in got if not removed[i][1])
+
+
+def shingles(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def linked(sets):
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("crowded", [2048, 3])
+def test_minhash_dedup(docs, nothing, crowded):
+    sets = {i: shingles(t) for i, t in corpus()}
+    want = linked(sets)
+    got = rows_of(minhash.minhash_dedup(docs, crowded=crowded))
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
+    assert minhash.minhash_dedup(nothing).count() == 0
+
+
+def test_minhash_near_copies_without_a_hub(spark):
+    """Copies of one text, each with edits of its own: only some pairs are links."""
+    rng = random.Random(11)
+    base, rows = prose(300, rng).split(), []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.choice([4, 8, 12])):
+            words[rng.randrange(300)] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    got = rows_of(minhash.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.component_id for i, r in got.items()} == linked({i: shingles(t) for i, t in rows})
+
+
+def test_packing(docs, nothing):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    whole, want = Tokenizer.from_file(path), {}
+    for i, t in corpus():
+        ids = whole.encode(t or "", add_special_tokens=False).ids + [0]
+        for piece, start in enumerate(range(0, len(ids), 2048)):
+            part = ids[start : start + 2048]
+            want[i, piece] = (start, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    rows = packing.pack(docs, path).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want
+    at = defaultdict(list)
+    for r in rows:
+        at[r.sequence_id].append((r.offset, r.length))
+    for places in at.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(at) <= math.ceil(sum(r.length for r in rows) / 2048) + 2
+    assert packing.pack(nothing, path).count() == 0
+
+
+def test_best_fit_is_valid():
+    sizes = np.array([RNG.randrange(1, 101) for _ in range(500)])
+    bins, offsets, fills = packing.best_fit(sizes, 100)
+    assert fills.max() <= 100 and fills.sum() == sizes.sum()
+    assert len(fills) <= math.ceil(sizes.sum() / 100 * 1.05) + 1
+
+
+def test_warc_round_trip(spark):
+    pages = [(3, "http://a.b/c?d=1", "<p>é</p>"), (1, "http://x.y/", "same"), (2, None, "same"), (9, "u\r\nv", None), (8, "http://e.f", ""), (None, "http://n", "same"), (5, "http://w", "WARC/1.0\r\n\r\nbody\r\n\r\n")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("size", F.lit("clash"))
+    want = {}
+    first = {}
+    for p, _, h in sorted((x for x in pages if x[0] is not None), key=lambda x: x[0]):
+        first.setdefault(h or "", p)
+    for p, _, h in pages:
+        data = (h or "").encode()
+        again = p is not None and first[h or ""] < p
+        want[p] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None)
+    got = rows_of(warc.round_trip(df.repartition(2)), "page_id")
+    assert {p: tuple(r[1:]) for p, r in got.items()} == want
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_capture_holds_the_payload(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a.b/c", "one"), (2, "http://a.b/d", "one")], "page_id long, url string, html string")
+    warc.write_warc(df, f"{tmp_path}/w")
+    rows = {r.uri: r for r in warc.assemble(warc.read_warc(spark, f"{tmp_path}/w")).collect()}
+    assert bytes(rows["http://a.b/c"].response.payload) == b"one"
+    assert rows["http://a.b/d"].response.type == "revisit" and rows["http://a.b/d"].stored.payload_bytes == 3
+    assert rows["http://a.b/c"].metadata.fields["page-id"] == "1"
+
+
+def test_embedding_dedup(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "RESIDENTS", 8)
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    rng = np.random.default_rng(1)
+    rows = []
+    for c in range(30):
+        centre = rng.standard_normal(24)
+        for _ in range(6):
+            rows.append((len(rows), (centre + rng.standard_normal(24) * rng.choice([0.05, 0.3])).astype(np.float32).tolist()))
+    rows += [(len(rows) + k, rows[0][1]) for k in range(50)]
+    n = len(rows)
+    odd = [(n, None), (n + 1, []), (n + 2, [0.0] * 24), (n + 3, [float("nan")] * 24), (n + 4, [1.0, None]), (n + 5, [1.0, 2.0]), (n + 6, [2.0, 4.0])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").repartition(3)
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = np.arange(n)
+    while True:
+        new = np.array([min([label[i], *label[near[i]]]) for i in range(n)])
+        if (new == label).all():
+            break
+        label = new
+    want = {i: (int(near[i].sum()), int(label[i])) for i in range(n)} | {n + k: (0, n + k) for k in range(5)} | {n + 5: (1, n + 5), n + 6: (1, n + 5)}
+    got = rows_of(embeddings.embedding_dedup(df), "vec_id")
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == want
+    assert embeddings.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_toxicity_learns_without_held_out_labels(spark, nothing):
+    rng = random.Random(2)
+    docs, labels = [], []
+    for i in range(1500):
+        toxic = rng.random() < 0.2
+        text = prose(30, rng) + (" " + rng.choice(["vile", "nasty", "rotten"]) if toxic else "")
+        docs.append((i, text))
+        if i % 2:
+            labels.append((i, int(toxic)))
+    docs += [(9001, None), (9002, "")]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = rows_of(toxicity.toxicity(d, lab))
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    right = [got[i].predicted == t for i, t in labels if got[i].held_out]
+    assert sum(right) / len(right) > 0.97
+    flipped = lab.withColumn("toxic", F.when(toxicity.fold("doc_id", 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = rows_of(toxicity.toxicity(d, flipped))
+    assert all(abs(again[i].score - got[i].score) < 1e-9 for i in got)
+    assert toxicity.toxicity(nothing, lab).count() == 0
+    assert {r.predicted for r in toxicity.toxicity(d, lab.limit(0)).collect()} == {0}
+
+
+def test_sharding_table_is_balanced_and_stable():
+    table = sharding.fill(SHARDS, SLOTS)
+    held = Counter(table)
+    assert max(held.values()) - min(held.values()) <= 1
+    fewer = sharding.fill(SHARDS[:-1], SLOTS)
+    moved = sum(a != b for a, b in zip(table, fewer) if a != len(SHARDS) - 1)
+    assert moved < 0.15 * SLOTS
+    with pytest.raises(ValueError):
+        sharding.fill(SHARDS, 3200)
+
+
+def test_sharding_places_every_row(docs):
+    out = sharding.place(docs.select("doc_id", F.lit("x").alias("slot")), "doc_id", SHARDS, SLOTS)
+    assert out.count() == docs.count() and out.where("shard is null").count() == 0
+
+
+def test_url_filter_uses_entries_in_force(spark):
+    captures = spark.createDataFrame(
+        [(1, "http://A.b.com:80/x", 10), (2, "https://b.com/", 20), (3, "http://b.com/", 35), (4, None, 10), (5, "http://c.org", None), (6, "http://ab.com", 15), (6, "http://ab.com", 15)], "id long, url string, s long"
+    ).withColumn("t", F.timestamp_seconds("s"))
+    entries = spark.createDataFrame([(1, "b.com", 5, "block"), (2, "b.com", 30, "allow"), (3, "a.b.com", 10, "allow"), (4, "c.org", 0, "block"), (5, None, 0, "block")], "entry_id long, host string, s long, action string")
+    entries = entries.withColumn("at", F.timestamp_seconds("s"))
+    got = [(r.id, r.entry_id, r.allowed) for r in url_filter.filter_urls(captures, entries, "id", "url", "t", period=7).collect()]
+    assert sorted(got, key=str) == sorted([(1, 3, True), (2, 1, False), (3, 2, True), (4, None, True), (5, None, True), (6, None, True), (6, None, True)], key=str)
+
+
+def test_sampling_is_exact_on_short_texts():
+    voc = sampling.vocabulary(tokenizer_path("piece_bpe_32k.model"), 0.3)
+
+    def segmentations(s):
+        if not s:
+            yield (), 0.0
+        for n in range(1, len(s) + 1):
+            h = np.zeros(1, np.uint64)
+            for c in s[:n]:
+                h = voc.step(h, np.array([ord(c)]))
+            if (i := int(voc.find(h)[0])) >= 0:
+                for rest, w in segmentations(s[n:]):
+                    yield (i, *rest), w + voc.weight[i]
+
+    every = list(segmentations(" the on"))
+    total = np.logaddexp.reduce([w for _, w in every])
+    p = {s: math.exp(w - total) for s, w in every}
+    n = 20_000
+    found = sampling.sample_texts(voc, ["the on"] * n, np.arange(n), 2)
+    pairs = Counter(tuple(tuple(r[0].tolist()) for r in x) for x in found)
+    assert all(a != b for a, b in pairs)
+    assert max(abs(pairs[a, b] / n - p[a] * p[b] / (1 - p[a])) for a in p for b in p if a != b) < 0.012
+    assert abs(np.mean([sum(math.exp(r[1] - r[2]) for r in x) for x in found]) - 1) < 0.03  # inverse inclusion weights are unbiased
+
+
+def test_sampling_round_trips_and_decodes(docs, spark, nothing):
+    path = tokenizer_path("piece_bpe_32k.model")
+    extra = spark.createDataFrame([(500, "日本 😀 x\ty  z "), (501, "x" * 3000)], "doc_id long, text string")
+    rows = sampling.sample_segmentations(docs.select("doc_id", "text").union(extra), path)
+    out = sampling.decode(rows, path).collect()
+    texts = dict(corpus()) | {500: "日本 😀 x\ty  z ", 501: "x" * 3000}
+    assert all(r.round_trip and r.text == (texts[r.doc_id] or "") for r in out)
+    again = {(r.doc_id, r.sample): r.ids_crc32 for r in sampling.sample_segmentations(docs.select("doc_id", "text").repartition(7), path).collect()}
+    assert all(again[k] == v for k, v in (((r.doc_id, r.sample), r.ids_crc32) for r in out) if k in again)
+    assert sampling.sample_segmentations(nothing, path).count() == 0

@@ -1,0 +1,17 @@
+import corpus_pipeline
+
+
+def test_stages_keep_columns_and_take_effect(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, n = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = docs.sparkSession.createDataFrame(stage(spark, docs, sf).toArrow())
+        assert docs.columns == columns
+        assert 0 < docs.count() <= n
+        n = docs.count()
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_stage_names():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "minhash_dedup", "substring_dedup", "best_fit_packing"]
