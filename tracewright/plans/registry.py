@@ -30,7 +30,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _modules() -> None:
-    from tracewright.plans import aggregates, catalog, selections  # noqa: F401
+    from tracewright.plans import aggregates, catalog, joins, selections, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
