@@ -4,16 +4,20 @@ A document's set holds its distinct 5-word shingles (the whole word sequence whe
 lower-cased). Its signature has 36 symbols of 32 bits, each the low half of one minimum hash. Two sets of
 Jaccard similarity s differ in a symbol with probability 1 - s, so at 0.75 in 9 of 36 on average; the
 distance threshold is 19, which a pair at 0.75 exceeds with a probability of about 1e-4, pairs above it
-far less often. The signature is cut into 12 chunks of 3 symbols. By pigeonhole a pair within distance 19
+far less often. (A further 124 symbols of 8 bits are only compared: 67 of all 160 may differ, five standard
+deviations above the mean at 0.75, which keeps most pairs far below 0.75 from the exact check.) It is cut into 12 chunks of 3 symbols. By pigeonhole a pair within distance 19
 has at most one wrong symbol in at least 3 chunks, so indexing every chunk under each of its patterns with
 one symbol left out (36 keys a document) finds all pairs within the threshold. Links are then confirmed on
 the full sets, so no false link survives.
 
 Work stays linear in groups of copies: equal sets are one representative; the rows of an index bucket are
-first paired with its smallest id only, confirmed, and joined into components; then only pairs of a bucket
-whose components still differ are looked at, those nearest to another component first. Buckets of more
-than ``crowded`` rows with several components are split by the keys of a further chunk, up to twice, which
-the three good chunks allow without losing a pair. Tables between the steps lie in the shared folder.
+first paired with its smallest id only, confirmed, and joined into components. Of the rows of a bucket whose
+components still differ, each task keeps a spanning forest of the pairs near enough, not the pairs; the forests
+connect clusters, and a cluster's members are compared in tiles, nearest pairs first, where a pair whose
+components have been joined is passed over and only links are handed on. Documents that stay just below 0.75 to
+each other are the one case that costs a comparison (no row) for each pair. Buckets of more than ``crowded``
+rows with several components are split by the keys of a further chunk, up to twice, which the three good chunks
+allow without losing a pair. Tables between the steps lie in the shared folder.
 
 Defined results: null texts, and texts without words, have an empty set and link with nothing; rows that
 repeat an id are one document; a row with a null id links with nothing and has a null component.
@@ -22,6 +26,7 @@ repeat an id are one document; a row with a null id links with nothing and has a
 from __future__ import annotations
 
 from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +37,11 @@ from tracewright.operators.graph import components
 from tracewright.session import Scratch
 
 WORDS, SYMBOLS, CHUNK, FAR = 5, 36, 3, 19
+CHECKS, FAR_ALL = 124, 67  # further symbols of 8 bits, and the distance allowed over all 160
+TILE = 400  # documents of a cluster that a tile compares with as many others
 SMALL_SIDE = 200_000  # ids; a larger side is never broadcast
-_salt = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=U64))
-XORS, FACTORS = _salt[:SYMBOLS], _salt[SYMBOLS:] | U64(1)
+_salt = mix(np.arange(1, 2 * (SYMBOLS + CHECKS) + 1, dtype=U64))
+XORS, FACTORS = _salt[::2], _salt[1::2] | U64(1)
 
 
 def shingle_sets(array: pa.Array) -> list[np.ndarray]:
@@ -57,14 +64,18 @@ def shingle_sets(array: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of SYMBOLS 32-bit symbols for each set, none of them empty."""
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, none of them empty, SYMBOLS symbols of 32 bits and CHECKS of 8 bits."""
     flat = np.concatenate(sets)
     begin = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    out = np.empty((len(sets), SYMBOLS), np.uint32)
-    for k in range(SYMBOLS):
-        out[:, k] = np.minimum.reduceat((flat ^ XORS[k]) * FACTORS[k], begin).astype(np.uint32)
-    return out
+    symbols, checks = np.empty((len(sets), SYMBOLS), np.uint32), np.empty((len(sets), CHECKS), np.uint8)
+    for k in range(SYMBOLS + CHECKS):
+        least = np.minimum.reduceat((flat ^ XORS[k]) * FACTORS[k], begin)
+        if k < SYMBOLS:
+            symbols[:, k] = least.astype(np.uint32)
+        else:
+            checks[:, k - SYMBOLS] = least.astype(np.uint8)
+    return symbols, checks
 
 
 def index_keys(symbols: np.ndarray) -> np.ndarray:
@@ -85,10 +96,10 @@ def _sketch(batches):
         marks = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         sig, keys = [None] * len(sets), np.zeros((0, SYMBOLS), np.int64)
         if len(full):
-            symbols = signatures([sets[i] for i in full])
+            symbols, checks = signatures([sets[i] for i in full])
             keys = index_keys(symbols)
-            for i, row in zip(full, symbols):
-                sig[i] = row.tobytes()
+            for i, row, more in zip(full, symbols, checks):
+                sig[i] = row.tobytes() + more.tobytes()
         at = np.concatenate(([0], np.cumsum((size > 0) * SYMBOLS))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(marks, pa.binary()), pa.array(sig, pa.binary()), lists], ["id", "n", "mark", "sig", "keys"])
@@ -99,41 +110,61 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["id", "grams"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SYMBOLS)
+def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * SYMBOLS + CHECKS)
+    return np.ascontiguousarray(rows[:, : 4 * SYMBOLS]).view(np.uint32), rows[:, 4 * SYMBOLS :]
+
+
+def _within(a, i, b, j) -> np.ndarray:
+    """Which of the pairs of rows i of a and j of b are near enough, and how far they are (over all symbols)."""
+    far = (a[0][i] != b[0][j]).sum(1)
+    ok = np.flatnonzero(far <= FAR)
+    whole = far[ok] + (a[1][i[ok]] != b[1][j[ok]]).sum(1)
+    return ok[whole <= FAR_ALL], whole[whole <= FAR_ALL]
 
 
 def _near(batches):
     """Pairs within the distance threshold."""
     for batch in batches:
         if batch.num_rows:
-            far = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(far <= FAR))
+            every = np.arange(batch.num_rows)
+            ok, _ = _within(_matrix(batch.column(2)), every, _matrix(batch.column(3)), every)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok))], ["a", "b"])
+
+
+def _roots(root: np.ndarray, x: np.ndarray) -> np.ndarray:
+    x = root[x]
+    while (root[x] != x).any():
+        x = root[x]
+    return x
 
 
 def _crossing(batches):
-    """Of rows sorted by key, the pairs of a key within the threshold whose components differ.
+    """Of rows sorted by key, a spanning forest of the pairs of a key that are near enough and in different components.
 
     Rows are compared with those 1, 2, 3, ... places further on, all keys at once.
     """
 
-    def pairs(rows: pa.Table):
+    def forest(rows: pa.Table):
         key, id, group = (rows.column(k).to_numpy() for k in ("key", "id", "component"))
-        symbols = _matrix(rows.column("sig").combine_chunks())
+        signed, root = _matrix(rows.column("sig")), np.arange(len(key))
         at, step = np.arange(len(key)), 1
         while True:
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
             if not len(at):
                 return
-            for part in np.array_split(at, 1 + len(at) // 200_000):
+            for part in np.array_split(at, 1 + len(at) // 100_000):
                 part = part[group[part] != group[part + step]]
-                far = (symbols[part] != symbols[part + step]).sum(1)
-                part, far = part[far <= FAR], far[far <= FAR]
-                if len(part):
-                    x, y = part, part + step
-                    x, y = np.where(id[x] < id[y], x, y), np.where(id[x] < id[y], y, x)
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (id[x], id[y], group[x], group[y], far.astype(np.int32))], ["a", "b", "ca", "cb", "far"])
+                ok, _ = _within(signed, part, signed, part + step)
+                x, y = part[ok], part[ok] + step
+                while len(x):
+                    a, b = _roots(root, x), _roots(root, y)
+                    x, y, a, b = (v[a != b] for v in (x, y, a, b))
+                    high, first = np.unique(np.maximum(a, b), return_index=True)
+                    root[high] = np.minimum(a, b)[first]
+                    if len(first):
+                        yield pa.RecordBatch.from_arrays([pa.array(id[x[first]]), pa.array(id[y[first]])], ["a", "b"])
             step += 1
 
     held: list[pa.RecordBatch] = []
@@ -148,26 +179,68 @@ def _crossing(batches):
         table = pa.Table.from_batches(held)
         key = table.column("key").to_numpy()
         cut = int(np.searchsorted(key, key[-1]))
-        yield from pairs(table.slice(0, cut))
+        yield from forest(table.slice(0, cut))
         held, rows = table.slice(cut).to_batches(), len(key) - cut
     if held:
-        yield from pairs(pa.Table.from_batches(held))
+        yield from forest(pa.Table.from_batches(held))
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """100 * intersection >= 75 * union, of sorted distinct hashes."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < 75 * len(b) or not len(a):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= 75 * (len(a) + len(b) - both)
+
+
+def _tile(rows: list[tuple]):
+    """Links of one tile between components that are not joined yet, nearest pairs first."""
+    _, i, j, id, slot, group, sig, grams = zip(*rows)
+    slot, signed = np.array(slot), _matrix(pa.array(sig, pa.binary()))
+    sets, place = [np.frombuffer(g, U64) for g in grams], {}
+    group = np.array([place.setdefault(g, len(place)) for g in group])
+    x, y = np.triu_indices(len(rows), 1) if i[0] == j[0] else (v.ravel() for v in np.meshgrid(np.flatnonzero(slot == i[0]), np.flatnonzero(slot == j[0]), indexing="ij"))
+    open_ = group[x] != group[y]
+    ok, far = _within(signed, x[open_], signed, y[open_])
+    order = np.argsort(far, kind="stable")
+    x, y, root = x[open_][ok[order]], y[open_][ok[order]], list(range(len(place)))
+
+    def find(g):
+        while root[g] != g:
+            root[g] = root[root[g]]
+            g = root[g]
+        return g
+
+    for a, b in zip(x.tolist(), y.tolist()):
+        p, q = find(int(group[a])), find(int(group[b]))
+        if p != q and _similar(sets[a], sets[b]):
+            root[max(p, q)] = min(p, q)
+            yield id[a], id[b]
+
+
+def _tiles(batches):
+    """Rows come sorted by tile; each tile is settled when its last row is there."""
+
+    def rows():
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    out = []
+    for _, tile in groupby(rows(), key=lambda r: r[:3]):
+        out += _tile(list(tile))
+        if len(out) > 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
 
 def _exact(batches):
-    """Links: 100 * intersection >= 75 * union on the full sets."""
+    """The pairs whose full sets are similar enough."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            if len(a) > len(b):
-                a, b = b, a
-            if 100 * len(a) < 75 * len(b) or not len(a):
-                keep.append(False)
-                continue
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            keep.append(100 * both >= 75 * (len(a) + len(b) - both))
+        keep = [_similar(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in zip(batch.column(2), batch.column(3))]
         if keep:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
@@ -190,26 +263,26 @@ class Join:
         keyed = self.unique.select("id", F.posexplode("keys").alias("pos", "key"))
         rows = save(self.buckets(keyed.withColumn("component", F.col("id"))), "rows")
         stars = rows.where("id <> least_id").select(F.col("least_id").alias("a"), F.col("id").alias("b")).distinct()
-        tried = save(self.near(stars), "stars")
-        links = self.confirmed(tried)
+        links = self.confirmed(save(self.near(stars), "stars"))
         grouped = components(links)
-        crossing = self.crossing(self.labelled(rows.drop("component"), grouped), grouped)
-        fresh = save(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
-        if fresh.isEmpty():
+        # rows whose components still differ but that are near: clusters of them, and their pairs in tiles
+        forest = save(self.crossing(self.labelled(rows.drop("component"), grouped)), "forest")
+        found = self.tiled(components(forest).toDF("id", "cluster"), grouped)
+        if found.isEmpty():
             return self.sketch, grouped
-        # the nearest partner in each other component first; most of the rest is settled by that
-        lead = fresh.groupBy("a", "cb").agg(F.min(F.struct("far", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-        back = fresh.groupBy("b", "ca").agg(F.min(F.struct("far", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-        nearest = save(lead.unionByName(back).distinct(), "nearest")
-        links = links.unionByName(self.confirmed(nearest))
-        grouped = components(links)
-        left = fresh.select("a", "b").join(nearest, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            left = self.labelled(left.withColumnRenamed(side, "id"), grouped, f"c{side}").withColumnRenamed("id", side)
-        left = save(left.where("ca <> cb").select("a", "b"), "left")
-        if left.isEmpty():
-            return self.sketch, grouped
-        return self.sketch, components(links.unionByName(self.confirmed(left)))
+        stars = grouped.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return self.sketch, components(stars.unionByName(found))
+
+    def tiled(self, clusters: DataFrame, grouped: DataFrame) -> DataFrame:
+        """Links within clusters, whose members are dealt to slots; a tile compares two slots, or one with itself."""
+        clusters = self.scratch.save(clusters, "clusters")
+        slots = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("slots"))
+        rows = self.labelled(clusters, grouped).join(slots, "cluster").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
+        rows = rows.join(self.unique.select("id", "sig"), "id").join(self.sets(clusters.select("id")), "id")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        rows = rows.select("cluster", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "id", "slot", "component", "sig", "grams")
+        tiles = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+        return self.scratch.save(tiles.mapInArrow(_tiles, "a long, b long"), "links")
 
     def labelled(self, rows: DataFrame, grouped: DataFrame, name: str = "component") -> DataFrame:
         found = grouped.select("id", F.col("component").alias("found"))
@@ -220,7 +293,8 @@ class Join:
         shared = keyed.groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         return keyed.join(shared.where("lo <> hi").drop("lo", "hi"), "key")
 
-    def crossing(self, rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    def crossing(self, rows: DataFrame) -> DataFrame:
+        """Edges that span, bucket by bucket, the pairs near enough whose components differ."""
         found, rows = [], self.scratch.save(self.buckets(rows.select("key", "pos", "id", "component")), "mixed")
         for _ in range(2):
             found.append(rows.where(F.col("held") <= self.crowded))
@@ -237,19 +311,22 @@ class Join:
         for more in found[1:]:
             every = every.unionByName(more.select("key", "id", "component"))
         signed = every.join(self.unique.select("id", "sig"), "id").select("key", "id", "component", "sig")
-        dealt = signed.repartition("key").sortWithinPartitions("key", "id")
-        return dealt.mapInArrow(_crossing, "a long, b long, ca long, cb long, far int").distinct()
+        return signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_crossing, "a long, b long")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         sig = self.unique.select("id", "sig")
         both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         return both.mapInArrow(_near, "a long, b long")
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, grams) of the documents with these ids."""
+        ids = self.scratch.save(ids.distinct(), "ids")
+        wanted = F.broadcast(ids) if ids.count() <= SMALL_SIDE else ids
+        return self.scratch.save(self.docs.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, grams binary").dropDuplicates(["id"]), "sets")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
-        ids = self.scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        wanted = F.broadcast(ids) if ids.count() <= SMALL_SIDE else ids
-        sets = self.scratch.save(self.docs.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, grams binary").dropDuplicates(["id"]), "sets")
+        sets = self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
         both = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
         links = self.scratch.save(both.mapInArrow(_exact, "a long, b long"), "links")
         self.scratch.drop(sets)
