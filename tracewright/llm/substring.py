@@ -9,8 +9,8 @@ compressed FM-index (BWT in a wavelet matrix) of its pieces and streams them thr
 yields for every window the suffix interval of its 50 words, and the least document id in it.
 
 Skew: documents with the same words are one representative (each further copy repeats it wholly); anchors
-that more than ``HOT`` documents share are dealt by the hash of the whole window instead, one piece a
-window, so that a passage found in any number of documents is collapsed before the shuffle; shards are
+that more than ``HOT`` documents share, about as many as a task can index at once, are dealt by the hash of the
+whole window instead, one piece a window; a piece that a document repeats is one row with its places; shards are
 built one after another at ``SHARD_WORDS`` words, whatever a task holds.
 
 Defined results: null texts have no words; rows that repeat an id are judged by their own text and never
@@ -19,18 +19,19 @@ remove words from each other; a row with a null id is left as it is and removes
 
 from __future__ import annotations
 
-from hashlib import sha256
+from hashlib import blake2b, sha256
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tracewright.llm.fmindex import FMIndex
 from tracewright.llm.words import U64, Words, mix, slices, sliding_min
 from tracewright.session import Scratch
 
-WINDOW, GRAM, LONGEST_RUN, HOT, SHARD_WORDS = 50, 8, 64, 1000, 400_000
+WINDOW, GRAM, LONGEST_RUN, HOT, SHARD_WORDS = 50, 8, 64, 20_000, 400_000
 EMPTY = sha256(b"").digest()
 
 
@@ -42,45 +43,55 @@ def digest(raw: bytes) -> bytes:
     return sha256(b" ".join(raw.split())).digest()
 
 
+def _runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of windows with one anchor: text, anchor, first word, number of windows."""
+    least = sliding_min(w.grams(GRAM), WINDOW - GRAM + 1)
+    at = np.flatnonzero(w.whole(WINDOW))
+    doc = np.repeat(np.arange(len(w.counts)), w.counts)[at]
+    value, fresh = least[at], np.ones(len(at), bool)
+    fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+    begin = np.flatnonzero(fresh)
+    place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+    begin = np.flatnonzero(place % LONGEST_RUN == 0)
+    return doc[begin], value[begin].view(np.int64), at[begin], np.diff(np.append(begin, len(at)))
+
+
 def _scan(batches):
     for batch in slices(batches, "text"):
         w = Words(batch.column(1))
         raw = memoryview(w.raw)
         marks = [digest(bytes(raw[a:b])) for a, b in zip(w.text_at[:-1], w.text_at[1:])]
-        least = sliding_min(w.grams(GRAM), WINDOW - GRAM + 1)
-        at = np.flatnonzero(w.whole(WINDOW))
-        doc = np.repeat(np.arange(batch.num_rows), w.counts)[at]
-        value, fresh = least[at], np.ones(len(at), bool)
-        fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-        begin = np.flatnonzero(fresh)
-        place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-        begin = np.flatnonzero(place % LONGEST_RUN == 0)
-        size = np.diff(np.append(begin, len(at))).astype(np.int32)
-        runs = _list(np.searchsorted(doc[begin], np.arange(batch.num_rows + 1)), h=value[begin].view(np.int64), start=(at[begin] - w.first[doc[begin]]).astype(np.int32), n=size)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.counts.astype(np.int64)), pa.array(marks, pa.binary()), runs], ["id", "n_words", "mark", "runs"])
+        doc, anchor, _, _ = _runs(w)
+        ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        each = [np.unique(anchor[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
+        anchors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.counts.astype(np.int64)), pa.array(marks, pa.binary()), anchors], ["id", "n_words", "mark", "anchors"])
 
 
 def _cut(batches):
-    """The pieces of candidate documents; rows of another text under the same id are passed over."""
+    """The pieces of candidate texts. A task tells the words of a piece once, and then only its digest."""
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
+    told = set()
     for batch in slices(batches, "text"):
         w = Words(batch.column(1))
-        raw, hashes = memoryview(w.raw), w.hash
-        window = w.grams(WINDOW)
-        out = []
-        for i in range(batch.num_rows):
-            if digest(bytes(raw[w.text_at[i] : w.text_at[i + 1]])) != batch.column(2)[i].as_py():
+        raw, hashes, window, out = memoryview(w.raw), w.hash, w.grams(WINDOW).view(np.int64), {}
+        ids = batch.column(0).to_pylist()
+        rows = [int.from_bytes(digest(bytes(raw[a:b]))[:8], "little", signed=True) for a, b in zip(w.text_at[:-1], w.text_at[1:])]
+        shared = [{x["h"]: x["hot"] for x in row} for row in batch.column(2).to_pylist()]
+        for doc, anchor, at, n in zip(*(x.tolist() for x in _runs(w))):
+            hot = shared[doc].get(anchor)
+            if hot is None:
                 continue
-            base, id, mark = int(w.first[i]), batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-            for run in batch.column(3)[i].as_py():
-                at = base + run["start"]
-                if run["hot"]:
-                    for j in range(at, at + run["n"]):
-                        out.append((int(window[j].astype(np.int64)), id, mark, j - base, hashes[j : j + WINDOW].tobytes()))
-                else:
-                    out.append((run["h"], id, mark, run["start"], hashes[at : at + run["n"] + WINDOW - 1].tobytes()))
-        for at in range(0, len(out), 5000):
-            cols = list(zip(*out[at : at + 5000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))], ["key", "id", "mark", "start", "words"])
+            for key, start, size in [(int(window[j]), j, WINDOW) for j in range(at, at + n)] if hot else [(anchor, at, n + WINDOW - 1)]:
+                words = hashes[start : start + size].tobytes()
+                piece = blake2b(words, digest_size=16).digest()
+                same = out.setdefault((doc, key, piece), ([], None if piece in told else words))
+                same[0].append(start - int(w.first[doc]))
+                told.add(piece)
+        lines = [(key, piece, ids[doc], rows[doc], starts, words) for (doc, key, piece), (starts, words) in out.items()]
+        for at in range(0, len(lines), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines[at : at + 5000]), kinds)], ["key", "piece", "id", "row", "starts", "words"])
 
 
 def _shards(batches):
@@ -102,7 +113,7 @@ def _shards(batches):
 def _parts(table: pa.Table) -> list[pa.Table]:
     """A table cut at key boundaries to SHARD_WORDS; one key with more stays whole, and so does the last key."""
     key = table.column("key").to_numpy()
-    total = np.concatenate(([0], np.cumsum([len(x.as_buffer()) // 8 for x in table.column("words")])))
+    total = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(table.column("words")), 0).to_numpy() // 8)))
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     cuts = [0]
     for at, nxt in zip(heads, [*heads[1:], len(key)]):
@@ -119,8 +130,20 @@ def _search(batches):
 
 
 def _search_one(table: pa.Table):
-    texts = [np.frombuffer(x.as_buffer(), U64) for c in table.column("words").chunks for x in c]
-    first, last = table.column("first").to_numpy(), table.column("last").to_numpy()
+    """Equal pieces collapse to one with its least and greatest id; then the shard is indexed and searched."""
+    place, keys, texts, first, last = {}, [], [], [], []
+    for key, piece, id, words in zip(*(table.column(c).to_pylist() for c in ("key", "piece", "id", "words"))):
+        k = place.setdefault((key, piece), len(texts))
+        if k == len(texts):
+            keys.append(key)
+            texts.append(words)
+            first.append(id)
+            last.append(id)
+        else:
+            texts[k] = texts[k] or words
+            first[k], last[k] = min(first[k], id), max(last[k], id)
+    pieces = [piece for _, piece in place]
+    texts, first, last = [np.frombuffer(t, U64) for t in texts], np.array(first), np.array(last)
     size = np.array([len(t) for t in texts])
     start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
     codes = np.zeros(int((size + 1).sum()), np.int64)
@@ -137,18 +160,17 @@ def _search_one(table: pa.Table):
     begin = np.flatnonzero(fresh)
     own, counts = np.unique(text[begin], return_counts=True)
     runs = _list(np.concatenate(([0], np.cumsum(counts))), at=at[begin].astype(np.int32), n=np.diff(np.append(begin, len(text))).astype(np.int32), least=least[begin])
-    kept = table.select(["key", "piece"]).take(pa.array(own)).combine_chunks()
-    columns = [kept.column(c).cast(t).combine_chunks() for c, t in (("key", pa.int64()), ("piece", pa.binary()))]
-    return pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks or [pa.array([], c.type)]) for c in columns), runs], ["key", "piece", "found"])
+    return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in own], pa.int64()), pa.array([pieces[k] for k in own], pa.binary()), runs], ["key", "piece", "found"])
 
 
 def _keep(batches):
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.string())
     for batch in batches:
         rows = []
-        for id, mark, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            raw = (text or "").encode()
-            words = raw.split()
-            if sha256(b" ".join(words)).digest() != mark:
+        for id, text, row, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            words = (text or "").encode().split()
+            mark = sha256(b" ".join(words)).digest()
+            if int.from_bytes(mark[:8], "little", signed=True) != row:
                 continue
             cover = np.zeros(len(words) + 1, np.int64)
             for run in runs:
@@ -158,7 +180,7 @@ def _keep(batches):
             kept = b" ".join(compress(words, keep))
             rows.append((id, mark, len(words) - int(keep.sum()), sha256(kept).digest(), kept.decode()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.string()))], ["id", "mark", "n_removed", "kept_mark", "kept_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["id", "mark", "n_removed", "kept_mark", "kept_text"])
 
 
 class Search:
@@ -171,28 +193,28 @@ class Search:
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(id, n_words, mark, copy) of every row, and the changed rows (id, mark, n_removed, kept_mark, kept_text)."""
         save = self.scratch.save
-        scan = save(self.docs.mapInArrow(_scan, "id long, n_words long, mark binary, runs array<struct<h:bigint,start:int,n:int>>"), "scan")
-        first = scan.where("id is not null").groupBy("mark").agg(F.min("id").alias("first"))
-        rows = scan.join(first, "mark", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
-        own = save(rows.where("not copy and id is not null and size(runs) > 0").select("id", "mark", F.explode("runs").alias("r")).select("id", "mark", "r.*"), "runs")
+        scan = save(self.docs.mapInArrow(_scan, "id long, n_words long, mark binary, anchors array<bigint>"), "scan")
+        facts = scan.select("id", "n_words", "mark")
+        first = facts.where("id is not null").groupBy("mark").agg(F.min("id").alias("first"))
+        rows = facts.join(first, "mark", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+        leading = scan.where("size(anchors) > 0").join(first, (scan.mark == first.mark) & (scan.id == first["first"]), "left_semi")
+        own = save(leading.select("id", F.explode("anchors").alias("h")), "anchors")
         shared = own.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("held")).where("lo < hi")
-        shared = shared.select("h", (F.col("held") > HOT).alias("hot"))
-        spans = own.distinct().join(shared, "h").groupBy("id", "mark").agg(F.collect_list(F.struct("start", "n", "h", "hot")).alias("spans"))
-        texts = save(self.docs.join(spans, "id").select("id", "text", "mark", "spans"), "texts")
+        shared = own.join(shared.select("h", (F.col("held") > HOT).alias("hot")), "h").groupBy("id").agg(F.collect_set(F.struct("h", "hot")).alias("shared"))
+        texts = save(self.docs.join(shared, "id"), "texts")
         self.scratch.drop(own)
-        pieces = texts.mapInArrow(_cut, "key long, id long, mark binary, start int, words binary").withColumn("piece", F.unhex(F.md5("words")))
-        pieces = save(pieces, "pieces")
-        once = pieces.groupBy("key", "piece").agg(F.first("words").alias("words"), F.min("id").alias("first"), F.max("id").alias("last"))
-        dealt = once.repartition("key").sortWithinPartitions("key")
+        pieces = save(texts.select("id", "text", "shared").mapInArrow(_cut, "key long, piece binary, id long, row long, starts array<int>, words binary"), "pieces")
+        dealt = pieces.select("key", "piece", "id", "words").repartition("key").sortWithinPartitions("key")
         found = save(dealt.mapInArrow(_search, "key long, piece binary, found array<struct<at:int,n:int,least:bigint>>"), "found")
-        hits = pieces.select("key", "piece", "id", "mark", "start").join(found, ["key", "piece"])
-        hits = hits.select("id", "mark", "start", F.explode("found").alias("f")).where("f.least < id")
-        cover = hits.select("id", "mark", (F.col("start") + F.col("f.at")).alias("at"), F.col("f.n").alias("n"))
-        cover = cover.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("cover"))
-        marked = texts.select("id", "mark", "text").join(cover, ["id", "mark"]).select("id", "mark", "text", "cover")
+        hits = pieces.select("key", "piece", "id", "row", "starts").join(found, ["key", "piece"])
+        runs = F.filter("found", lambda f: f["least"] < F.col("id"))
+        place = lambda start: F.transform(runs, lambda f: F.struct((start + f["at"]).alias("at"), f["n"].alias("n")))
+        cover = hits.select("id", "row", F.flatten(F.transform("starts", place)).alias("cover")).where("size(cover) > 0")
+        cover = cover.groupBy("id", "row").agg(F.flatten(F.collect_list("cover")).alias("cover"))
+        marked = texts.select("id", "text").join(cover, "id").select("id", "text", "row", "cover")
         changed = save(marked.mapInArrow(_keep, "id long, mark binary, n_removed long, kept_mark binary, kept_text string").dropDuplicates(["id", "mark"]), "changed")
         self.scratch.drop(pieces, texts)
-        return rows.select("id", "n_words", "mark", "copy"), changed
+        return rows, changed
 
 
 def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
