@@ -23,7 +23,7 @@ from tracewright.session import Scratch, ship
 def kept_by(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id has a verdict that keeps it; ``verdict`` is (doc_id, kept).
 
-    Rows that share an id share its fate, and one of them stays: the others are copies of the document.
+    Rows that share an id share its fate.
     """
     ids = verdict.where("kept").select(F.col("doc_id").alias("id")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
