@@ -35,10 +35,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, id: str, url: str, fetched: str, period: int = 86_400) -> DataFrame:
     """(id, host, fetched_at, entry_id, listed_host, action, allowed) for every row of ``captures``."""
     rows = captures.select(F.col(id).alias("id"), host_of(F.col(url)).alias("host"), F.col(fetched).alias("t"))
-    span = rows.agg(F.min(periods(F.col("t"), period)).alias("lo"), F.max(periods(F.col("t"), period)).alias("hi"))
-    held = intervals(entries).crossJoin(F.broadcast(span))  # one row: the first and last period with captures
-    first, last = F.greatest(periods(F.col("since"), period), F.col("lo")), F.least(F.coalesce(periods(F.col("until"), period), F.col("hi")), F.col("hi"))
-    held = held.where(first <= last).select("entry_id", F.col("host").alias("listed"), "action", "since", "until", F.explode(F.sequence(first, last)).alias("period"))
+    lo, hi = (F.lit(x or 0).cast("long") for x in rows.agg(F.min(periods(F.col("t"), period)), F.max(periods(F.col("t"), period))).first())
+    first, last = F.greatest(periods(F.col("since"), period), lo), F.least(F.coalesce(periods(F.col("until"), period), hi), hi)
+    held = intervals(entries).where(first <= last).select("entry_id", F.col("host").alias("listed"), "action", "since", "until", F.explode(F.sequence(first, last)).alias("period"))
     labels = F.split("host", r"\.")
     names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
     asked = rows.where("host <> '' and t is not null").withColumn("listed", F.explode(names)).withColumn("period", periods(F.col("t"), period))
