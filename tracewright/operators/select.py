@@ -55,12 +55,10 @@ def modulo_shard(rows: DataFrame, key: str, shards: int, index: int) -> DataFram
 
 def global_rank(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` with their rank by a unique id, from 0: ranks within range partitions plus the rows before them."""
-    spark = rows.sparkSession
     spread = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
     local = spread.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
     sizes = spread.groupBy("_part").agg(F.count("*").alias("n"), F.min(key).alias("_low"))
     before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_low")) - F.col("n")).alias("_before"))
-    del spark
     return local.join(F.broadcast(before), "_part").withColumn("rank", F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
 
 
