@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from tracewright.llm.words import slices, text_bytes
 from tracewright.session import Scratch
 
-MOST_WORDS = 600_000  # distinct words a worker remembers
+MOST_WORDS = 1_200_000  # distinct words a worker remembers
 
 
 class _Codes(dict):
@@ -57,10 +58,10 @@ class WordTokens:
         known = len(self.codes)
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         if len(self.codes) > known:
-            fresh = [w.decode() for w in list(self.codes)[known:]]
-            ids = [e.ids for at in range(0, len(fresh), 20_000) for e in self.tokenizer.encode_batch(fresh[at : at + 20_000], add_special_tokens=False)]
+            fresh = [w.decode() for w in islice(self.codes, known, None)]
+            ids = [e.ids for at in range(0, len(fresh), 20_000) for e in self.tokenizer.encode_batch_fast(fresh[at : at + 20_000], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for row in ids for x in row), np.uint32, int(sizes.sum()))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
             self.sizes = np.concatenate([self.sizes, sizes])
         at = np.cumsum(self.sizes) - self.sizes
         sizes = self.sizes[codes]
