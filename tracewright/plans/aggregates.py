@@ -141,8 +141,8 @@ WITH p AS (
   SELECT o_orderkey, o_orderstatus, count(l_discount) AS n, avg(CASE WHEN l_returnflag <> 'N' THEN l_discount END) AS d, avg(l_tax) AS t, avg(CASE WHEN l_linestatus = 'F' THEN l_quantity / 50 END) AS q
   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
 w AS (SELECT *, (coalesce(d, 0) * 0.4 + coalesce(t, 0) * 0.4 + coalesce(q, 0) * 0.2) / nullif((d IS NOT NULL)::INT * 0.4 + (t IS NOT NULL)::INT * 0.4 + (q IS NOT NULL)::INT * 0.2, 0) AS quality FROM p)
-SELECT o_orderkey, round(quality, 6) AS quality,
-       CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'O' THEN 0.0 ELSE round(0.35 + 0.65 * greatest(0, least(1, coalesce(quality, 0))), 6) END AS reward FROM w""")
+SELECT o_orderkey, round(quality, 8) AS quality,
+       CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'O' THEN 0.0 ELSE round(0.35 + 0.65 * greatest(0, least(1, coalesce(quality, 0))), 8) END AS reward FROM w""")
 def weighted_present_mean(spark, sf_dir):
     """Weights renormalised over the components that are there; the outcome decides first."""
     lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
@@ -153,7 +153,7 @@ def weighted_present_mean(spark, sf_dir):
     part = lambda c, w: F.struct(F.col(c).alias("value"), F.lit(w).alias("weight"))
     rows = rows.withColumn("quality", arrays.weighted_present_mean(F.array(part("d", 0.4), part("t", 0.4), part("q", 0.2))))
     value = metrics.reward(F.col("o_orderstatus") == "F", F.coalesce("quality", F.lit(0.0)), F.col("o_orderstatus") != "P", 0.35)
-    return rows.select("o_orderkey", F.round("quality", 6).alias("quality"), F.round(value, 6).alias("reward"))
+    return rows.select("o_orderkey", F.round("quality", 8).alias("quality"), value.alias("reward"))
 
 
 @query("""

@@ -11,10 +11,10 @@ from tracewright.plans.registry import load, query
 
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
-QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, -l_quantity, l_discount, l_linenumber) = 1""")
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, -l_quantity, l_discount, l_linenumber, l_partkey) = 1""")
 def best_of_n(spark, sf_dir):
     """The best row of each case by a lexicographic rank that ends with its id."""
-    rank = [F.col("l_returnflag"), -F.col("l_quantity"), F.col("l_discount"), F.col("l_linenumber")]
+    rank = [F.col("l_returnflag"), -F.col("l_quantity"), F.col("l_discount"), F.col("l_linenumber"), F.col("l_partkey")]
     rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_discount")
     return select.best_per_key(rows, ["l_orderkey"], rank).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
@@ -256,7 +256,7 @@ def post_event_actions(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, round((value - lag(value) OVER u) / nullif((epoch_us(ts) - lag(epoch_us(ts)) OVER u) / 1000000, 0), 6) AS rate FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+SELECT event_id, round((value - lag(value) OVER u) / nullif((epoch_us(ts) - lag(epoch_us(ts)) OVER u) / 1000000, 0), 6) + 0.0 AS rate FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def lag_rate(spark, sf_dir):
     """Change of a counter per second since the row before."""
     from pyspark.sql import Window
@@ -264,4 +264,4 @@ def lag_rate(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = load(spark, sf_dir, "events").withColumn("t", t)
-    return rows.select("event_id", F.round(F.try_divide(F.col("value") - F.lag("value").over(w), F.col("t") - F.lag("t").over(w)), 6).alias("rate"))
+    return rows.select("event_id", (F.round(F.try_divide(F.col("value") - F.lag("value").over(w), F.col("t") - F.lag("t").over(w)), 6) + F.lit(0.0)).alias("rate"))
