@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from tracewright.operators.graph import components
 from tracewright.session import Scratch
 
-BLOCKS, RESIDENTS, TILE, SLACK = 4, 600, 4000, 1e-9
+BLOCKS, RESIDENTS, TILE, SLACK = 4, 3000, 4000, 1e-9
 
 
 @lru_cache(maxsize=8)
@@ -42,8 +42,8 @@ def block_edges(size: int) -> list[int]:
     return [size * b // BLOCKS for b in range(BLOCKS + 1)]
 
 
-def _vectors(batches):
-    """(id, size, vector bytes in double precision, mark); unusable vectors have no mark."""
+def _vectors(batches, width: str):
+    """(id, size, vector bytes of floats of the width given, mark); unusable vectors have no mark."""
     for batch in batches:
         out = []
         for id, row in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -55,13 +55,17 @@ def _vectors(batches):
                 if not np.isfinite(norm) or norm == 0:
                     scale = np.abs(v).max()
                     v = v / scale if np.isfinite(scale) and scale > 0 else None
-            data = None if v is None else v.tobytes()
+            data = None if v is None else v.astype(width).tobytes()
             out.append((id, 0 if v is None else len(v), data, None if data is None else blake2b(data, digest_size=16).digest()))
         if out:
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "size", "vector", "mark"])
 
 
+def _unpack(rows, size: int, width: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), width).reshape(-1, size).astype(np.float64)
+
+
 def _rotated(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
     return unit, unit @ rotation(vectors.shape[1])
@@ -82,12 +86,12 @@ def cells(turned: np.ndarray, centre: np.ndarray, budget: float, bits: int):
         yield b, home, row, cell
 
 
-def _meet(frame: pd.DataFrame, least: float) -> pd.DataFrame:
+def _meet(frame: pd.DataFrame, least: float, width: str) -> pd.DataFrame:
     """The links between one tile of visitors and one of residents: (id, links, label)."""
     block, size = int(frame["block"].iloc[0]), int(frame["size"].iloc[0])
     lives = frame["lives"].to_numpy()
     ids, copies = frame["id"].to_numpy(), frame["copies"].to_numpy()
-    vectors = np.frombuffer(b"".join(frame["vector"]), np.float64).reshape(-1, size)
+    vectors = _unpack(frame["vector"], size, width)
     norms = np.sqrt((vectors * vectors).sum(1))
     _, turned = _rotated(vectors)
     edges = block_edges(size)
@@ -131,7 +135,8 @@ def embedding_dedup(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     scratch = Scratch(vectors.sparkSession, "embeddings")
     budget = 2 - 2 * least
     rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"))
-    rows = scratch.save(rows.mapInArrow(_vectors, "id long, size int, vector binary, mark binary"), "vectors")
+    width = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
+    rows = scratch.save(rows.mapInArrow(lambda batches: _vectors(batches, width), "id long, size int, vector binary, mark binary"), "vectors")
     usable = rows.where("id is not null and mark is not null")
     weights = usable.groupBy("mark").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = usable.join(weights, (usable.mark == weights.mark) & (usable.id == weights.rep)).select("id", "size", "vector", "copies")
@@ -141,7 +146,7 @@ def embedding_dedup(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     # cells are cut at the means of a bounded sample; where they are cut changes their sizes, not the result
     centres = {}
     for row in reps.orderBy(F.xxhash64("id")).limit(2000).select("size", "vector").collect():
-        centres.setdefault(row["size"], []).append(np.frombuffer(row["vector"], np.float64))
+        centres.setdefault(row["size"], []).append(_unpack([row["vector"]], row["size"], width)[0])
     centres = {size: _rotated(np.stack(v))[1].mean(0) for size, v in centres.items()}
 
     def visits(batches):
@@ -149,7 +154,7 @@ def embedding_dedup(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
             sizes = batch.column(1).to_numpy()
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
-                turned = _rotated(np.frombuffer(b"".join(part.column(2).to_pylist()), np.float64).reshape(-1, size))[1]
+                turned = _rotated(_unpack(part.column(2).to_pylist(), int(size), width))[1]
                 centre = centres.get(int(size), np.zeros(size))
                 for b, home, row, cell in cells(turned, centre, budget, bits):
                     at = np.concatenate([np.arange(len(home)), row])
@@ -162,7 +167,7 @@ def embedding_dedup(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
                         yield pa.RecordBatch.from_arrays([*own.columns, *extra], ["id", "size", "vector", "copies", "block", "cell", "lives"])
 
     shape = "id long, size int, vector binary, copies long, block int, cell long, lives boolean"
-    visited = scratch.save(reps.mapInArrow(visits, shape), "visits")
+    visited = reps.mapInArrow(visits, shape)
     key = ["size", "block", "cell"]
     load = visited.groupBy(*key).agg(F.count_if("lives").alias("n"), F.count_if(~F.col("lives")).alias("m")).where("n > 0")
     load = load.select(*key, F.ceil(F.col("n") / TILE).cast("int").alias("rows"), F.ceil(F.col("m") / TILE).cast("int").alias("columns"))
@@ -170,9 +175,8 @@ def embedding_dedup(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     own, other = F.when(F.col("lives"), F.col("rows")).otherwise(F.col("columns")), F.when(F.col("lives"), F.col("columns")).otherwise(F.col("rows"))
     spread = spread.withColumn("mine", F.pmod(F.xxhash64("id"), own).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), other - 1)))
     spread = spread.withColumns({"row": F.when(F.col("lives"), F.col("mine")).otherwise(F.col("theirs")), "column": F.when(F.col("lives"), F.col("theirs")).otherwise(F.col("mine"))})
-    tiles = spread.groupBy(*key, "row", "column").applyInPandas(lambda frame: _meet(frame, least), "id long, links long, label long")
+    tiles = spread.groupBy(*key, "row", "column").applyInPandas(lambda frame: _meet(frame, least, width), "id long, links long, label long")
     tiles = scratch.save(tiles, "links")
-    scratch.drop(visited)
     counts = tiles.groupBy("id").agg(F.sum("links").alias("links"))
     grouped = components(tiles.select(F.col("id").alias("a"), F.col("label").alias("b")))
     known = rows.select("id", "mark").join(weights, "mark", "left")
