@@ -99,11 +99,13 @@ def _meet(frame: pd.DataFrame, least: float, width: str) -> pd.DataFrame:
     own = turned[:, edges[block] : edges[block + 1]]
     squares = (own * own).sum(1)
     H, P = np.flatnonzero(lives), np.flatnonzero(~lives)
+    # one single-precision product gives minus half the squared distance of each pair; the slack covers its rounding
+    half, ones = -squares[:, None] / 2, np.ones((len(ids), 1))
+    there, here = np.hstack([own, half, ones]).astype(np.float32), np.ascontiguousarray(np.hstack([own, ones, half]).astype(np.float32)[H].T)
     links, label = np.zeros(len(ids), np.int64), ids.copy()
     found = []
     for part in np.array_split(P, 1 + len(P) * max(len(H), 1) // 2_000_000):
-        loose = squares[part][:, None] + squares[H][None, :] - 2 * own[part] @ own[H].T <= share + 1e-6
-        x, y = np.nonzero(loose)
+        x, y = np.divmod(np.flatnonzero(there[part] @ here >= np.float32(-share / 2 - 1e-5)), max(len(H), 1))
         x, y = part[x], H[y]
         for at in range(0, len(x), 200_000):
             i, j = x[at : at + 200_000], y[at : at + 200_000]
