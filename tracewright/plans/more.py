@@ -66,11 +66,21 @@ WITH t AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lo
            FROM conversations WHERE regexp_matches(text, '^[\x00-\x7f]*$'))
 SELECT conv_id, turn, len(w) < 3 AS low_value FROM t""")
 def low_value_queries(spark, sf_dir):
-    """Texts with hardly a word that is not a stopword."""
+    """P27 on texts in ASCII only, as its SQL asks; low_value_turns takes every text."""
     rows = load(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
     return rows.select("conv_id", "turn", (F.size(text.ranking_tokens(F.col("text"))) < 3).alias("low_value"))
 
 
+@query(r"""
+WITH t AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+')), lambda w: len(w) > 1 AND w NOT IN ('a','an','and','are','as','at','be','by','does','for','from','in','is','it','of','on','or','the','this','to','what','when','where','which','who','with')) AS w
+           FROM conversations)
+SELECT conv_id, turn, len(w) < 3 AS low_value FROM t""")
+def low_value_turns(spark, sf_dir):
+    """Texts of any script with hardly a word that is not a stopword; a null text has none."""
+    rows = load(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", (F.size(text.ranking_tokens(F.col("text"))) < 3).alias("low_value"))
+
+
 @query("""
 WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations), n AS (SELECT conv_id, count(*) AS k FROM conversations GROUP BY 1)
 SELECT conv_id, word FROM w JOIN n USING (conv_id) GROUP BY conv_id, word, k HAVING count(*) = k""")
