@@ -22,3 +22,18 @@ def test_low_value_turns(spark, tmp_path):
     words = [{w for w in re.findall(r"\w+", (t or "").lower()) if len(w) > 1 and w not in text.RANKING_STOPWORDS} for t in texts]
     got = {r.turn: r.low_value for r in run(spark, tmp_path, "low_value_turns", conversations=(rows, TURNS))}
     assert got == {i: len(w) < 3 for i, w in enumerate(words)}
+
+
+def test_causal_shift_pairs(spark, tmp_path):
+    long = "a long turn, é and 😀 too. " * 40
+    rows = [
+        (1, 0, "system", "s"), (1, 1, "user", long), (1, 2, "assistant", long + "!"), (1, 3, "user", "more"), (1, 4, "assistant", "end"), (1, 5, "user", "left alone"),
+        (2, 0, "assistant", "not an answer"), (2, 3, "user", "ask"), (2, 7, "assistant", "tell"), (3, 0, "user", "ask"), (3, 1, "user", "again"), (3, 2, "assistant", ""),
+    ]
+    want = {}
+    for a, b in zip(rows, rows[1:]):
+        if a[0] == b[0] and (a[2], b[2]) == ("user", "assistant"):
+            p, c = list(map(ord, a[3])), list(map(ord, b[3]))
+            want[a[0], a[1]] = ([len(p) + i - 1 for i in range(len(c))], (p + c)[:-1])
+    got = run(spark, tmp_path, "causal_shift_pairs", conversations=(rows[::-1], TURNS))
+    assert {(r.conv_id, r.turn): (r.positions, r.input) for r in got} == want and len(want) == 4

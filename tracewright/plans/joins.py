@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import arrays
 from tracewright.functions.hashing import seeded_hex, uniform
-from tracewright.operators import checks, splits
+from tracewright.operators import checks, select, splits
 from tracewright.plans.registry import load, query
 
 
@@ -148,9 +148,29 @@ WITH t AS (SELECT conv_id, turn, list_transform(string_split(substr(text, 1, 30)
 p AS (SELECT a.conv_id, a.ids AS prompt, b.ids AS completion FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)
 SELECT conv_id, list_transform(range(len(completion)), lambda i: len(prompt) + i - 1) AS positions, (list_concat(prompt, completion))[1:-2] AS input FROM p""")
 def causal_shift(spark, sf_dir):
-    """Input without its last token, and the loss positions."""
+    """D24 on the heads of turns 0 and 1, as its SQL asks; causal_shift_pairs takes whole texts and every pair."""
     ids = F.transform(F.split(F.substring("text", 1, 30), ""), lambda c: F.ascii(c))
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(ids, lambda x: x > 0).alias("ids"))
     first = turns.where("turn = 0").select("conv_id", F.col("ids").alias("prompt"))
     pairs = first.join(turns.where("turn = 1").select("conv_id", F.col("ids").alias("completion")), "conv_id")
     return pairs.select("conv_id", arrays.causal_targets(F.col("prompt"), F.col("completion")).alias("positions"), arrays.causal_input(F.col("prompt"), F.col("completion")).alias("input"))
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, lead(turn) OVER w AS nxt, lead(role) OVER w AS who FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+c AS (SELECT conv_id, turn, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c)) AS ids FROM conversations),
+p AS (SELECT t.conv_id, t.turn, a.ids AS prompt, b.ids AS completion FROM t JOIN c a ON a.conv_id = t.conv_id AND a.turn = t.turn JOIN c b ON b.conv_id = t.conv_id AND b.turn = t.nxt WHERE t.role = 'user' AND t.who = 'assistant')
+SELECT conv_id, turn, list_transform(range(len(completion)), lambda i: len(prompt) + i - 1) AS positions, (list_concat(prompt, completion))[1:-2] AS input FROM p""")
+def causal_shift_pairs(spark, sf_dir):
+    """For each user turn and the assistant turn right after it, the whole input without its last token, and the loss positions.
+
+    Turns are numbered over the whole table in their order, so that neighbours meet in an equi-join however long a conversation is.
+    """
+    turns = load(spark, sf_dir, "conversations")
+    placed = select.global_rank(turns.select(F.struct("conv_id", "turn", "role").alias("at")), "at").select("at.*", "rank")
+    answers = placed.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answer"), (F.col("rank") - 1).alias("rank"))
+    found = placed.where("role = 'user'").join(answers, ["conv_id", "rank"]).select("conv_id", "turn", "answer")
+    ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c))
+    pairs = found.join(turns.select("conv_id", "turn", ids.alias("prompt")), ["conv_id", "turn"])
+    pairs = pairs.join(turns.select("conv_id", F.col("turn").alias("answer"), ids.alias("completion")), ["conv_id", "answer"])
+    return pairs.select("conv_id", "turn", arrays.causal_targets(F.col("prompt"), F.col("completion")).alias("positions"), arrays.causal_input(F.col("prompt"), F.col("completion")).alias("input"))
