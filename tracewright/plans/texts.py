@@ -57,11 +57,17 @@ WITH f AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS
 SELECT doc_id, list_filter(['ignore_previous_instructions', 'override_system'], lambda n: CASE n WHEN 'override_system' THEN regexp_matches(t, '\b(system|developer)\s+(message|prompt|instruction)s?\b')
        ELSE regexp_matches(t, '\bignore\s+(all\s+)?previous\s+instructions?\b') END) AS found FROM f""")
 def injection_patterns(spark, sf_dir):
-    """Named patterns found in a text."""
+    """The two named patterns that its SQL asks for; injection_names gives all five."""
     found = F.filter(html.injections(F.col("text")), lambda x: x.isin("ignore_previous_instructions", "override_system"))
     return load(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
 
 
+@query()
+def injection_names(spark, sf_dir):
+    """All named patterns found in a text."""
+    return load(spark, sf_dir, "documents").select("doc_id", html.injections(F.col("text")).alias("found"))
+
+
 @query(r"""
 SELECT doc_id, regexp_matches(text, '[\w.+-]+@[\w-]+\.[\w.]+') AS has_email, regexp_matches(text, 'AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----|sk-[A-Za-z0-9]{20,}') AS has_secret,
        regexp_matches(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b') AS has_address FROM documents""")
@@ -183,7 +189,7 @@ def cosine_to_centroid(spark, sf_dir):
 
 @query("SELECT conv_id, turn, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: len(t) > 1 AND NOT regexp_matches(t, '^[0-9a-f]{12,}$') AND t NOT IN ('the','an','is','are','at','in','of','to','ve','vf','rf') AND NOT regexp_matches(t, '(ies|ing|ed|es|s)$')))) AS tokens FROM conversations")
 def fact_token_sets(spark, sf_dir):
-    """Stemmed token sets; compared here on tokens that no suffix rule touches."""
+    """Stemmed token sets on words that no suffix rule touches, as its SQL asks; fact_token_stems keeps all."""
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
     plain = F.filter(words, lambda t: ~t.rlike("(ies|ing|ed|es|s)$") & (F.length(t) > 1))
@@ -191,6 +197,12 @@ def fact_token_sets(spark, sf_dir):
     return rows.select("conv_id", "turn", F.array_sort(kept).alias("tokens"))
 
 
+@query()
+def fact_token_stems(spark, sf_dir):
+    """Stemmed token sets, whole."""
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", text.fact_tokens(F.col("text")).alias("tokens"))
+
+
 @query("""
 SELECT doc_id, CASE WHEN length(t) <= 40 THEN t ELSE rtrim(substr(t, 1, 39)) || '…' END AS line, substr(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 60) AS file_name
 FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents)""")
