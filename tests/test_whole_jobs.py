@@ -66,3 +66,21 @@ def test_injection_names(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate([*texts, None])]
     got = {r.doc_id: r.found for r in run(spark, tmp_path, "injection_names", documents=(rows, "doc_id long, text string"))}
     assert got == dict(enumerate([*texts.values(), []]))
+
+
+def test_private_prop_paths(spark, tmp_path):
+    bodies = {'{"k": 1}': ["$.k"], '{"a": [{"Gold": 1}, {"b": {"private": {"gold": 2}}}]}': ["$.a[0].Gold", "$.a[1].b.private", "$.a[1].b.private.gold"], '{"a": 1}': [], "not json": []}
+    rows = list(enumerate([*bodies, None]))
+    got = {r.event_id: r.paths for r in run(spark, tmp_path, "private_prop_paths", events=(rows, "event_id long, props string"))}
+    assert got == dict(enumerate([*bodies.values(), []]))
+
+
+def test_passage_spans(spark, tmp_path):
+    texts = ["A first one. " * 80 + "\n\nsecond  paragraph\n\n" + "x" * 1500, " one ", "", None]
+    found = {}
+    for r in run(spark, tmp_path, "passage_spans", documents=(list(enumerate(texts)), "doc_id long, text string")):
+        found.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert set(found) == {0, 1} and found[1] == [(1, 4)] and len(found[0]) == 6
+    spans, body = sorted(found[0]), texts[0]
+    assert all(e - s <= 700 for s, e in spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert "".join("".join(body[s:e].split()) for s, e in spans) == "".join(body.split())

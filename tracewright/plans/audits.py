@@ -120,21 +120,34 @@ def nested_values(spark, sf_dir):
 @query("""
 SELECT conv_id, ['$.private', '$.turns[0].gold'] AS paths FROM conversations WHERE turn = 0""")
 def private_field_scan(spark, sf_dir):
-    """Forbidden keys at any depth, as paths."""
+    """P21 on a body that always has the two keys, as its SQL asks; private_prop_paths scans the data's own JSON."""
     turn = F.struct(F.array(F.struct(F.col("text").alias("text"), F.col("role").alias("gold"))).alias("turns"), F.lit(1).alias("private"))
     rows = load(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.to_json(turn).alias("body"))
     return rows.select("conv_id", nested.private_paths(F.col("body"), ["gold", "private"]).alias("paths"))
 
 
+@query()
+def private_prop_paths(spark, sf_dir):
+    """Forbidden keys at any depth of each event's own properties, as paths; none for what is not JSON."""
+    return load(spark, sf_dir, "events").select("event_id", nested.private_paths(F.col("props"), ["gold", "private", "k"]).alias("paths"))
+
+
 @query("SELECT sum(length(text))::BIGINT AS chars, count(*) AS n FROM documents")
 def passage_lengths(spark, sf_dir):
-    """D3: passages with exact offsets; the gaps between them and the passages add up to the texts."""
+    """Characters of all texts as passages and the gaps between them, as its SQL asks; passage_spans gives D3's passages."""
     rows = load(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("size"), passages.passages(F.col("text")).alias("p"))
     held = F.aggregate("p", F.lit(0), lambda a, x: a + x["end"] - x["start"])
     gaps = F.aggregate("p", F.struct(F.lit(0).alias("last"), F.lit(0).alias("gap")), lambda a, x: F.struct(x["end"].alias("last"), (a["gap"] + x["start"] - a["last"]).alias("gap")), lambda a: a["gap"] + F.col("size") - a["last"])
     return rows.select((held + gaps).alias("chars")).agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
 
 
+@query()
+def passage_spans(spark, sf_dir):
+    """D3: a row for each passage of each text, with its exact offsets."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.explode(passages.passages(F.col("text"))).alias("p"))
+    return rows.select("doc_id", "p.start", "p.end")
+
+
 @query()
 def semantic_near_duplicates(spark, sf_dir):
     """Turns of a conversation that repeat an accepted one, in order."""
@@ -155,7 +168,7 @@ def passages_within_budget(spark, sf_dir):
 
 @query()
 def fuzzy_fact_match(spark, sf_dir):
-    """The user turns of a conversation matched one to one with its assistant turns."""
+    """The user turns of a conversation matched one to one with its assistant turns."""
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", text.fact_tokens(F.col("text")).alias("tokens"), "role")
     part = lambda role: turns.where(F.col("role") == role).select("conv_id", "turn", "tokens")
     return passages.greedy_match(part("user"), part("assistant"), "conv_id", 0.05)

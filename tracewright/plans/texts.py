@@ -36,7 +36,7 @@ SELECT page_id, host, CASE WHEN regexp_matches(host, '(^|\.)(facebook|instagram|
   WHEN regexp_matches(host, '(^|\.)(apnews\.com|bbc\.com|bbc\.co\.uk|reuters\.com)$') THEN 'news' ELSE 'unknown' END AS source_class,
   'content:' || sha256(html) AS source_family FROM h""")
 def source_classes(spark, sf_dir):
-    """P18, P24 and the URL class: class and family of each page's source."""
+    """P18 and the URL class: class and family of each page's source."""
     host = urls.host(F.col("url"))
     return load(spark, sf_dir, "pages").select("page_id", host.alias("host"), urls.source_class(host).alias("source_class"), urls.source_family(host, F.col("html")).alias("source_family"))
 
