@@ -84,3 +84,10 @@ def test_passage_spans(spark, tmp_path):
     spans, body = sorted(found[0]), texts[0]
     assert all(e - s <= 700 for s, e in spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
     assert "".join("".join(body[s:e].split()) for s, e in spans) == "".join(body.split())
+
+
+def test_order_status_routes(spark, tmp_path):
+    orders = ([(35, "F"), (70, "O"), (7, "P"), (5, "F"), (1, "F")], "o_orderkey long, o_orderstatus string")
+    lines = ([(35, "F"), (35, "F"), (70, "F"), (7, "O"), (7, "F"), (1, "F"), (99, "O")], "l_orderkey long, l_linestatus string")
+    got = {(r.route, r.reason): r.n for r in run(spark, tmp_path, "order_status_routes", orders=orders, lineitem=lines)}
+    assert got == {("resolved", ""): 3, ("rejected", "s_mismatch"): 1, ("orphan", "s_mismatch"): 1, ("missing", "not_cached"): 1, ("orphan", "not_wanted"): 1}

@@ -33,12 +33,25 @@ j AS (SELECT coalesce(w.k, c.k) AS k, CASE WHEN w.k IS NULL THEN 'not_wanted' WH
 r AS (SELECT k, reason, unnest(CASE reason WHEN 'not_wanted' THEN ['orphan'] WHEN 'not_cached' THEN ['missing'] WHEN '' THEN ['resolved'] ELSE ['rejected', 'orphan'] END) AS route FROM j)
 SELECT route, reason, count(*) AS n FROM r GROUP BY 1, 2""")
 def orphan_reject_resolve(spark, sf_dir):
-    """A verified join routed to resolved, rejected, missing and orphan."""
+    """J6, S22, D22 on sides thinned by their ids, as its SQL asks; order_status_routes joins two whole sides."""
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
     cache = orders.where("k % 5 <> 0").select("k", F.when(F.col("k") % 11 == 0, "X").otherwise(F.col("s")).alias("s"), F.when(F.col("k") % 13 == 0, "X").otherwise(F.col("p")).alias("p"))
     return checks.verified_join(orders.where("k % 7 <> 0"), cache, ["k"], ["s", "p"]).groupBy("route", "reason").agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH c AS (SELECT l_orderkey AS k, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) ELSE 'P' END AS s FROM lineitem GROUP BY 1),
+j AS (SELECT CASE WHEN o_orderkey IS NULL THEN 'not_wanted' WHEN c.k IS NULL THEN 'not_cached' WHEN o_orderstatus IS DISTINCT FROM c.s THEN 's_mismatch' ELSE '' END AS reason FROM orders FULL JOIN c ON o_orderkey = c.k),
+r AS (SELECT reason, unnest(CASE reason WHEN 'not_wanted' THEN ['orphan'] WHEN 'not_cached' THEN ['missing'] WHEN '' THEN ['resolved'] ELSE ['rejected', 'orphan'] END) AS route FROM j)
+SELECT route, reason, count(*) AS n FROM r GROUP BY 1, 2""")
+def order_status_routes(spark, sf_dir):
+    """Every order's status against that of its lines, routed to resolved, rejected, missing and orphan."""
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    low, high = F.min("l_linestatus"), F.max("l_linestatus")
+    lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.when(low == high, low).otherwise("P").alias("s"))
+    return checks.verified_join(orders, lines, ["k"], ["s"]).groupBy("route", "reason").agg(F.count("*").alias("n"))
+
+
 @query("""
 WITH e AS (SELECT o_custkey, s FROM (SELECT DISTINCT o_custkey FROM orders), range(4) r(s)),
 a AS (SELECT o_custkey, o_orderkey % 5 AS s, count(*) AS n FROM orders GROUP BY 1, 2)
