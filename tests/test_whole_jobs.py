@@ -1,6 +1,11 @@
 """Queries against brute force on rows that a narrower form of them would leave out or cut."""
 
+import os
 import re
+from datetime import datetime, timedelta
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from tracewright.functions import text
 from tracewright.plans import registry
@@ -91,3 +96,17 @@ def test_order_status_routes(spark, tmp_path):
     lines = ([(35, "F"), (35, "F"), (70, "F"), (7, "O"), (7, "F"), (1, "F"), (99, "O")], "l_orderkey long, l_linestatus string")
     got = {(r.route, r.reason): r.n for r in run(spark, tmp_path, "order_status_routes", orders=orders, lineitem=lines)}
     assert got == {("resolved", ""): 3, ("rejected", "s_mismatch"): 1, ("orphan", "s_mismatch"): 1, ("missing", "not_cached"): 1, ("orphan", "not_wanted"): 1}
+
+
+def test_streaming_dedupe_takes_late_files(spark, tmp_path):
+    """More files than a batch takes, the newest events first, over far more than 40 days, some events twice."""
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for i in range(230):
+        n = i % 215
+        at = datetime(2024, 1, 1) - timedelta(days=n)
+        table = pa.table({"event_id": [n], "ts": pa.array([at], pa.timestamp("us")), "user_id": [1], "event_type": ["view"]})
+        pq.write_table(table, folder / f"part-{i:03d}.parquet")
+        os.utime(folder / f"part-{i:03d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = run(spark, tmp_path, "streaming_dedupe")
+    assert [tuple(r) for r in got] == [(1, "view", 215)]

@@ -18,7 +18,7 @@ def streaming_tumbling(spark, sf_dir):
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY 1, 2")
 def streaming_dedupe(spark, sf_dir):
     """Each event once, appended to a durable table."""
-    out = events.drain(events.once(events.read_events(spark, f"{sf_dir}/events.parquet"), ["event_id"], "40 days"), "dedupe")
+    out = events.drain(events.once(events.read_events(spark, f"{sf_dir}/events.parquet"), ["event_id"]), "dedupe")
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 

@@ -35,9 +35,9 @@ def sessions(rows: DataFrame, gap: str, late: str, key: str) -> DataFrame:
     return out.agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def once(rows: DataFrame, keys: list[str], late: str) -> DataFrame:
-    """Each key once within the watermark."""
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def once(rows: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
+    """Each key once within the watermark; without one, over all that came, with every key kept as state."""
+    return rows.dropDuplicates(keys) if late is None else rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 def after(rows: DataFrame, sequence: str, last: int) -> DataFrame:
