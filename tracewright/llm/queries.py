@@ -84,7 +84,10 @@ def op7_embedding_near_dedup(spark, sf_dir):
 
 
 def op10_url_filter(spark, sf_dir):
-    """Pages fetched through January 2024 against lists that the events date: error and click block, others allow."""
+    """Pages fetched through January 2024 against lists that the events date: error and click block, others allow.
+
+    View events are no list entries, as in its SQL, which defines the result.
+    """
     from pyspark.sql import functions as F
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
