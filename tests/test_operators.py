@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.functions import arrays, nested, text, urls
+from tracewright.functions import arrays, html, nested, text, urls
 from tracewright.operators import checks, metrics, passages, select, series
 
 
@@ -75,6 +75,21 @@ def test_global_rank(spark):
     assert got == {i: k for k, i in enumerate(sorted(ids))}
 
 
+def test_global_rank_when_shuffles_are_coalesced(spark, tmp_path):
+    """The written ranks of wide rows, with partitions of different sizes in the wide and in the narrow reader."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.shuffle.partitions")}
+    for k, v in zip(held, ("200k", "4k", "64")):
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(30_000).select((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) * 30_000 + F.col("id")).alias("id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"))
+        select.global_rank(rows, "id").write.parquet(f"{tmp_path}/ranks")
+        got = spark.read.parquet(f"{tmp_path}/ranks").orderBy("id").select("rank").toPandas()["rank"].tolist()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == list(range(30_000))
+
+
 def test_by_list_names_missing_ids(spark):
     with pytest.raises(ValueError):
         select.by_list(spark.range(3), "id", [1, 7]).collect()
@@ -108,3 +123,13 @@ def test_nested(spark):
     assert one(spark, nested.private_paths(F.col("t"), ["gold"]), t=body) == ["$.a.Gold"]
     assert one(spark, nested.without(F.col("t"), "://bad"), t=body) == '{"a":{"Gold":2},"b":[{"url":"http://ok"}]}'
     assert one(spark, nested.compact(F.col("t"), 1, 3), t='{"a": "long text", "b": [1]}') == '{"a":"lon…","b":"…"}'
+
+
+def test_html_to_text_resolves_all_entities(spark):
+    page = "<html><SCRIPT type='a'>if (a < b) x()</SCRIPT><style>p{}</style><h1>T&eacute;l&#233; &hellip;</h1><p class=x>a &lt; b<br/>c</P ><div>d\r</div>&amp;&notanentity;&nbsp;<!-- gone -->1 < 2"
+    assert one(spark, html.to_text(F.col("t")), t=page) == "    Télé …\n\n a < b\nc\n\n d\n\n&¬anentity;\xa0 1 < 2"
+    assert one(spark, html.to_text(F.lit(None).cast("string"))) == ""
+
+
+def test_query_tokens_use_route_stopwords(spark):
+    assert one(spark, text.query_tokens(F.lit("When does the runner visit by which cities"))) == sorted({"when", "does", "runner", "visit", "by", "citi"})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions.hashing import seeded_hex, u31, uniform
+from tracewright.session import Scratch
 
 
 def best_per_key(rows: DataFrame, key: list[str], rank: list[Column]) -> DataFrame:
@@ -54,8 +55,13 @@ def modulo_shard(rows: DataFrame, key: str, shards: int, index: int) -> DataFram
 
 
 def global_rank(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with their rank by a unique id, from 0: ranks within range partitions plus the rows before them."""
+    """``rows`` with their rank by a unique id, from 0: ranks within range partitions plus the rows before them.
+
+    The range-partitioned rows are written once with the number of their partition, so that the ranks and the counts
+    before them speak of the same partitions however each reader's shuffles are coalesced. The write is a job of its own.
+    """
     spread = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
+    spread = Scratch(rows.sparkSession, "rank").save(spread, "ranges")
     local = spread.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
     sizes = spread.groupBy("_part").agg(F.count("*").alias("n"), F.min(key).alias("_low"))
     before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_low")) - F.col("n")).alias("_before"))
