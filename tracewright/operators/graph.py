@@ -13,7 +13,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     Alternates large-star and small-star steps, each one aggregation by node with map-side combine,
     until the edges are stars; every round is a table in the shared folder. A node's
     neighbours are never gathered in one place, so a hub of any degree is only a large join key,
-    which adaptive execution splits. Null ids and self loops link nothing.
+    which adaptive execution splits. Null ids and self loops link nothing. Rounds grow with the logarithm of the
+    longest chain; an error is raised if ``rounds`` of them do not suffice.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
@@ -34,5 +35,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         sides = current.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(current.select("v", F.lit(0), F.lit(1)))
         if sides.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components: not settled after {rounds} rounds")
     roots = current.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return roots.unionByName(roots.select(F.col("component").alias("id"), "component").distinct())
