@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,9 +38,11 @@ def local_session(app: str = "tracewright", cores: int | str = "*", partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where it is unset and the session is local."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
         spark.sparkContext.setCheckpointDir(place)
         place = spark.sparkContext.getCheckpointDir()
@@ -49,13 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written under the shared folder, so that a lost executor costs a reread, not the lineage.
 
-    ``save`` writes Parquet and rereads it; ``drop`` removes tables whose readers have all been saved.
+    ``save`` writes Parquet and rereads it; ``drop`` removes tables whose readers have all been saved. What is left goes
+    when the session's JVM ends, as results that have not been read yet may still need it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tracewright/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        folder, files = self._files(self.root)
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+
+    def _files(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -70,5 +81,5 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            folder, files = self._files(df.scratch_path)
+            files.delete(folder, True)
