@@ -10,6 +10,7 @@ RANKING_STOPWORDS = [
     "a", "an", "and", "are", "as", "at", "be", "by", "does", "for", "from", "in", "is", "it", "of", "on", "or", "the",
     "this", "to", "what", "when", "where", "which", "who", "with",
 ]
+ROUTE_STOPWORDS = ["a", "an", "and", "at", "for", "from", "in", "is", "of", "on", "or", "the", "this", "to", "what", "where", "which", "who", "with"]
 FACT_SUFFIXES = ["ies", "ing", "ed", "es", "s"]
 QUERY_SUFFIXES = ["ing", "ers", "ies", "ed", "es", "s"]
 
@@ -55,7 +56,7 @@ def fact_tokens(text: Column) -> Column:
 def query_tokens(text: Column) -> Column:
     """Distinct stemmed words of two or more characters without stopwords, sorted."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"((?U)\w+)"), 1)
-    words = F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(RANKING_STOPWORDS))
+    words = F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(ROUTE_STOPWORDS))
     return F.array_sort(F.array_distinct(F.transform(words, lambda t: stem(t, QUERY_SUFFIXES))))
 
 

@@ -42,11 +42,11 @@ def source_classes(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
     '<script.*?>.*?</script>', ' ', 'gis'), '<style.*?>.*?</style>', ' ', 'gis'), '<noscript.*?>.*?</noscript>', ' ', 'gis'), '<br\s*/?>', chr(10), 'gi'), '</p\s*>', chr(10) || chr(10), 'gi'),
     '</div\s*>', chr(10), 'gi'), '</h[1-6]\s*>', chr(10) || chr(10), 'gi'), '<[^>]+>', ' ', 'gs'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM pages""")
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM pages""")
 def html_text(spark, sf_dir):
     """HTML to text."""
     return load(spark, sf_dir, "pages").select("page_id", html.to_text(F.col("html")).alias("text"))
