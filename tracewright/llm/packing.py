@@ -3,10 +3,16 @@
 Every text is tokenised whole, word by word (a word's tokens do not depend on its neighbours in these
 tokenizers, so each distinct word is encoded once for a worker), ended by the id ``end``, and cut into pieces of
 ``capacity`` tokens; only its last piece may be shorter. The task that read the texts packs its own pieces
-best-fit, longest first. Bins that no other underfull bin could complete are final. The rest are items of the
-next round: groups of ``fan_in`` neighbouring groups are packed best-fit again, until one group is left. Only
-(bin, fill) pairs travel between rounds; a round's moves are joined to the pieces at the end. A bin goes on
-only while the least fill among the bins still going on would fit into it.
+best-fit, longest first. The underfull bins are items of the next round: groups of ``fan_in`` neighbouring groups
+are packed best-fit again, until one group is left. Only (bin, fill) pairs travel between rounds; a round's moves
+are joined to the pieces at the end.
+
+What goes on is bounded whatever the texts are. After best-fit no two bins of a group fit together, so a group
+has at most one bin that is half full or less, and every merge of a later round needs one of those: a round of
+``fan_in`` groups makes at most ``fan_in`` merges. So of each fill a group sends on no more bins than the rounds
+ahead could use, ``fan_in`` for each of them; the others, which no round could complete, are emitted as they are.
+A merge group therefore has at most ``fan_in * capacity * fan_in * rounds`` rows, and packs as well as if all bins
+had gone on.
 
 Defined results: a null text is empty and makes one piece that holds the end id alone; ids may be null or
 repeated (each row is packed for itself); an empty table gives no rows.
@@ -14,9 +20,10 @@ repeated (each row is packed for itself); an empty table gives no rows.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, count, islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +34,7 @@ from tracewright.llm.words import slices, text_bytes
 from tracewright.session import Scratch
 
 MOST_WORDS = 1_200_000  # distinct words a worker remembers
+CALL = 100  # words that a call encodes together
 
 
 class _Codes(dict):
@@ -35,17 +43,93 @@ class _Codes(dict):
         return code
 
 
+LETTER, DIGIT, OTHER, BLANK = range(4)
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each character below U+0250, as the tokenizer's word pattern tells them apart; -1 for those of mixed behaviour."""
+    known = [(LETTER, "L"), (DIGIT, "N")]
+    out = np.array([next((k for k, c in known if unicodedata.category(chr(i))[0] == c), OTHER) for i in range(0x250)], np.int8)
+    out[[*range(9, 14), 0x20, 0x85, 0xA0]] = BLANK
+    out[[ord("'"), ord("<"), 0x130]] = -1  # contractions, special tokens, a letter that becomes two characters in lower case
+    return out
+
+
+KINDS = _kinds()
+
+
 class WordTokens:
-    """Token ids of words parted by ASCII white space, each distinct word encoded once."""
+    """Token ids of words parted by ASCII white space, each distinct word encoded once.
+
+    New words are encoded many to a call where that cannot change their tokens: in words of plain Latin characters
+    the number of stretches that the tokenizer takes one by one (runs of letters, single digits, runs of others) is
+    known, and each stretch ends in a token marked as an end. Where a call's ends do not add up its words are encoded
+    one by one, as are all other words.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self):
-        self.codes, self.sizes, self.flat = _Codes(), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.codes, self.at, self.flat = _Codes(), np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32)
+
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        used = int(self.at[-1])
+        if used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.empty(used + len(ids), np.uint32)])
+        self.flat[used : used + len(ids)] = ids
+        self.at = np.concatenate([self.at, used + np.cumsum(sizes)])
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of words of plain characters, CALL words to a string."""
+        strings = [" ".join(words[at : at + CALL]) for at in range(0, len(words), CALL)]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        chars = np.frombuffer((" ".join(strings) + " ").encode("utf-32-le"), np.uint32)
+        kind = KINDS[chars]
+        fresh = (kind != BLANK) & ((kind == DIGIT) | (kind != np.append(np.int8(BLANK), kind[:-1])))
+        begin = np.concatenate(([0], np.flatnonzero(chars == 0x20)[:-1] + 1))
+        stretches = np.add.reduceat(fresh, begin, dtype=np.int64)
+        parts, sizes = [], []
+        for at, ids in zip(range(0, len(words), CALL), found):
+            own = np.cumsum(stretches[at : at + CALL])
+            stops = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+            if len(stops) - 1 == own[-1] and stops[-1] == len(ids):
+                parts.append(ids)
+                sizes.append(np.diff(stops[own], prepend=0))
+            else:
+                ids, size = self._one_by_one(words[at : at + CALL])
+                parts.append(ids)
+                sizes.append(size)
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        for at in range(0, len(fresh), 20_000):
+            words = [w.decode() for w in fresh[at : at + 20_000]]
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+            odd = np.where(chars < 0x250, KINDS[np.minimum(chars, 0x24F)] < 0, True)
+            plain = ~np.logical_or.reduceat(odd, np.cumsum(size) - size)
+            sizes, ids = np.zeros(len(words), np.int64), []
+            for which, encode in ((np.flatnonzero(plain), self._together), (np.flatnonzero(~plain), self._one_by_one)):
+                if len(which):
+                    flat, sizes[which] = encode([words[i] for i in which.tolist()])
+                    ids.append((which, flat))
+            place, out = np.cumsum(sizes) - sizes, np.empty(int(sizes.sum()), np.uint32)
+            for which, flat in ids:
+                own = sizes[which]
+                out[np.arange(len(flat)) + np.repeat(place[which] - np.cumsum(own) + own, own)] = flat
+            self._append(out, sizes)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one more entry than texts)."""
@@ -58,15 +142,11 @@ class WordTokens:
         known = len(self.codes)
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         if len(self.codes) > known:
-            fresh = [w.decode() for w in islice(self.codes, known, None)]
-            ids = [e.ids for at in range(0, len(fresh), 20_000) for e in self.tokenizer.encode_batch_fast(fresh[at : at + 20_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
-            self.sizes = np.concatenate([self.sizes, sizes])
-        at = np.cumsum(self.sizes) - self.sizes
-        sizes = self.sizes[codes]
+            self._learn(list(islice(self.codes, known, None)))
+        begin = self.at[codes]
+        sizes = self.at[codes + 1] - begin
         total = np.concatenate(([0], np.cumsum(sizes)))
-        index = np.arange(total[-1]) + np.repeat(at[codes] - total[:-1], sizes)
+        index = np.arange(total[-1]) + np.repeat(begin - total[:-1], sizes)
         return self.flat[index], total[np.array(ends)]
 
 
@@ -100,6 +180,15 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
+def turns(fills: np.ndarray) -> np.ndarray:
+    """The place of each bin among those of the same fill, from 0."""
+    order = np.argsort(fills, kind="stable")
+    begin = np.flatnonzero(np.append(True, fills[order][1:] != fills[order][:-1])) if len(fills) else np.zeros(0, np.int64)
+    out = np.empty(len(fills), np.int64)
+    out[order] = np.arange(len(fills)) - np.repeat(begin, np.diff(np.append(begin, len(fills))))
+    return out
+
+
 def pieces_of(path: str, end: int, capacity: int, batch: pa.RecordBatch):
     """(row, piece, start, length, crc) of each piece of a batch of (id, text)."""
     raw, at = text_bytes(batch.column(1))
@@ -135,39 +224,34 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
         piece, start, length, crc = (np.concatenate([h[1][k] for h in held]) for k in range(4))
         bins, offsets, fills = best_fit(length, capacity)
         group = TaskContext.get().partitionId()
-        columns = [ids, *(pa.array(c) for c in (piece.astype(np.int32), start, length, crc, (group << 32) + bins, offsets, fills[bins]))]
-        table = pa.Table.from_arrays(columns, ["id", "piece", "start", "length", "crc", "bin", "at", "fill"])
+        columns = [ids, *(pa.array(c) for c in (piece.astype(np.int32), start, length, crc, (group << 32) + bins, offsets, fills[bins], turns(fills)[bins]))]
+        table = pa.Table.from_arrays(columns, ["id", "piece", "start", "length", "crc", "bin", "at", "fill", "turn"])
         yield from table.to_batches(max_chunksize=20_000)
 
     kind = docs.schema[id].dataType.simpleString()
-    shape = f"id {kind}, piece int, start long, length long, crc long, bin long, at long, fill long"
+    shape = f"id {kind}, piece int, start long, length long, crc long, bin long, at long, fill long, turn long"
     placed = scratch.save(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(first_round, shape), "pieces")
 
     def next_round(key, frame):
         bins, offsets, fills = best_fit(frame["fill"].to_numpy(), capacity)
         roots = frame["bin"].to_numpy()[np.unique(bins, return_index=True)[1]]
-        return frame.assign(into=roots[bins], shift=offsets, fill=fills[bins])[["bin", "into", "shift", "fill"]]
-
-    # moves: where each bin of the first round has gone so far; open: the bins still going on
-    open_bins = scratch.save(placed.select("bin", "fill").where(f"fill < {capacity}").distinct(), "open")
-    groups = (open_bins.agg(F.max(F.shiftright("bin", 32))).first()[0] or 0) + 1
-    moves, span = None, 1
-    while span < groups:
-        span *= fan_in
-        least = open_bins.agg(F.min("fill")).first()[0]
-        if least is None:
-            break
-        going = open_bins.where(f"{capacity} - fill >= {least}").withColumn("group", F.floor(F.shiftright("bin", 32) / span))
-        done = scratch.save(going.groupBy("group").applyInPandas(next_round, "bin long, into long, shift long, fill long"), "round")
+        return frame.assign(into=roots[bins], shift=offsets, fill=fills[bins], turn=turns(fills)[bins])[["bin", "into", "shift", "fill", "turn"]]
+
+    # moves: where each bin of the first round has gone so far; open: the bins that a later round may complete
+    groups = (placed.agg(F.max(F.shiftright("bin", 32))).first()[0] or 0) + 1
+    spans = list(takewhile(lambda span: span < groups * fan_in, (fan_in**n for n in count(1))))
+    sent = lambda rows, left: rows.where(f"fill < {capacity} and turn < {fan_in * left}").select("bin", "fill").distinct()
+    open_bins, moves = scratch.save(sent(placed, len(spans)), "open"), None
+    for left, span in zip(range(len(spans) - 1, -1, -1), spans):
+        group = F.floor(F.shiftright("bin", 32) / span)
+        done = scratch.save(open_bins.groupBy(group.alias("group")).applyInPandas(next_round, "bin long, into long, shift long, fill long, turn long"), "round")
         if moves is None:
             moves = done.select("bin", "into", "shift")
         else:
             later = done.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("shift").alias("more"))
             moves = moves.join(later, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
-            fresh = done.join(moves.select("bin"), "bin", "left_anti").select("bin", "into", "shift")
-            moves = moves.unionByName(fresh)
         moves = scratch.save(moves, "moves")
-        open_bins = scratch.save(done.select(F.col("into").alias("bin"), "fill").distinct().where(f"fill < {capacity}"), "open")
+        open_bins = scratch.save(sent(done.select(F.col("into").alias("bin"), "fill", "turn"), left), "open")
     if moves is None:
         moves = spark.createDataFrame([], "bin long, into long, shift long")
     full = placed.where(f"fill = {capacity}").select("*", F.col("bin").alias("into"), F.lit(0).cast("long").alias("shift"))
