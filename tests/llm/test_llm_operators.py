@@ -178,6 +178,49 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_packing_sends_on_a_bounded_number_of_bins(spark):
+    """Texts of about 1,100 tokens that never pair, and one short one: what goes on doesn't grow with the rows."""
+    from pathlib import Path
+
+    from tracewright.session import shared_dir
+
+    rows = [(i, "be " * (1100 + i % 2)) for i in range(2400)] + [(9000, "be")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    out = packing.pack(df, tokenizer_path()).collect()
+    assert len({r.sequence_id for r in out}) == 2400 and len(out) == 2401
+    newest = max(Path(shared_dir(spark).removeprefix("file:")).glob("tracewright/packing-*"), key=lambda p: p.stat().st_mtime)
+    held = [spark.read.parquet(str(p)).count() for p in sorted(newest.glob("*-open"))]
+    assert held[0] <= 12 * (3 * 16 + 1) and held[1] <= 2 * (3 * 8 + 1)
+
+
+def test_rounds_pack_as_well_as_if_all_bins_went_on(spark):
+    """Many bins that only other groups can complete."""
+    rng = random.Random(8)
+    rows = [(i, "be " * (rng.choice([1300, 1500, 2000, 5, 40, 540, 740]) - 1)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(20, F.length("text"))
+    out = packing.pack(df, tokenizer_path()).collect()
+    groups = defaultdict(list)
+    for r in df.select(F.spark_partition_id().alias("p"), F.length("text").alias("n")).collect():
+        groups[r.p].append(r.n // 3 + 1)
+    for fan_in in (1, 8, 8):
+        merged = defaultdict(list)
+        for p, sizes in groups.items():
+            merged[p // fan_in] += sizes
+        groups = {p: packing.best_fit(np.array(sizes), 2048)[2].tolist() for p, sizes in merged.items()}
+    assert len(groups) == 1 and len({r.sequence_id for r in out}) <= len(groups[0]) + 2
+
+
+def test_tokens_of_odd_words_match_whole_texts():
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(1), tokenizer_path()
+    texts = ["".join(chr(rng.choice([rng.randrange(1, 0x260), rng.randrange(0x20, 0x7F), rng.randrange(1, 0xD000)])) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    texts += ["don't stop's 12 3 <|endoftext|>x", "\xa0 a \x85", "İstanbul ǅ ŉ \u0301a"]
+    ids, at = packing.WordTokens(path).encode([t.encode() for t in texts])
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+
+
 def test_best_fit_is_valid():
     sizes = np.array([RNG.randrange(1, 101) for _ in range(500)])
     bins, offsets, fills = packing.best_fit(sizes, 100)
@@ -313,6 +356,42 @@ def test_sampling_is_exact_on_short_texts():
     assert abs(np.mean([sum(math.exp(r[1] - r[2]) for r in x) for x in found]) - 1) < 0.03  # inverse inclusion weights are unbiased
 
 
+def test_sampling_of_five_matches_gumbel_top_k():
+    voc = sampling.vocabulary(tokenizer_path("piece_bpe_32k.model"), 0.3)
+    n, rng = 8_000, np.random.default_rng(4)
+    every = sampling.sample_texts(voc, ["an on"], np.zeros(1, int), 400)[0]
+    p, shown = np.array([r[1] for r in every]), {tuple(r[0].tolist()): i for i, r in enumerate(every)}
+    assert abs(np.exp(p).sum() - 1) < 1e-9  # every segmentation, each once
+    found = sampling.sample_texts(voc, ["an on"] * n, np.arange(n), 5)
+    held = np.array([[shown[tuple(r[0].tolist())] for r in x] for x in found])
+    assert all(len(set(row)) == 5 for row in held.tolist())
+    drawn = np.argsort(-(p + rng.gumbel(size=(60_000, len(p)))), axis=1)[:, :5]
+    for place in range(5):
+        assert np.abs(np.bincount(held[:, place], minlength=len(p)) / n - np.bincount(drawn[:, place], minlength=len(p)) / len(drawn)).max() < 0.02
+    weights = [sum(math.exp(r[1] - r[2]) for r in x) for x in found]
+    assert abs(np.mean(weights) - 1) < 0.02
+
+
+def test_sampling_walks_long_texts_in_parts():
+    voc, rng = sampling.vocabulary(tokenizer_path("piece_bpe_32k.model"), 1.0), random.Random(9)
+    texts = [prose(4000, rng).replace("be", "  日本 ").strip() + "  end", "", " ".join("ab" * rng.randrange(1, 9) for _ in range(2000))]
+    whole = sampling.sample_texts(voc, texts, np.array([5, 6, 7]), 4)
+    parts = sampling.sample_texts(voc, texts, np.array([5, 6, 7]), 4, size=1500)
+    for a, b in zip(whole, parts):
+        assert [x[0].tolist() for x in a] == [x[0].tolist() for x in b]
+        assert np.allclose([x[1:] for x in a], [x[1:] for x in b])
+    wide = "x" * 5000 + " y"
+    assert all(voc.decode(ids) == wide.encode() for ids, _, _ in sampling.sample_texts(voc, [wide], np.array([1]), 3, size=999)[0])
+
+
+def test_sampling_of_a_very_long_text_is_bounded(spark):
+    """20 MB in one row, in a worker that may hold far less than a lattice of it (about 150 bytes a character)."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    rows = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("repeat('some words that stand here and there, ', 525000)").alias("text"))
+    out = sampling.sample_segmentations(rows, path, with_ids=False).collect()
+    assert len(out) == 2 and all(r.round_trip for r in out)
+
+
 def test_sampling_round_trips_and_decodes(docs, spark, nothing):
     path = tokenizer_path("piece_bpe_32k.model")
     extra = spark.createDataFrame([(500, "日本 😀 x\ty  z "), (501, "x" * 3000)], "doc_id long, text string")
