@@ -76,7 +76,7 @@ def op9_minhash_near_dedup(spark, sf_dir):
 
 def op6_sentencepiece_sampling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sampling.sample_segmentations(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    return sampling.sample_segmentations(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 def op7_embedding_near_dedup(spark, sf_dir):

@@ -402,10 +402,11 @@ def sample_segmentations(rows: DataFrame, model: str, key: str = "doc_id", text:
                     at.append(i)
                     out.append((n, len(own), logp, inclusion, zlib.crc32(own.astype("<u4").tobytes()), voc.decode(own) == want))
                     if with_ids:
-                        ids.append(own.astype(np.int32))
+                        ids.append(own.astype(np.int32, copy=False))
             columns = [batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, (_, t) in zip(zip(*out), fields))]
             if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
             yield pa.RecordBatch.from_arrays(columns, ["key", *(n for n, _ in fields), *(["ids"] if with_ids else [])])
 
     kind = rows.schema[key].dataType.simpleString()
