@@ -282,6 +282,17 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embeddings.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_repeated_ids(spark):
+    """Ids 1 and 9 each have two vectors; both vectors' links count, and the id joins their components."""
+    rows = [(1, [1.0, 0, 0, 0]), (1, [0, 1.0, 0, 0]), (2, [1.0, 0.1, 0, 0]), (3, [0.1, 1.0, 0, 0]), (4, [0, 0, 1.0, 0]), (9, [0, 0, 1.0, 0]), (9, [0, 0, 0, 1.0]), (8, [0, 0, 0, 1.0]), (None, [1.0, 0, 0, 0])]
+    rows = [(i, list(map(float, v))) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("id", "mark", "node", "size")})
+    for parts in (1, 4):
+        got = sorted(tuple(r) for r in embeddings.embedding_dedup(df.repartition(parts)).collect() if r.vec_id is not None)
+        assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (8, 1, 4, False), (9, 1, 4, False), (9, 1, 4, False)]
+    assert [tuple(r) for r in embeddings.embedding_dedup(df).where("vec_id is null").collect()] == [(None, 0, None, True)]
+
+
 def test_toxicity_learns_without_held_out_labels(spark, nothing):
     rng = random.Random(2)
     docs, labels = [], []
