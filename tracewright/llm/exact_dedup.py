@@ -1,72 +1,112 @@
 """Exact deduplication by an extendible-hash index kept on shared files; DataFrame functions only.
 
-Texts are equal when identical after deleting ASCII white space. A first aggregation compares the
-texts' bytes (the text itself is a grouping key beside its 64-bit hash, so two texts that collide stay
-two entries of one chain) and collapses copies inside each task before anything is shuffled: a group of
-copies of any size costs one row for each task. Of each distinct text an entry without the text goes to
-the index. The directory starts with one bucket and is doubled while buckets hold more than ``capacity``
-entries; a bucket splits only as deep as it must. Owner tasks take ranges of (bucket, hash), lay the
-chains out in order and write them to the shared folder, where every document looks itself up.
+Texts are equal when identical after deleting ASCII white space. The index is built from the 64-bit hashes of the
+texts: the directory starts as one bucket and is doubled, ``STEP`` times a round, while a bucket holds more than
+``capacity`` hashes; a bucket splits only as deep as it must, and rounds go on, over the overfull buckets alone, until
+none is left. An entry of the index is a distinct text: its owner gets it with its bytes, which decide what is equal,
+and copies collapse inside each task before anything is shuffled, so that a group of copies of any size costs one row
+for each task. Texts that differ but share a hash are chained. The index is written in ranges of (bucket, hash); every
+document finds its bucket by the leading bits of its hash, and its chain by the hash. Where the chain has one entry,
+all texts of that hash have been compared already; in a longer one the document's bytes are compared with the entries'.
 
 Defined results: a null text is empty; empty texts are equal to each other; rows that repeat an id share
-its fate; rows with a null id lose to any other and, where a text has only such rows, count as kept. Other
-columns, whatever their names, are ignored.
+its fate; of equally long texts one with a null id loses to any other; where such a row stays, all rows of its group
+without an id count as kept; an empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewright.session import Scratch
 
 WHITE = " \t\n\x0b\x0c\r"
 LAST_ID = 9223372036854775807
-MOST_BITS = 16
+STEP = 8
 
 
 def normalised(text: str) -> Column:
     return F.translate(F.coalesce(F.col(text), F.lit("")), WHITE, "")
 
 
-def directory(entries: DataFrame, scratch: Scratch, capacity: int) -> DataFrame:
-    """(code, bucket, depth): the bucket of each of the first ``bits`` bits of a hash, at most 2**16 rows."""
-    codes = scratch.save(entries.groupBy(F.shiftrightunsigned("h", 64 - MOST_BITS).alias("code")).agg(F.count("*").alias("n")), "codes")
-    held = codes.agg(F.sum("n")).first()[0] or 0
-    bits = min(MOST_BITS, max(1, (held // capacity).bit_length() + 3))
-    depth = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")
-    pages = codes.groupBy(F.shiftright("code", MOST_BITS - bits).alias("code")).agg(F.sum("n").alias("n"))
-    split = pages.select("code", "n", depth).withColumn("prefix", F.expr(f"shiftright(code, {bits} - depth)"))
-    load = split.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
-    fits = split.join(load, ["depth", "prefix"]).where((F.col("held") <= capacity) | (F.col("depth") == bits))
-    leaf = fits.groupBy("code").agg(F.min("depth").alias("depth"))
-    return leaf.select("code", "depth", F.expr(f"shiftleft(shiftright(code, {bits} - depth), {MOST_BITS} - depth)").alias("bucket"), F.lit(bits).alias("bits"))
-
-
-def build_index(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text", capacity: int = 4096) -> DataFrame:
-    """(bucket, depth, h, chain, text_sha256, keep_id, group_size), one row per distinct text, in key order on shared files."""
-    rank = F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("decimal(38,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)")
-    rank = (rank + (F.lit(LAST_ID).cast("decimal(20,0)") - F.coalesce(F.col(id), F.lit(LAST_ID)).cast("decimal(20,0)"))).cast("decimal(38,0)")
-    keyed = docs.select(normalised(text).alias("norm"), rank.alias("rank")).withColumn("h", F.xxhash64("norm"))
-    groups = keyed.groupBy("h", "norm").agg(F.count("*").alias("group_size"), F.max("rank").alias("rank"))
-    low = (F.lit(LAST_ID).cast("decimal(20,0)") - (F.col("rank") % F.lit("1" + "0" * 20).cast("decimal(21,0)"))).cast("long")
-    entries = scratch.save(groups.select("h", F.sha2("norm", 256).alias("text_sha256"), F.nullif(low, F.lit(LAST_ID)).alias("keep_id"), "group_size"), "entries")
-    where = directory(entries, scratch, capacity)
-    bits = where.select("bits").first()
-    code = F.shiftrightunsigned("h", 64 - (bits[0] if bits else 1)).alias("code")
-    placed = entries.withColumn("code", code).join(F.broadcast(where.drop("bits")), "code").drop("code")
-    owned = placed.repartitionByRange("bucket", "h", "text_sha256")
-    chain = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("text_sha256"))
-    index = owned.withColumn("chain", chain).select("bucket", "depth", "h", "chain", "text_sha256", "keep_id", "group_size")
-    return scratch.save(index, "index")
-
-
-def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = 4096) -> DataFrame:
+def prefix(h: Column | str, depth: Column | int) -> Column:
+    """The first ``depth`` bits of a hash, at the top of 64 with zeros below."""
+    h, depth = F.col(h) if isinstance(h, str) else h, F.lit(depth) if isinstance(depth, int) else depth
+    mask = F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(-1).cast("long"), (64 - depth).cast("int")))
+    return h.bitwiseAND(mask)
+
+
+def grow_directory(hashes: DataFrame, scratch: Scratch, capacity: int) -> DataFrame:
+    """(bucket, depth): the buckets that distinct hashes ``h`` split into; a bucket is its hashes' common leading bits."""
+    spark, leaves, depth = hashes.sparkSession, [], 0
+    if hashes.count() <= capacity:
+        return spark.range(1).select(F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("depth"))
+    overfull = hashes
+    while depth < 64:
+        low, depth = depth, depth + STEP
+        codes = scratch.save(overfull.groupBy(prefix("h", depth).alias("code")).agg(F.count("*").alias("n")), "codes")
+        split = codes.select("code", "n", F.explode(F.sequence(F.lit(low + 1), F.lit(depth))).alias("depth")).withColumn("bucket", prefix("code", F.col("depth")))
+        held = split.groupBy("depth", "bucket").agg(F.sum("n").alias("held"))
+        fit = split.join(held, ["depth", "bucket"]).where((F.col("held") <= capacity) | (F.col("depth") == 64))
+        leaf = fit.groupBy("code").agg(F.min("depth").alias("depth")).select(prefix("code", F.col("depth")).alias("bucket"), "depth").distinct()
+        leaves.append(scratch.save(leaf, "leaves"))
+        crowded = codes.where(F.col("n") > capacity).select("code")
+        if depth == 64 or crowded.isEmpty():
+            break
+        overfull = overfull.join(crowded, prefix("h", depth) == F.col("code"), "left_semi")
+    out = leaves[0]
+    for more in leaves[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def routed(rows: DataFrame, directory: DataFrame, depths: list[int]) -> DataFrame:
+    """``rows`` with the bucket that their hash ``h`` leads to: one of the few depths in use has its prefix."""
+    asked = rows.withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).withColumn("bucket", prefix("h", F.col("depth")))
+    return asked.join(directory, ["bucket", "depth"])
+
+
+class Index:
+    """The index over one input; see the module's docstring. ``bits`` of a hash are used (fewer in tests of chains)."""
+
+    def __init__(self, docs: DataFrame, id: str, text: str, capacity: int, bits: int):
+        self.scratch = Scratch(docs.sparkSession, "exact")
+        hashed = lambda norm: prefix(F.xxhash64(norm), bits)
+        whole = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), normalised(text).alias("norm"))
+        # more code points first, then the smaller id, as one number whose maximum is wanted
+        rank = F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("decimal(38,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)")
+        rank = (rank + (F.lit(LAST_ID).cast("decimal(20,0)") - F.coalesce(F.col("id"), F.lit(LAST_ID)).cast("decimal(20,0)"))).cast("decimal(38,0)")
+        self.texts = whole.select("id", rank.alias("rank"), "norm", hashed("norm").alias("h"))
+        groups = self.texts.groupBy("h", "norm").agg(F.count("*").alias("group_size"), F.max("rank").alias("rank"))
+        low = (F.lit(LAST_ID).cast("decimal(20,0)") - (F.col("rank") % F.lit("1" + "0" * 20).cast("decimal(21,0)"))).cast("long")
+        entry = groups.select("h", F.sha2("norm", 256).alias("text_sha256"), F.nullif(low, F.lit(LAST_ID)).alias("keep_id"), "group_size")
+        entries = self.scratch.save(entry, "entries")
+        chains = self.scratch.save(entries.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("text_sha256", "keep_id", "group_size"))).alias("chain")), "chains")
+        self.directory = self.scratch.save(grow_directory(chains.select("h"), self.scratch, capacity), "directory")
+        self.depths = sorted(r["depth"] for r in self.directory.select("depth").distinct().collect())  # at most 65
+        owned = routed(chains, self.directory, self.depths).repartitionByRange("bucket", "h")
+        self.index = self.scratch.save(owned.select("bucket", "depth", "h", "chain"), "index")
+
+    def look_up(self) -> DataFrame:
+        """(id, keep_id, group_size, text_sha256) of every document, from its chain."""
+        asked = routed(self.texts.select("id", "h"), self.directory, self.depths)
+        found = asked.join(self.index.select("bucket", "h", "chain"), ["bucket", "h"]).where("size(chain) = 1")
+        found = found.select("id", F.element_at("chain", 1).alias("entry")).select("id", "entry.*")
+        # documents whose hash is shared by different texts: their bytes against those of the chain's texts
+        longer = self.index.where("size(chain) > 1").select("h", F.explode("chain").alias("entry"))
+        if longer.isEmpty():
+            return found
+        held = self.texts.join(longer.select("h").distinct(), "h", "left_semi")
+        texts = held.groupBy("h", "norm").agg(F.sha2("norm", 256).alias("text_sha256"))
+        chained = longer.select("h", "entry.*").join(texts, ["h", "text_sha256"])
+        asked = held.select("id", F.col("h").alias("k"), F.col("norm").alias("own"))
+        return found.unionByName(asked.join(chained, (F.col("k") == F.col("h")) & (F.col("own") == F.col("norm"))).select(*found.columns))
+
+
+def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = 4096, bits: int = 64) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
 
     Of equal texts the row with the most code points in the original text stays, then the smallest id.
     """
-    scratch = Scratch(docs.sparkSession, "exact")
-    index = build_index(docs, scratch, id, text, capacity)
-    probe = docs.select(F.col(id), normalised(text).alias("norm")).select(id, F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256"))
-    found = probe.join(index.select("h", "text_sha256", "keep_id", "group_size"), ["h", "text_sha256"])
-    return found.select(id, "keep_id", "group_size", F.col(id).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    found = Index(docs, id, text, capacity, bits).look_up()
+    return found.select(F.col("id").alias(id), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
