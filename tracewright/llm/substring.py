@@ -1,20 +1,22 @@
-"""Repeated passages across documents, found in FM-indexes over shards of candidate text.
+"""Repeated passages across documents, found by streaming documents' text through FM-indexes of other documents' text.
 
 A window of ``WINDOW`` consecutive words is removed from a document when the same words also start in a
 document with a smaller id; windows are judged on the input. Every window has an anchor, the least hash
 among its 8-word grams, which depends on its words alone, so equal windows have equal anchors. Windows in a
-row with one anchor form a piece. Only pieces whose anchor is found in several documents go on: they are
-dealt to shards by anchor, equal pieces collapse to one that knows its least id, and each shard builds a
-compressed FM-index (BWT in a wavelet matrix) of its pieces and streams them through backward search. That
-yields for every window the suffix interval of its 50 words, and the least document id in it.
+row with one anchor form a piece. Only pieces whose anchor is found in several documents go on, dealt to shards by
+anchor. Of an anchor's pieces a shard indexes those that have a document with a greater id beside them (BWT in a
+wavelet matrix), and streams through the index those that have one with a smaller id: backward search computes their
+matching statistics, and where these reach the window, the suffix interval tells the least document id that has it.
 
-Skew: documents with the same words are one representative (each further copy repeats it wholly); anchors
-that more than ``HOT`` documents share, about as many as a task can index at once, are dealt by the hash of the
-whole window instead, one piece a window; a piece that a document repeats is one row with its places; shards are
-built one after another at ``SHARD_WORDS`` words, whatever a task holds.
+Skew: documents with the same words are one representative (each further copy repeats it wholly); equal pieces
+collapse inside each task before they are dealt, to one with its least and greatest id; anchors that more than ``HOT``
+documents share, about as many as a task can index at once, are dealt by the hash of the whole window instead, one
+piece a window; a piece that a document repeats is one row with its places; shards are built one after another at
+``SHARD_WORDS`` words, whatever a task holds.
 
 Defined results: null texts have no words; rows that repeat an id are judged by their own text and never
-remove words from each other; a row with a null id is left as it is and removes nothing.
+remove words from each other; a row with a null id is left as it is and removes nothing; an empty table gives no rows;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -129,29 +131,44 @@ def _search(batches):
         yield _search_one(shard)
 
 
-def _search_one(table: pa.Table):
-    """Equal pieces collapse to one with its least and greatest id; then the shard is indexed and searched."""
-    place, keys, texts, first, last = {}, [], [], [], []
-    for key, piece, id, words in zip(*(table.column(c).to_pylist() for c in ("key", "piece", "id", "words"))):
-        k = place.setdefault((key, piece), len(texts))
-        if k == len(texts):
-            keys.append(key)
-            texts.append(words)
-            first.append(id)
-            last.append(id)
-        else:
-            texts[k] = texts[k] or words
-            first[k], last[k] = min(first[k], id), max(last[k], id)
-    pieces = [piece for _, piece in place]
-    texts, first, last = [np.frombuffer(t, U64) for t in texts], np.array(first), np.array(last)
-    size = np.array([len(t) for t in texts])
-    start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-    codes = np.zeros(int((size + 1).sum()), np.int64)
-    inside = np.ones(len(codes), bool)
+def _laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in a row, each with one more place after it: where each begins, its size, and which places are words."""
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.concatenate(([0], np.cumsum(size + 1)[:-1])).astype(np.int64)
+    inside = np.ones(int((size + 1).sum()), bool)
     inside[start + size] = False
-    codes[inside] = np.unique(np.concatenate(texts), return_inverse=True)[1] + 1
-    found = FMIndex(codes, WINDOW).windows(start, size, np.repeat(first, size + 1))
-    text, at, least = (np.concatenate([f[k] for f in found]) for k in range(3))
+    return start, size, inside
+
+
+def _search_one(table: pa.Table):
+    """Of the pieces of each key, those that may be a source are indexed, those that may repeat one are streamed."""
+    key, first, last = (table.column(c).to_numpy() for c in ("key", "first", "last"))
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    rows = np.diff(np.append(heads, len(key)))
+    source = np.flatnonzero(first < np.repeat(np.maximum.reduceat(last, heads), rows))
+    stream = np.flatnonzero(last > np.repeat(np.minimum.reduceat(first, heads), rows))
+    words = table.column("words").to_pylist()
+    found = []
+    if len(source) and len(stream):
+        texts = [np.frombuffer(words[i], U64) for i in source]
+        _, size, inside = _laid_out(texts)
+        known, code = np.unique(np.concatenate(texts), return_inverse=True)
+        codes = np.zeros(len(inside), np.int64)
+        codes[inside] = code + 1
+        index = FMIndex(codes, np.repeat(first[source], size + 1), WINDOW)
+        del codes, inside, code
+        texts = [np.frombuffer(words[i], U64) for i in stream]
+        start, size, inside = _laid_out(texts)
+        asked = np.concatenate(texts)
+        place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        codes = np.zeros(len(inside), np.int64)
+        codes[inside] = np.where(known[place] == asked, place + 1, 0)
+        found = index.matches(codes, start, size)
+    if found:
+        text, at, least = (np.concatenate([f[k] for f in found]) for k in range(3))
+        text = stream[text]
+    else:
+        text, at, least = (np.zeros(0, np.int64) for _ in range(3))
     some = np.flatnonzero(least < last[text])
     some = some[np.lexsort((at[some], text[some]))]
     text, at, least = text[some], at[some], least[some]
@@ -160,7 +177,7 @@ def _search_one(table: pa.Table):
     begin = np.flatnonzero(fresh)
     own, counts = np.unique(text[begin], return_counts=True)
     runs = _list(np.concatenate(([0], np.cumsum(counts))), at=at[begin].astype(np.int32), n=np.diff(np.append(begin, len(text))).astype(np.int32), least=least[begin])
-    return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in own], pa.int64()), pa.array([pieces[k] for k in own], pa.binary()), runs], ["key", "piece", "found"])
+    return pa.RecordBatch.from_arrays([pa.array(key[own], pa.int64()), table.column("piece").combine_chunks().take(pa.array(own)), runs], ["key", "piece", "found"])
 
 
 def _keep(batches):
@@ -204,7 +221,8 @@ class Search:
         texts = save(self.docs.join(shared, "id"), "texts")
         self.scratch.drop(own)
         pieces = save(texts.select("id", "text", "shared").mapInArrow(_cut, "key long, piece binary, id long, row long, starts array<int>, words binary"), "pieces")
-        dealt = pieces.select("key", "piece", "id", "words").repartition("key").sortWithinPartitions("key")
+        distinct = pieces.groupBy("key", "piece").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max("words").alias("words"))
+        dealt = distinct.repartition("key").sortWithinPartitions("key")
         found = save(dealt.mapInArrow(_search, "key long, piece binary, found array<struct<at:int,n:int,least:bigint>>"), "found")
         hits = pieces.select("key", "piece", "id", "row", "starts").join(found, ["key", "piece"])
         runs = F.filter("found", lambda f: f["least"] < F.col("id"))
