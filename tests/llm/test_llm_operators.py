@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import embeddings, exact_dedup, minhash, packing, sampling, sharding, substring, toxicity, url_filter, warc
+from tracewright.llm import embeddings, exact_dedup, fmindex, minhash, packing, sampling, sharding, substring, toxicity, url_filter, warc
 from tracewright.llm.queries import SHARDS, SLOTS, tokenizer_path
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -52,26 +52,36 @@ def rows_of(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
-def test_exact_dedup(docs, nothing):
+@pytest.mark.parametrize("capacity, bits", [(4096, 64), (4, 64), (4, 5)])
+def test_exact_dedup(docs, nothing, capacity, bits):
+    """With 5 bits of hash most chains hold several texts."""
     groups = defaultdict(list)
     for i, t in corpus():
         groups["".join(c for c in (t or "") if c not in WHITE)].append((-len(t or ""), i))
     want = {i: (min(g)[1], len(g), min(g)[1] == i, hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for _, i in g}
-    got = rows_of(exact_dedup.exact_dedup(docs, capacity=4))
+    got = rows_of(exact_dedup.exact_dedup(docs.withColumns({c: F.lit("clash") for c in ("h", "norm", "chain", "depth")}), capacity=capacity, bits=bits))
     assert {i: tuple(r[1:]) for i, r in got.items()} == want
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
+def test_exact_dedup_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b"), (3, "ab"), (3, "other"), (None, "lone"), (None, " lone"), (3, "ab")]
+    got = sorted(map(tuple, exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_sha256").collect()), key=str)
+    assert got == sorted([(None, None, 2, True), (None, None, 2, True), (None, None, 3, True), (3, None, 3, False), (3, None, 3, False), (3, 3, 1, True)], key=str)
+
+
 def test_directory_splits_overfull_buckets_only(spark):
+    """5,000 hashes spread, and 300 more under one prefix of 20 bits, deeper than a round of doublings."""
     from tracewright.session import Scratch
 
-    entries = spark.range(2000).select(F.xxhash64("id").alias("h"))
-    leaves = exact_dedup.directory(entries, Scratch(spark, "t"), 100)
-    bits = leaves.first()["bits"]
-    code = F.shiftrightunsigned("h", 64 - bits).alias("code")
-    held = entries.select(code).join(leaves, "code").groupBy("bucket", "depth").agg(F.count("*").alias("n"))
-    assert held.agg(F.sum("n")).first()[0] == 2000
-    assert held.agg(F.max("n")).first()[0] <= 100
+    deep = F.expr("shiftleft(cast(5 as bigint), 44) + shiftleft(id, 30)")
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("h")).union(spark.range(300).select(deep)).distinct()
+    scratch = Scratch(spark, "t")
+    leaves = scratch.save(exact_dedup.grow_directory(hashes, scratch, 100), "leaves")
+    depths = [r.depth for r in leaves.select("depth").distinct().collect()]
+    held = exact_dedup.routed(hashes, leaves, depths).groupBy("bucket", "depth").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in held) == 5300 and max(r.n for r in held) <= 100
+    assert max(depths) > 20 and min(depths) >= 5 and len(held) < 4 * 53
 
 
 def windows_removed(rows):
@@ -98,6 +108,26 @@ def test_substring_dedup(docs, nothing, hot, monkeypatch):
     assert substring.substring_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("window", [3, 50])
+def test_matching_statistics_by_backward_search(window):
+    """Against brute force: texts over few codes, streamed texts with codes that the index doesn't have."""
+    rng = np.random.default_rng(window)
+    draw = lambda n, top: [np.repeat(rng.integers(1, top, 40), rng.integers(1, 9, 40))[: rng.integers(1, 160)] for _ in range(n)]
+    held = draw(25, 4)
+    asked = draw(10, 5) + [np.concatenate([h[3:], [9], h[:90], held[0][5:70]]) for h in held[:12]]
+    codes, weight = np.concatenate([np.append(t, 0) for t in held]), np.repeat(rng.permutation(25), [len(t) + 1 for t in held])
+    least = {}
+    for t, w in zip(held, np.unique(np.repeat(np.arange(25), [len(t) + 1 for t in held]), return_index=True)[1]):
+        for j in range(len(t) - window + 1):
+            k = tuple(t[j : j + window].tolist())
+            least[k] = min(least.get(k, 99), int(weight[w]))
+    want = {(i, j): least[k] for i, t in enumerate(asked) for j in range(len(t) - window + 1) if (k := tuple(t[j : j + window].tolist())) in least}
+    flat = np.concatenate([np.append(np.where(t < 4, t, 0), 0) for t in asked])
+    size = np.array([len(t) for t in asked])
+    got = fmindex.FMIndex(codes, weight, window).matches(flat, np.cumsum(size + 1) - size - 1, size)
+    assert {(int(i), int(j)): int(w) for text, at, low in got for i, j, w in zip(text, at, low)} == want and want
+
+
 def test_without_repeats_keeps_columns_and_untouched_texts(docs):
     out = substring.without_repeats(docs)
     assert out.columns == docs.columns
