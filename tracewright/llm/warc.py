@@ -3,12 +3,14 @@
 A capture is written as a request, a response (or, where an equal payload is stored already, a revisit) and a
 metadata record; the request and the metadata name the response in WARC-Concurrent-To. Records are written by
 Spark's own text sink, gzip-compressed, so archives go wherever the session can write, and read back through
-its binaryFile source, a file at a time; ``captures_per_file`` bounds a file. Transaction assembly joins the
+its binaryFile source, a file at a time. Captures are dealt to archives by the size of their payloads, so that each
+archive has at most ``archive_bytes`` of them before compression, or one capture. Transaction assembly joins the
 three kinds of record through the concurrent-to identifiers into one nested row per capture.
 
 Defined results: a null payload is empty; a null url gives no WARC-Target-URI; line breaks in a url are
-percent-encoded; a row with a null page id is always a response; identical rows are one capture; a request or
-metadata record whose response is missing gives no capture.
+percent-encoded; a row with a null page id is always a response; identical rows share their record ids and are as
+many captures; a request or metadata record whose response is missing gives no capture; an empty table gives no rows;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tracewright.session import Scratch
 
 EOL = "\r\n"
+SMALL = 1 << 16
 BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
@@ -47,7 +50,7 @@ def _record(fields: dict[str, Column | str], block: Column) -> Column:
     return F.concat(F.concat_ws(EOL, *lines), F.lit(EOL * 2), block)
 
 
-def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", smallest: int = 0, captures_per_file: int = 2000, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html", smallest: int = 0, archive_bytes: int = 128 << 20, date: str = "2024-01-01T00:00:00Z") -> None:
     """Archives of all rows under ``path``; payloads of at least ``smallest`` bytes are stored once."""
     clean = F.replace(F.replace(F.col(url), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = pages.select(F.col(id).alias("id"), clean.alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("body"))
@@ -80,8 +83,13 @@ def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url
         _record({"WARC-Type": "metadata", "WARC-Record-ID": record_id("metadata", F.col("id"), F.col("url"), F.col("digest")), "WARC-Concurrent-To": own, **common, "Content-Type": "application/warc-fields"}, facts),
     ]
     # the sink ends each row, and so each capture's last record, with the blank lines that end a record
-    lines = rows.select(F.concat_ws(EOL * 2, *texts).alias("value"))
-    lines.write.option("compression", "gzip").option("lineSep", EOL * 2).option("maxRecordsPerFile", captures_per_file).text(path)
+    lines = rows.select("size", F.concat_ws(EOL * 2, *texts).alias("value"))
+    most, low = rows.agg(F.max("size")).first()[0], -1
+    for high in (SMALL << shift for shift in range(0, 33, 4)):  # payloads up to 64 KiB, 1 MiB, 16 MiB, ...
+        if low < 0 or most is not None and low < most:
+            own = lines.where((F.col("size") > low) & (F.col("size") <= high)).select("value")
+            own.write.option("compression", "gzip").option("lineSep", EOL * 2).option("maxRecordsPerFile", max(1, archive_bytes // high)).text(f"{path}/up-to-{high}")
+        low = high
 
 
 RECORD = pa.schema(
@@ -138,7 +146,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), RECORD)], schema=RECORD)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, RECORD_DDL)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(read, RECORD_DDL)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -146,15 +154,19 @@ def assemble(records: DataFrame) -> DataFrame:
 
     ``stored`` is the response that a revisit refers to, with the fields of its metadata record.
     """
-    kept = records.dropDuplicates(["record_id"])
+    # identical rows wrote identical records: each is taken once, and its captures are given as often as it was found
+    held = records.groupBy("record_id").agg(F.first(F.struct(*(c for c in records.columns if c != "record_id"))).alias("r"), F.count("*").alias("copies"))
+    kept = held.select("record_id", "copies", "r.*")
     answers = kept.where("type in ('response', 'revisit')")
     part = lambda kind, *names: kept.where(F.col("type") == kind).select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", *names).alias(kind))
     whole = answers.join(part("request", "payload"), "record_id", "left").join(part("metadata", "fields"), "record_id", "left")
     source = kept.where("type = 'response'").select("record_id", "payload_bytes", "payload_digest")
-    source = source.join(part("metadata", "fields"), "record_id", "left").select(F.col("record_id").alias("refers_to"), F.struct("record_id", "payload_bytes", "payload_digest", F.col("metadata.fields").alias("fields")).alias("stored"))
-    whole = whole.join(source, "refers_to", "left")
+    source = source.join(part("metadata", "fields"), "record_id", "left").select(F.col("record_id").alias("source"), F.struct("record_id", "payload_bytes", "payload_digest", F.col("metadata.fields").alias("fields")).alias("stored"))
+    # responses refer to nothing: keys of their own keep them from meeting in one task
+    whole = whole.withColumn("source", F.coalesce("refers_to", F.concat(F.lit("none of "), "record_id"))).join(source, "source", "left")
     answer = F.struct("type", "digest_header", "payload_bytes", "payload_digest", "refers_to", "payload").alias("response")
-    return whole.select(F.col("record_id").alias("capture_id"), "uri", "date", "request", answer, "metadata", "stored")
+    found = whole.select(F.col("record_id").alias("capture_id"), "uri", "date", "request", answer, "metadata", "stored", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return found.drop("copy")
 
 
 def round_trip(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", smallest: int = 0) -> DataFrame:
