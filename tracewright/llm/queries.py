@@ -84,22 +84,24 @@ def op7_embedding_near_dedup(spark, sf_dir):
 
 
 def op10_url_filter(spark, sf_dir):
-    """Pages fetched through January 2024 against lists that the events date: error and click block, others allow.
+    """Pages fetched through January 2024 against a list of one entry for each event: error and click block, others allow.
 
-    View events are no list entries, as in its SQL, which defines the result.
+    An event's entry names one of the pages' hosts or of their last two labels, by the md5 of its id.
     """
     from pyspark.sql import functions as F
 
+    from tracewright.operators.select import global_rank
+
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     minutes = F.pmod(F.col("page_id") * 7919, F.lit(43_200))
     captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1_704_067_200) + minutes * 60))
     hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
     names = hosts.unionByName(hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("host"))).where("host <> ''").distinct()
-    names = names.withColumn("user_id", F.pmod(F.conv(F.substring(F.md5("host"), 1, 8), 16, 10).cast("long"), F.lit(150)))
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("entry_id"), F.pmod("user_id", F.lit(150)).alias("user_id"), F.col("ts").cast("timestamp").alias("at"), "event_type")
+    names = global_rank(names, "host")
+    place = F.pmod(F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(max(1, names.count())))
     action = F.when(F.col("event_type").isin("error", "click"), "block").otherwise("allow")
-    entries = events.where("event_type <> 'view'").join(names, "user_id").select("entry_id", "host", "at", action.alias("action"))
-    out = url_filter.filter_urls(captures, entries, "page_id", "url", "fetched_at")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("entry_id"), F.col("ts").cast("timestamp").alias("at"), action.alias("action"), place.alias("rank"))
+    out = url_filter.filter_urls(captures, events.join(names, "rank").drop("rank"), "page_id", "url", "fetched_at")
     return out.withColumn("fetched_at", F.unix_seconds("fetched_at"))
 
 
@@ -109,11 +111,11 @@ WITH c AS (
          1704067200 + ((page_id * 7919) % 43200) * 60 AS t FROM pages),
 h AS (SELECT DISTINCT host FROM c WHERE host <> ''),
 n AS (
-  SELECT host, ('0x' || substr(md5(host), 1, 8))::BIGINT % 150 AS user_id
+  SELECT host, row_number() OVER (ORDER BY host) - 1 AS k, count(*) OVER () AS total
   FROM (SELECT host FROM h UNION SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM h) WHERE host <> ''),
 e AS (
   SELECT n.host, epoch_us(v.ts) AS since, max_by(CASE WHEN event_type IN ('error', 'click') THEN 'block' ELSE 'allow' END, event_id) AS action, max(event_id) AS entry_id
-  FROM events v JOIN n ON n.user_id = v.user_id % 150 WHERE event_type <> 'view' GROUP BY 1, 2),
+  FROM events v JOIN n ON n.k = ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % n.total GROUP BY 1, 2),
 i AS (SELECT *, lead(since) OVER (PARTITION BY host ORDER BY since) AS until FROM e),
 f AS (
   SELECT c.page_id, c.host, c.t, i.host AS listed, i.entry_id, i.action,
@@ -121,7 +123,7 @@ f AS (
   FROM c JOIN i ON (c.host = i.host OR suffix(c.host, '.' || i.host)) AND i.since <= c.t * 1000000 AND (i.until IS NULL OR c.t * 1000000 < i.until))
 SELECT c.page_id, c.host, c.t AS fetched_at, f.entry_id, f.listed AS listed_host, f.action, coalesce(f.action <> 'block', true) AS allowed
 FROM c LEFT JOIN f ON f.page_id = c.page_id AND f.k = 1
-""".replace("\\\\", "\\")
+"""
 
 
 QUERIES = {"op6_sentencepiece_sampling": op6_sentencepiece_sampling, "op2_sharding": op2_sharding, "op10_url_filter": op10_url_filter, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
