@@ -10,17 +10,20 @@ has at most one wrong symbol in at least 3 chunks, so indexing every chunk under
 one symbol left out (36 keys a document) finds all pairs within the threshold. Links are then confirmed on
 the full sets, so no false link survives.
 
-Work stays linear in groups of copies: equal sets are one representative; the rows of an index bucket are
-first paired with its smallest id only, confirmed, and joined into components. Of the rows of a bucket whose
+Work stays linear in groups of copies: equal sets are one node with a number of its own; the rows of an index bucket
+are first paired with its smallest node only, confirmed, and joined into components. Of the rows of a bucket whose
 components still differ, each task keeps a spanning forest of the pairs near enough, not the pairs; the forests
-connect clusters, and a cluster's members are compared in tiles, nearest pairs first, where a pair whose
-components have been joined is passed over and only links are handed on. Documents that stay just below 0.75 to
-each other are the one case that costs a comparison (no row) for each pair. Buckets of more than ``crowded``
-rows with several components are split by the keys of a further chunk, up to twice, which the three good chunks
-allow without losing a pair. Tables between the steps lie in the shared folder.
-
-Defined results: null texts, and texts without words, have an empty set and link with nothing; rows that
-repeat an id are one document; a row with a null id links with nothing and has a null component.
+connect clusters. A cluster's members are compared in tiles, first by their signatures alone, which tells whose full
+sets a tile needs; then nearest pairs first, where a pair whose components have been joined is passed over and only
+links are handed on. Documents that stay just below 0.75 to each other are the one case that costs a comparison (no
+row) for each pair. Buckets of more than ``crowded`` rows with several components are split by the keys of a further
+chunk, up to twice, which the three good chunks allow without losing a pair; what is still crowded then is dealt to
+slots, and a task compares two slots. Tables between the steps lie in the shared folder.
+
+Defined results: null texts, and texts without words, have an empty set and link with nothing; rows that repeat an id
+with other texts are compared each for itself but are one document, so components join through it; a row with a null
+id links with nothing, has a null component and is kept; an empty table gives no rows; further columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +96,7 @@ def _sketch(batches):
         sets = shingle_sets(batch.column(1))
         size = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(size)
-        marks = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        marks = [_mark(s.tobytes()) for s in sets]
         sig, keys = [None] * len(sets), np.zeros((0, SYMBOLS), np.int64)
         if len(full):
             symbols, checks = signatures([sets[i] for i in full])
@@ -105,9 +108,14 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(marks, pa.binary()), pa.array(sig, pa.binary()), lists], ["id", "n", "mark", "sig", "keys"])
 
 
+def _mark(grams: bytes) -> bytes | None:
+    return blake2b(grams, digest_size=16).digest() if grams else None
+
+
 def _sets(batches):
     for batch in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["id", "grams"])
+        grams = [s.tobytes() for s in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([pa.array([_mark(g) for g in grams], pa.binary()), pa.array(grams, pa.binary())], ["mark", "grams"])
 
 
 def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +154,7 @@ def _crossing(batches):
     """
 
     def forest(rows: pa.Table):
-        key, id, group = (rows.column(k).to_numpy() for k in ("key", "id", "component"))
+        key, id, group = (rows.column(k).to_numpy() for k in ("key", "node", "component"))
         signed, root = _matrix(rows.column("sig")), np.arange(len(key))
         at, step = np.arange(len(key)), 1
         while True:
@@ -195,17 +203,34 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
+def _tile_pairs(slot, group, i, j, signed):
+    """The pairs of a tile that are near enough and whose components differ, and how far they are."""
+    x, y = np.triu_indices(len(slot), 1) if i == j else (v.ravel() for v in np.meshgrid(np.flatnonzero(slot == i), np.flatnonzero(slot == j), indexing="ij"))
+    for at in range(0, len(x), 100_000):
+        a, b = x[at : at + 100_000], y[at : at + 100_000]
+        open_ = group[a] != group[b]
+        ok, far = _within(signed, a[open_], signed, b[open_])
+        yield a[open_][ok], b[open_][ok], far
+
+
+def _needed(rows: list[tuple]):
+    """The rows of a tile that are in such a pair: their sets are needed."""
+    cluster, i, j, node, slot, group, sig = zip(*rows)
+    some = np.zeros(len(rows), bool)
+    for a, b, _ in _tile_pairs(np.array(slot), np.array(group), i[0], j[0], _matrix(pa.array(sig, pa.binary()))):
+        some[a] = some[b] = True
+    for k in np.flatnonzero(some).tolist():
+        yield rows[k][:4]
+
+
 def _tile(rows: list[tuple]):
     """Links of one tile between components that are not joined yet, nearest pairs first."""
-    _, i, j, id, slot, group, sig, grams = zip(*rows)
-    slot, signed = np.array(slot), _matrix(pa.array(sig, pa.binary()))
+    _, i, j, node, slot, group, sig, grams = zip(*rows)
     sets, place = [np.frombuffer(g, U64) for g in grams], {}
     group = np.array([place.setdefault(g, len(place)) for g in group])
-    x, y = np.triu_indices(len(rows), 1) if i[0] == j[0] else (v.ravel() for v in np.meshgrid(np.flatnonzero(slot == i[0]), np.flatnonzero(slot == j[0]), indexing="ij"))
-    open_ = group[x] != group[y]
-    ok, far = _within(signed, x[open_], signed, y[open_])
-    order = np.argsort(far, kind="stable")
-    x, y, root = x[open_][ok[order]], y[open_][ok[order]], list(range(len(place)))
+    found = list(_tile_pairs(np.array(slot), group, i[0], j[0], _matrix(pa.array(sig, pa.binary()))))
+    x, y, far = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    root = list(range(len(place)))
 
     def find(g):
         while root[g] != g:
@@ -213,28 +238,28 @@ def _tile(rows: list[tuple]):
             g = root[g]
         return g
 
-    for a, b in zip(x.tolist(), y.tolist()):
+    order = np.argsort(far, kind="stable")
+    for a, b in zip(x[order].tolist(), y[order].tolist()):
         p, q = find(int(group[a])), find(int(group[b]))
         if p != q and _similar(sets[a], sets[b]):
             root[max(p, q)] = min(p, q)
-            yield id[a], id[b]
+            yield node[a], node[b]
 
 
-def _tiles(batches):
-    """Rows come sorted by tile; each tile is settled when its last row is there."""
+def _by_tile(settle, names: list[str], kinds: list):
+    """Batches of what ``settle`` gives for each tile; rows come sorted by tile, and a tile is settled when its last row is there."""
 
-    def rows():
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+    def run(batches):
+        rows, out = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), []
+        for _, tile in groupby(rows, key=lambda r: r[:3]):
+            out += settle(list(tile))
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    out = []
-    for _, tile in groupby(rows(), key=lambda r: r[:3]):
-        out += _tile(list(tile))
-        if len(out) > 1000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+    return run
 
 
 def _exact(batches):
@@ -254,79 +279,94 @@ class Join:
         self.scratch = Scratch(docs.sparkSession, "minhash")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
-        """The sketches of all rows, and (id, component) of the representatives that have links."""
+        """The sketches of all rows, and (node, component) of the nodes that have links."""
         save = self.scratch.save
         kinds = "id long, n long, mark binary, sig binary, keys array<long>"
         self.sketch = save(self.docs.mapInArrow(_sketch, kinds), "sketch")
-        self.reps = self.sketch.where("id is not null and mark is not null").groupBy("mark").agg(F.min("id").alias("id"))
-        self.unique = save(self.sketch.join(self.reps, ["mark", "id"]).select("id", "sig", "keys").dropDuplicates(["id"]), "unique")
-        keyed = self.unique.select("id", F.posexplode("keys").alias("pos", "key"))
-        rows = save(self.buckets(keyed.withColumn("component", F.col("id"))), "rows")
-        stars = rows.where("id <> least_id").select(F.col("least_id").alias("a"), F.col("id").alias("b")).distinct()
+        reps = self.sketch.where("id is not null and mark is not null").groupBy("mark").agg(F.min("id").alias("rep"))
+        mine = self.sketch.join(reps, (self.sketch["mark"] == reps["mark"]) & (self.sketch["id"] == reps["rep"]), "left_semi")
+        mine = mine.select("id", "mark", "sig", "keys").dropDuplicates(["mark"]).withColumn("node", F.monotonically_increasing_id())
+        self.unique = save(mine, "unique")  # node numbers are fixed by the write
+        keyed = self.unique.select("node", F.posexplode("keys").alias("pos", "key"))
+        rows = save(self.buckets(keyed.withColumn("component", F.col("node"))), "rows")
+        stars = rows.where("node <> least_node").select(F.col("least_node").alias("a"), F.col("node").alias("b")).distinct()
         links = self.confirmed(save(self.near(stars), "stars"))
-        grouped = components(links)
+        grouped = components(links).toDF("node", "component")
         # rows whose components still differ but that are near: clusters of them, and their pairs in tiles
         forest = save(self.crossing(self.labelled(rows.drop("component"), grouped)), "forest")
-        found = self.tiled(components(forest).toDF("id", "cluster"), grouped)
-        if found.isEmpty():
-            return self.sketch, grouped
-        stars = grouped.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        return self.sketch, components(stars.unionByName(found))
+        found = self.tiled(components(forest).toDF("node", "cluster"), grouped)
+        ties = grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found).unionByName(self.torn())
+        return self.sketch, components(ties).toDF("node", "component")
+
+    def torn(self) -> DataFrame:
+        """Ties between the nodes of an id that has several texts."""
+        known = self.sketch.where("id is not null and mark is not null").select("id", "mark")
+        torn = known.groupBy("id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi")
+        nodes = self.unique.select("mark", "node")
+        each = known.join(torn.select("id", "lo"), "id").join(nodes.toDF("mark", "a"), "mark").join(nodes.toDF("lo", "b"), "lo")
+        return each.where("a <> b").select("a", "b")
 
     def tiled(self, clusters: DataFrame, grouped: DataFrame) -> DataFrame:
         """Links within clusters, whose members are dealt to slots; a tile compares two slots, or one with itself."""
         clusters = self.scratch.save(clusters, "clusters")
         slots = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("slots"))
-        rows = self.labelled(clusters, grouped).join(slots, "cluster").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
-        rows = rows.join(self.unique.select("id", "sig"), "id").join(self.sets(clusters.select("id")), "id")
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-        rows = rows.select("cluster", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "id", "slot", "component", "sig", "grams")
-        tiles = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-        return self.scratch.save(tiles.mapInArrow(_tiles, "a long, b long"), "links")
+        rows = self.labelled(clusters, grouped).join(slots, "cluster").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")).cast("int"))
+        rows = rows.join(self.unique.select("node", "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        rows = rows.select("cluster", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "node", "slot", "component", "sig")
+        tile = ["cluster", "i", "j"]
+        deal = lambda rows: rows.repartition(*tile).sortWithinPartitions(*tile)
+        needed = _by_tile(_needed, [*tile, "node"], [pa.int64(), pa.int32(), pa.int32(), pa.int64()])
+        needed = self.scratch.save(deal(rows).mapInArrow(needed, "cluster long, i int, j int, node long"), "needed")
+        sets = self.sets(needed.select("node"))
+        whole = rows.join(needed, [*tile, "node"], "left_semi").join(sets, "node").select(*tile, "node", "slot", "component", "sig", "grams")
+        return self.scratch.save(deal(whole).mapInArrow(_by_tile(_tile, ["a", "b"], [pa.int64(), pa.int64()]), "a long, b long"), "links")
 
     def labelled(self, rows: DataFrame, grouped: DataFrame, name: str = "component") -> DataFrame:
-        found = grouped.select("id", F.col("component").alias("found"))
-        return rows.join(found, "id", "left").withColumn(name, F.coalesce("found", "id")).drop("found")
+        found = grouped.select("node", F.col("component").alias("found"))
+        return rows.join(found, "node", "left").withColumn(name, F.coalesce("found", "node")).drop("found")
 
     def buckets(self, keyed: DataFrame) -> DataFrame:
-        """Rows of the keys that several components share, with the key's least id and size."""
-        shared = keyed.groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        """Rows of the keys that several components share, with the key's least node and size."""
+        shared = keyed.groupBy("key").agg(F.min("node").alias("least_node"), F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         return keyed.join(shared.where("lo <> hi").drop("lo", "hi"), "key")
 
     def crossing(self, rows: DataFrame) -> DataFrame:
         """Edges that span, bucket by bucket, the pairs near enough whose components differ."""
-        found, rows = [], self.scratch.save(self.buckets(rows.select("key", "pos", "id", "component")), "mixed")
-        for _ in range(2):
-            found.append(rows.where(F.col("held") <= self.crowded))
+        every, rows = None, self.scratch.save(self.buckets(rows.select("key", "pos", "node", "component")), "mixed")
+        for splits_left in (2, 1, 0):
+            fit = rows.where(F.col("held") <= self.crowded) if splits_left else rows
+            every = fit if every is None else every.unionByName(fit)
             big = rows.where(F.col("held") > self.crowded)
-            if big.isEmpty():
+            if not splits_left or big.isEmpty():
                 break
             further = F.expr(f"slice(keys, (pos div {CHUNK} + 1) * {CHUNK} + 1, {SYMBOLS})")
-            split = big.join(self.unique.select("id", "keys"), "id").select("id", "component", "pos", "key", F.posexplode(further).alias("on", "sub"))
-            split = split.select(F.xxhash64("key", "sub").alias("key"), F.expr(f"int((pos div {CHUNK} + 1) * {CHUNK} + on)").alias("pos"), "id", "component").distinct()
+            split = big.join(self.unique.select("node", "keys"), "node").select("node", "component", "pos", "key", F.posexplode(further).alias("on", "sub"))
+            split = split.select(F.xxhash64("key", "sub").alias("key"), F.expr(f"int((pos div {CHUNK} + 1) * {CHUNK} + on)").alias("pos"), "node", "component").distinct()
             rows = self.scratch.save(self.buckets(split), "split")
-        else:
-            found.append(rows)
-        every = found[0].select("key", "id", "component")
-        for more in found[1:]:
-            every = every.unionByName(more.select("key", "id", "component"))
-        signed = every.join(self.unique.select("id", "sig"), "id").select("key", "id", "component", "sig")
-        return signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_crossing, "a long, b long")
+        # buckets that stay crowded are compared slot by slot
+        slots = F.ceil(F.col("held") / self.crowded).cast("int")
+        slot = F.pmod(F.xxhash64("node"), slots).cast("int")
+        spread = every.select("key", "node", "component", slot.alias("slot"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
+        key = F.when((F.col("slot") == 0) & (F.col("other") == 0), F.col("key")).otherwise(F.xxhash64("key", F.least("slot", "other"), F.greatest("slot", "other")))
+        signed = spread.select(key.alias("key"), "node", "component").join(self.unique.select("node", "sig"), "node").select("key", "node", "component", "sig")
+        return signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_crossing, "a long, b long")
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        sig = self.unique.select("id", "sig")
+        sig = self.unique.select("node", "sig")
         both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         return both.mapInArrow(_near, "a long, b long")
 
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, grams) of the documents with these ids."""
-        ids = self.scratch.save(ids.distinct(), "ids")
-        wanted = F.broadcast(ids) if ids.count() <= SMALL_SIDE else ids
-        return self.scratch.save(self.docs.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, grams binary").dropDuplicates(["id"]), "sets")
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, grams) of these nodes, from the documents that stand for them."""
+        wanted = self.scratch.save(self.unique.select("node", "id", "mark").join(nodes.distinct(), "node", "left_semi"), "wanted")
+        ids = wanted.select("id").distinct()
+        ids = F.broadcast(ids) if wanted.count() <= SMALL_SIDE else ids
+        found = self.docs.join(ids, "id", "left_semi").mapInArrow(_sets, "mark binary, grams binary")
+        return self.scratch.save(found.join(wanted.select("mark", "node"), "mark").select("node", "grams").dropDuplicates(["node"]), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
-        sets = self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         both = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
         links = self.scratch.save(both.mapInArrow(_exact, "a long, b long"), "links")
         self.scratch.drop(sets)
@@ -337,9 +377,11 @@ def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", crowd
     """(id, n_shingles, component_id, kept) for every row; a component's smallest id is the one kept."""
     join = Join(docs, id, text, crowded)
     sketch, grouped = join.run()
-    rows = sketch.select("id", "n", "mark")
-    joined = rows.join(join.reps.select("mark", F.col("id").alias("rep")), "mark", "left")
-    joined = joined.join(grouped.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
+    nodes = join.unique.select("mark", "node", F.col("id").alias("rep"))
+    placed = nodes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("least"))
+    placed = placed.join(least, "component").select("mark", "least")
+    joined = sketch.select("id", "n", "mark").join(placed, "mark", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
     named = joined.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return named.withColumn("kept", F.col(id).eqNullSafe(F.col("component_id")))
