@@ -183,6 +183,18 @@ def test_minhash_near_copies_without_a_hub(spark):
     assert {i: r.component_id for i, r in got.items()} == linked({i: shingles(t) for i, t in rows})
 
 
+def test_minhash_of_repeated_ids(spark):
+    """One id with two texts, each with a near copy: the id joins all, whatever the order of the rows."""
+    rng = random.Random(21)
+    a, b = prose(200, rng), prose(200, rng)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a), (4, b), (5, "alone among them all"), (7, a + " more"), (7, "alone among them all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("id", "mark", "node", "n")})
+    for parts in (1, 5):
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.minhash_dedup(df.repartition(parts)).collect() if r.doc_id)
+        assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 1, False), (7, 1, False), (7, 1, False)]
+    assert [(r.component_id, r.kept) for r in minhash.minhash_dedup(df).where("doc_id is null").collect()] == [(None, True)]
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
@@ -274,6 +286,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_archives_are_bounded_by_bytes_and_keep_repeated_pages(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", "x" * n) for i, n in enumerate([10, 70_000, 70_001, 2_000_000, 3_000_000, 20])] + [(5, "http://h/5", "x" * 20)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.round_trip(df.repartition(2)).collect())
+    assert got == sorted((i, len(h), "response") for i, _, h in rows)
+    warc.write_warc(df.coalesce(1), f"{tmp_path}/w", archive_bytes=2 << 20)
+    sizes = [[r.payload_bytes for r in warc.read_warc(spark, str(f)).where("type = 'response'").collect()] for f in tmp_path.glob("w/*/*.gz")]
+    assert sum(map(len, sizes)) == len(rows) and all(sum(x) <= 2 << 20 or len(x) == 1 for x in sizes)
+
+
 def test_warc_capture_holds_the_payload(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a.b/c", "one"), (2, "http://a.b/d", "one")], "page_id long, url string, html string")
     warc.write_warc(df, f"{tmp_path}/w")
@@ -372,6 +394,14 @@ def test_url_filter_uses_entries_in_force(spark):
     assert sorted(got, key=str) == sorted([(1, 3, True), (2, 1, False), (3, 2, True), (4, None, True), (5, None, True), (6, None, True), (6, None, True)], key=str)
 
 
+def test_url_filter_of_empty_tables_and_clashing_columns(spark):
+    captures = spark.createDataFrame([(1, "http://a.com", 10, "x")], "id long, url string, s long, listed string").withColumn("t", F.timestamp_seconds("s"))
+    entries = spark.createDataFrame([(1, "a.com", 5, "block", 3)], "entry_id long, host string, s long, action string, period int").withColumn("at", F.timestamp_seconds("s"))
+    run = lambda c, e: [(r.id, r.entry_id, r.allowed) for r in url_filter.filter_urls(c, e, "id", "url", "t").collect()]
+    assert run(captures, entries) == [(1, 1, False)] and run(captures, entries.limit(0)) == [(1, None, True)]
+    assert run(captures.limit(0), entries) == [] and run(captures.limit(0), entries.limit(0)) == []
+
+
 def test_sampling_is_exact_on_short_texts():
     voc = sampling.vocabulary(tokenizer_path("piece_bpe_32k.model"), 0.3)
 
