@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from tracewright.llm.words import slices, text_bytes
 from tracewright.session import Scratch
 
-MOST_WORDS = 1_200_000  # distinct words a worker remembers
+MOST_WORDS = 400_000  # distinct words a worker remembers
 CALL = 100  # words that a call encodes together
 
 
@@ -78,6 +78,19 @@ class WordTokens:
 
     def clear(self):
         self.codes, self.at, self.flat = _Codes(), np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32)
+        self.hits = np.zeros(0, np.int64)
+
+    def forget(self):
+        """Keep the words met most often, at most half of what a worker remembers, as if each had been met once."""
+        least = 2
+        while (kept := np.flatnonzero(self.hits >= least)).size > MOST_WORDS // 2:
+            least *= 2
+        words, at, flat = list(self.codes), self.at, self.flat
+        sizes = at[kept + 1] - at[kept]
+        self.clear()
+        self.codes.update((words[k], i) for i, k in enumerate(kept.tolist()))
+        self._append(flat[np.arange(sizes.sum()) + np.repeat(at[kept] - np.cumsum(sizes) + sizes, sizes)], sizes)
+        self.hits = np.ones(len(kept), np.int64)
 
     def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         used = int(self.at[-1])
@@ -134,7 +147,7 @@ class WordTokens:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one more entry than texts)."""
         if len(self.codes) > MOST_WORDS:
-            self.clear()
+            self.forget()
         words, ends = [], [0]
         for text in texts:
             words += text.split()
@@ -143,6 +156,9 @@ class WordTokens:
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         if len(self.codes) > known:
             self._learn(list(islice(self.codes, known, None)))
+        met = np.bincount(codes, minlength=len(self.codes))
+        met[: len(self.hits)] += self.hits
+        self.hits = met
         begin = self.at[codes]
         sizes = self.at[codes + 1] - begin
         total = np.concatenate(([0], np.cumsum(sizes)))
