@@ -37,6 +37,7 @@ class Settings:
     epochs: int = 250
     batches: int = 1
     step_back: float = 0.1
+    longest: int = 1 << 15  # bytes: longer texts are scored like all others, but not learned from, which bounds the sample
     rate: float = 0.1
     shrink: float = 2e-3
     seed: int = 11
@@ -65,6 +66,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, id: str, text
     marked = labels.where((fold(id, s.folds) != 0) & F.col(label).isNotNull())
     prior = marked.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0] or 0.0
     order = F.xxhash64(F.col(id), F.lit(s.seed))
+    docs = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= s.longest)
     toxic = marked.where(F.col(label) == 1).select(id).distinct().join(docs.select(id), id, "left_semi")
     positive = toxic.orderBy(order).limit(s.most_positive).select(id, F.lit(True).alias("positive"))
     unlabelled = docs.where(F.col(id).isNotNull() & (fold(id, s.folds) != 0)).select(id).orderBy(order).limit(s.most_unlabelled).select(id, F.lit(False).alias("positive"))
