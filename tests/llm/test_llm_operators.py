@@ -263,6 +263,14 @@ def test_tokens_of_odd_words_match_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
 
 
+def test_tokens_are_the_same_after_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_WORDS", 60)
+    words, rng = packing.WordTokens(tokenizer_path()), random.Random(3)
+    texts = [prose(40, rng).encode() for _ in range(50)]
+    whole = packing.WordTokens(tokenizer_path()).encode(texts)[0]
+    assert np.concatenate([words.encode([t])[0] for t in texts]).tolist() == whole.tolist() and len(words.codes) < 150
+
+
 def test_best_fit_is_valid():
     sizes = np.array([RNG.randrange(1, 101) for _ in range(500)])
     bins, offsets, fills = packing.best_fit(sizes, 100)
