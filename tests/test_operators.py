@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.functions import arrays, html, nested, text, urls
+from tracewright.functions import arrays, evidence, html, nested, text, urls
 from tracewright.operators import checks, metrics, passages, select, series
 
 
@@ -133,3 +133,39 @@ def test_html_to_text_resolves_all_entities(spark):
 
 def test_query_tokens_use_route_stopwords(spark):
     assert one(spark, text.query_tokens(F.lit("When does the runner visit by which cities"))) == sorted({"when", "does", "runner", "visit", "by", "citi"})
+
+
+def test_token_f1_takes_prefixes_and_each_token_once(spark):
+    f1 = lambda a, b: one(spark, evidence.token_f1(F.array_sort(F.array(*map(F.lit, a))), F.array_sort(F.array(*map(F.lit, b)))))
+    assert f1(["running", "x"], ["runnings", "y"]) == pytest.approx(0.5)
+    assert f1(["report", "reports"], ["reporte"]) == pytest.approx(2 / 3)  # one match only
+    assert f1(["short", "a"], ["shorts"]) == 0.0 and f1(["abcdef"], ["abcdefghi"]) == 0.0
+
+
+def test_fact_similarity_uses_context_and_kind(spark):
+    value = one(spark, evidence.fact_similarity(F.lit("crowd"), F.lit("crowd paris"), F.lit(True), F.lit("in Paris")))
+    assert value == 1.0
+    assert one(spark, evidence.fact_similarity(F.lit("crowd"), F.lit("crowd paris"), F.lit(False), F.lit(None).cast("string"))) == pytest.approx(2 / 3)
+
+
+def test_evidence_scalars(spark):
+    box = lambda *x: F.array(*(F.lit(float(v)) for v in x))
+    none = F.lit(None).cast("array<double>")
+    assert one(spark, evidence.box_overlap(box(0, 0, 2, 2), box(1, 1, 3, 3))) == pytest.approx(1 / 7)
+    assert one(spark, evidence.box_overlap(none, none)) == 1.0 and one(spark, evidence.box_overlap(none, box(0, 0, 1, 1))) == 0.0 and one(spark, evidence.box_overlap(box(0, 0, 0, 0), box(0, 0, 0, 0))) == 0.0
+    assert one(spark, evidence.elapsed_seconds(F.lit("1h 2m 3.5s"))) == 3723.5 and one(spark, evidence.elapsed_seconds(F.lit("soon"))) is None
+    pair = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(p).alias("prob")) for i, p in ((0, 0.5), (1, 0.5))))
+    assert one(spark, evidence.valid_probabilities(pair, 2)) and not one(spark, evidence.valid_probabilities(pair, 3))
+    assert one(spark, evidence.sparse_cross_entropy(F.array(F.lit(0.0), F.lit(0.0)), pair)) == pytest.approx(0.6931471805599453)
+
+
+def test_evidence_policies(spark):
+    assert one(spark, evidence.targets_ready_verdict(F.lit("Fact-Checkers on this"))) is False and one(spark, evidence.targets_ready_verdict(F.lit("a fact_check"))) is True
+    assert one(spark, evidence.targets_ready_verdict(F.lit("stable-diffusion"), True)) is True and one(spark, evidence.targets_ready_verdict(F.lit(None).cast("string"))) is False
+    goal = F.lit(evidence.AS_OF_MARKER + "2020")
+    assert one(spark, evidence.temporally_eligible(F.lit(" BEFORE_or_at_cutoff "), goal)) and not one(spark, evidence.temporally_eligible(F.lit(None).cast("string"), goal))
+    assert one(spark, evidence.temporally_eligible(F.lit(None).cast("string"), F.lit("browse")))
+    retry = lambda *x: one(spark, evidence.retryable(*x, ["Timeout"], "Http", [429]))
+    nil = F.lit(None)
+    assert retry(F.lit("in_progress"), nil.cast("boolean"), nil.cast("string"), nil.cast("int")) and retry(F.lit("pending_error"), nil.cast("boolean"), F.lit("Http"), F.lit(429))
+    assert not retry(F.lit("pending_error"), F.lit(False), F.lit("Timeout"), F.lit(1)) and not retry(F.lit("pass"), F.lit(True), F.lit("Timeout"), F.lit(1))

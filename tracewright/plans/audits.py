@@ -93,7 +93,7 @@ def deny_list(spark, sf_dir):
 @query(r"""
 SELECT page_id, regexp_matches(url, '^https?://[^/?#]+') AND NOT regexp_matches(lower(url), '\.(jpg|jpeg|png|gif|pdf|mp4)(\?|#|$)') AND NOT contains(lower(url), 'blog.') AS preferred FROM pages""")
 def preferred_urls(spark, sf_dir):
-    """Candidate URLs by scheme, host and media suffix."""
+    """Candidate URLs by scheme, host and media suffix."""
     u = F.col("url")
     ok = u.rlike("^https?://[^/?#]+") & ~F.lower(u).rlike(r"\.(jpg|jpeg|png|gif|pdf|mp4)(\?|#|$)") & ~F.contains(F.lower(u), F.lit("blog."))
     return load(spark, sf_dir, "pages").select("page_id", ok.alias("preferred"))
@@ -112,7 +112,7 @@ def fatal_and_warning_codes(spark, sf_dir):
 
 @query("SELECT event_id, key, CAST(value AS VARCHAR) AS value FROM (SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events)")
 def nested_values(spark, sf_dir):
-    """The leaves of nested values."""
+    """The leaves of nested values."""
     rows = load(spark, sf_dir, "events").select("event_id", F.explode(nested.walk(F.col("props"))).alias("leaf"))
     return rows.select("event_id", "leaf.key", "leaf.value")
 

@@ -21,7 +21,7 @@ def ref_checked_join(spark, sf_dir):
 
 @query("SELECT c_custkey, coalesce(n, 0) AS n_orders, coalesce(status, 'attempts_exhausted') AS status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, 'served' AS status FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def left_default(spark, sf_dir):
-    """Every target, with a default row where nothing was found."""
+    """Every target, with a default row where nothing was found."""
     found = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders")).withColumn("status", F.lit("served"))
     return checks.left_default(load(spark, sf_dir, "customer").select("c_custkey"), found, ["c_custkey"], {"n_orders": 0, "status": "attempts_exhausted"})
 

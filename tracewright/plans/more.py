@@ -94,14 +94,14 @@ def common_to_all(spark, sf_dir):
 
 @query("SELECT lang, count(*) AS n, count(DISTINCT sha256(text)) AS stored, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
 def content_addressed(spark, sf_dir):
-    """Rows, and the contents that a store by digest would hold."""
+    """Rows, and the contents that a store by digest would hold."""
     rows = load(spark, sf_dir, "documents").select("lang", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "n_chars")
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("stored"), F.sum("n_chars").alias("chars"))
 
 
 @query("WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS k FROM part) SELECT c_custkey, p_partkey FROM a LEFT JOIN b USING (k)")
 def positional_zip(spark, sf_dir):
-    """Two tables joined by position."""
+    """Two tables joined by position."""
     left = global_rank(load(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     right = global_rank(load(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
     return left.join(right, "rank", "left").select("c_custkey", "p_partkey")
