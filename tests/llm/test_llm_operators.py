@@ -392,6 +392,13 @@ def test_sharding_places_every_row(docs):
     assert out.count() == docs.count() and out.where("shard is null").count() == 0
 
 
+def test_sharding_of_null_and_repeated_keys(spark, nothing):
+    rows = [(None,), (None,), (4,), (4,), (5,)]
+    got = [(r.doc_id, r.slot, r.shard) for r in sharding.place(spark.createDataFrame(rows, "doc_id long"), "doc_id", SHARDS, SLOTS).collect()]
+    assert len(got) == 5 and len({x for x in got if x[0] is None}) == 1 and len({x for x in got if x[0] == 4}) == 1
+    assert sharding.place(nothing.select("doc_id"), "doc_id", SHARDS, SLOTS).count() == 0
+
+
 def test_url_filter_uses_entries_in_force(spark):
     captures = spark.createDataFrame(
         [(1, "http://A.b.com:80/x", 10), (2, "https://b.com/", 20), (3, "http://b.com/", 35), (4, None, 10), (5, "http://c.org", None), (6, "http://ab.com", 15), (6, "http://ab.com", 15)], "id long, url string, s long"
