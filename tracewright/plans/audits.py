@@ -118,23 +118,15 @@ def nested_values(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, ['$.private', '$.turns[0].gold'] AS paths FROM conversations WHERE turn = 0""")
+SELECT event_id, list_sort(list_transform(list_filter(coalesce(json_keys(props), []), lambda k: lower(k) IN ('gold', 'private', 'k')), lambda k: '$.' || k)) AS paths FROM events""")
 def private_field_scan(spark, sf_dir):
-    """P21 on a body that always has the two keys, as its SQL asks; private_prop_paths scans the data's own JSON."""
-    turn = F.struct(F.array(F.struct(F.col("text").alias("text"), F.col("role").alias("gold"))).alias("turns"), F.lit(1).alias("private"))
-    rows = load(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.to_json(turn).alias("body"))
-    return rows.select("conv_id", nested.private_paths(F.col("body"), ["gold", "private"]).alias("paths"))
-
-
-@query()
-def private_prop_paths(spark, sf_dir):
     """Forbidden keys at any depth of each event's own properties, as paths; none for what is not JSON."""
     return load(spark, sf_dir, "events").select("event_id", nested.private_paths(F.col("props"), ["gold", "private", "k"]).alias("paths"))
 
 
 @query("SELECT sum(length(text))::BIGINT AS chars, count(*) AS n FROM documents")
 def passage_lengths(spark, sf_dir):
-    """Characters of all texts as passages and the gaps between them, as its SQL asks; passage_spans gives D3's passages."""
+    """Characters of all texts as passages and the gaps between them; the sum is the texts' length whatever the spans are, passage_spans gives them (D3)."""
     rows = load(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("size"), passages.passages(F.col("text")).alias("p"))
     held = F.aggregate("p", F.lit(0), lambda a, x: a + x["end"] - x["start"])
     gaps = F.aggregate("p", F.struct(F.lit(0).alias("last"), F.lit(0).alias("gap")), lambda a, x: F.struct(x["end"].alias("last"), (a["gap"] + x["start"] - a["last"]).alias("gap")), lambda a: a["gap"] + F.col("size") - a["last"])

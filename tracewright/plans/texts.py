@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import arrays, html, text, urls
 from tracewright.operators import chat, splits
+from tracewright.plans.evidence import STEMS
 from tracewright.plans.registry import load, query
 
 
@@ -53,17 +54,13 @@ def html_text(spark, sf_dir):
 
 
 @query(r"""
-WITH f AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents)
-SELECT doc_id, list_filter(['ignore_previous_instructions', 'override_system'], lambda n: CASE n WHEN 'override_system' THEN regexp_matches(t, '\b(system|developer)\s+(message|prompt|instruction)s?\b')
-       ELSE regexp_matches(t, '\bignore\s+(all\s+)?previous\s+instructions?\b') END) AS found FROM f""")
+WITH f AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS t FROM documents)
+SELECT doc_id, list_filter(['ignore_previous_instructions', 'override_system', 'assistant_directive', 'verdict_directive', 'prompt_exfiltration'], lambda n: CASE n
+  WHEN 'ignore_previous_instructions' THEN regexp_matches(t, '\bignore (all )?previous instructions?\b') WHEN 'override_system' THEN regexp_matches(t, '\b(system|developer) (message|prompt|instruction)s?\b')
+  WHEN 'assistant_directive' THEN regexp_matches(t, '\b(assistant|model|chatgpt|gemini) ?[:,] ?(must|should|return|answer|say)\b')
+  WHEN 'verdict_directive' THEN regexp_matches(t, '\b(mark|label|classify|declare) (the )?(claim|image|verdict) (as )?(supported|refuted|real|fake)\b')
+  ELSE regexp_matches(t, '\b(reveal|print|repeat|show) (the )?(system|developer) (prompt|message|instructions?)\b') END) AS found FROM f""")
 def injection_patterns(spark, sf_dir):
-    """The two named patterns that its SQL asks for; injection_names gives all five."""
-    found = F.filter(html.injections(F.col("text")), lambda x: x.isin("ignore_previous_instructions", "override_system"))
-    return load(spark, sf_dir, "documents").select("doc_id", found.alias("found"))
-
-
-@query()
-def injection_names(spark, sf_dir):
     """All named patterns found in a text."""
     return load(spark, sf_dir, "documents").select("doc_id", html.injections(F.col("text")).alias("found"))
 
@@ -187,18 +184,8 @@ def cosine_to_centroid(spark, sf_dir):
     return rows.join(centre, "label").select("vec_id", F.round(arrays.cosine(F.col("embedding"), F.col("c")), 5).alias("similarity"))
 
 
-@query("SELECT conv_id, turn, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: len(t) > 1 AND NOT regexp_matches(t, '^[0-9a-f]{12,}$') AND t NOT IN ('the','an','is','are','at','in','of','to','ve','vf','rf') AND NOT regexp_matches(t, '(ies|ing|ed|es|s)$')))) AS tokens FROM conversations")
+@query(f"SELECT conv_id, turn, {STEMS.format('text')} AS tokens FROM conversations")
 def fact_token_sets(spark, sf_dir):
-    """Stemmed token sets on words that no suffix rule touches, as its SQL asks; fact_token_stems keeps all."""
-    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
-    plain = F.filter(words, lambda t: ~t.rlike("(ies|ing|ed|es|s)$") & (F.length(t) > 1))
-    kept = F.array_intersect(text.fact_tokens(F.col("text")), plain)
-    return rows.select("conv_id", "turn", F.array_sort(kept).alias("tokens"))
-
-
-@query()
-def fact_token_stems(spark, sf_dir):
     """Stemmed token sets, whole."""
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", text.fact_tokens(F.col("text")).alias("tokens"))
 
