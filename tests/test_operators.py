@@ -169,3 +169,29 @@ def test_evidence_policies(spark):
     nil = F.lit(None)
     assert retry(F.lit("in_progress"), nil.cast("boolean"), nil.cast("string"), nil.cast("int")) and retry(F.lit("pending_error"), nil.cast("boolean"), F.lit("Http"), F.lit(429))
     assert not retry(F.lit("pending_error"), F.lit(False), F.lit("Timeout"), F.lit(1)) and not retry(F.lit("pass"), F.lit(True), F.lit("Timeout"), F.lit(1))
+
+
+def test_percentiles_of_groups_that_span_partitions(spark):
+    """Ties, a hot group over many range partitions, a group of nulls, a null group and an empty table against numpy."""
+    import random
+
+    import numpy as np
+
+    from tracewright.operators import metrics
+
+    rng = random.Random(5)
+    rows = [("hot", float(rng.randrange(3000))) for _ in range(6000)] + [("one", 7.0), ("tie", 2.0), ("tie", 2.0), (None, 1.0), (None, 4.0), ("nothing", None)]
+    table = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in metrics.describe(table, "v", ["g"]).collect()}
+    disc = {r.g: r for r in metrics.nearest_rank(table, "v", ["g"], [0.5, 0.9]).collect()}
+    assert set(got) == set(disc) == {"hot", "one", "tie", "nothing", None}
+    for g in ("hot", "one", "tie", None):
+        held = sorted(v for k, v in rows if k == g)
+        assert [got[g][p] for p in ("p50", "p90", "p95")] == [round(float(np.percentile(held, q)), 3) for q in (50, 90, 95)]
+        assert [disc[g].p50, disc[g].p90] == [held[-(-len(held) * q // 100) - 1] for q in (50, 90)]
+        assert (got[g].n, got[g].max) == (len(held), held[-1])
+    assert got["nothing"].n == 0 and got["nothing"].p50 is None and disc["nothing"].p90 is None
+    held = sorted(v for _, v in rows if v is not None)
+    assert list(metrics.quartile_bounds(table, "v").first()) == [held[len(held) * q // 4] for q in (1, 2, 3)]
+    empty = table.where("g = 'absent'")
+    assert metrics.describe(empty, "v", ["g"]).count() == 0 and metrics.quartile_bounds(empty, "v").first().q1 is None

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tracewright.operators.ranked import counted_values, null_safe_left, percentiles, value_at
 
 
 def safe_mean(value: Column, digits: int = 3) -> Column:
@@ -61,15 +63,17 @@ def macro_metrics(rows: DataFrame, gold: str, predicted: str, labels: list) -> D
 def describe(rows: DataFrame, value: str, group: list[str] = []) -> DataFrame:
     """n, mean, p50, p90, p95 (linear interpolation), max and sum, to three digits; n alone where there is nothing."""
     v = F.col(value).cast("double")
-    out = rows.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95))).alias("p"), F.max(v).alias("max"), F.sum(v).alias("sum"))
-    named = {"mean": F.col("mean"), "p50": F.col("p")[0], "p90": F.col("p")[1], "p95": F.col("p")[2], "max": F.col("max"), "sum": F.col("sum")}
-    return out.select(*group, "n", *(F.round(c, 3).alias(k) for k, c in named.items()))
+    out = rows.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.sum(v).alias("sum"))
+    out = null_safe_left(out, percentiles(rows, group, v, {"p50": 0.5, "p90": 0.9, "p95": 0.95}), group)
+    return out.select(*group, "n", *(F.round(c, 3).alias(c) for c in ("mean", "p50", "p90", "p95", "max", "sum")))
 
 
 def nearest_rank(rows: DataFrame, value: str, group: list[str], points: list[float]) -> DataFrame:
     """Percentiles that are values of the data, at rank ceil(p * n)."""
-    found = [F.expr(f"percentile_disc({p}) within group (order by {value})").alias(f"p{round(p * 100)}") for p in points]
-    return rows.groupBy(*group).agg(F.count(value).alias("n"), *found, F.max(value).alias("max"))
+    found = [value_at(F.greatest(F.ceil(F.col("n") * F.lit(p)) - 1, F.lit(0))).alias(f"p{round(p * 100)}") for p in points]
+    ranks = counted_values(rows, group, F.col(value)).groupBy(*group).agg(*found)
+    out = rows.groupBy(*group).agg(F.count(value).alias("n"), F.max(value).alias("max"))
+    return null_safe_left(out, ranks, group).select(*group, "n", *(f"p{round(p * 100)}" for p in points), "max")
 
 
 def cumulative_bins(rows: DataFrame, value: str, bounds: list[int], group: list[str] = []) -> DataFrame:
@@ -78,16 +82,10 @@ def cumulative_bins(rows: DataFrame, value: str, bounds: list[int], group: list[
     return rows.groupBy(*group).agg(*bins, F.count_if(F.col(value) > bounds[-1]).alias(f"gt_{bounds[-1]}"))
 
 
-def quartile_bounds(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """(q1, q2, q3): the values at index n * q // 4 of the sorted rows.
-
-    The ranks come from a count of each distinct value, so one task sorts distinct values only.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.orderBy(value))
-    ranked = counts.select(F.col(value).alias("v"), upto.alias("upto"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * q / 4), F.col("v"))).alias(f"q{q}")
-    return ranked.agg(at(1), at(2), at(3))
+def quartile_bounds(rows: DataFrame, value: str) -> DataFrame:
+    """(q1, q2, q3): the values at index n * q // 4 of the sorted rows."""
+    at = [value_at(F.floor(F.col("n") * q / 4)).alias(f"q{q}") for q in (1, 2, 3)]
+    return counted_values(rows, [], F.col(value)).agg(*at)
 
 
 def explode_counts(rows: DataFrame, values: Column, name: str = "value") -> DataFrame:

@@ -80,9 +80,12 @@ def stratum_quota(rows: DataFrame, key: str, strata: list[str], seed: str, quota
 
 
 def alternating(rows: DataFrame, key: str, label: str, seed: str, n: int) -> DataFrame:
-    """n rows that take turns between the classes, each in hash order."""
+    """n rows that take turns between the classes, each in hash order; no class gives more than its first n.
+
+    The bound on the place lets every task keep n rows of a class before the shuffle.
+    """
     place = F.row_number().over(Window.partitionBy(label).orderBy(seeded_hex(seed, key, "\x00"), key))
-    return rows.withColumn("turn", place).orderBy("turn", label).limit(n)
+    return rows.withColumn("turn", place).where(F.col("turn") <= n).orderBy("turn", label).limit(n)
 
 
 def ratio_split(rows: DataFrame, group: str, seed: str, shares: dict[str, float]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tracewright.operators.ranked import null_safe_left, percentiles
+
 
 def _upto(key: list[str], order: list[str], first: int, last: int):
     return Window.partitionBy(*key).orderBy(*order).rowsBetween(first, last)
@@ -87,7 +89,8 @@ def rate(rows: DataFrame, key: list[str], time: str, value: str) -> DataFrame:
 def step_profile(rows: DataFrame, group: list[str], value: str, stall: float = 1.5) -> DataFrame:
     """Mean, median, p90, max, variation and the number of values over ``stall`` medians."""
     v = F.col(value).cast("double")
-    whole = rows.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.9)).alias("p90"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
+    whole = rows.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
+    whole = null_safe_left(whole, percentiles(rows, group, v, {"median": 0.5, "p90": 0.9}), group)
     slow = rows.join(whole.select(*group, "median"), group).groupBy(*group).agg(F.count_if(v > stall * F.col("median")).alias("stalls"))
     out = whole.join(slow, group)
     return out.select(*group, "n", *(F.round(c, 6).alias(c) for c in ("mean", "median", "p90", "max")), F.round(F.try_divide(F.col("std"), F.col("mean")), 6).alias("variation"), "stalls")

@@ -100,7 +100,7 @@ SELECT lang, (n_chars > q1)::INT + (n_chars > q2)::INT + (n_chars > q3)::INT AS
 def quartile_buckets(spark, sf_dir):
     """Bounds at sorted index n * q // 4, and the number of bounds that a value exceeds."""
     docs = load(spark, sf_dir, "documents")
-    bounds = metrics.quartile_bounds(docs, "n_chars", ["doc_id"])
+    bounds = metrics.quartile_bounds(docs, "n_chars")
     over = sum(((F.col("n_chars") > F.col(q)).cast("int") for q in ("q1", "q2", "q3")), F.lit(0))
     return docs.crossJoin(F.broadcast(bounds)).groupBy("lang", over.alias("bucket")).agg(F.count("*").alias("n"))  # bounds: one row
 
