@@ -195,3 +195,51 @@ def test_percentiles_of_groups_that_span_partitions(spark):
     assert list(metrics.quartile_bounds(table, "v").first()) == [held[len(held) * q // 4] for q in (1, 2, 3)]
     empty = table.where("g = 'absent'")
     assert metrics.describe(empty, "v", ["g"]).count() == 0 and metrics.quartile_bounds(empty, "v").first().q1 is None
+
+
+def test_asof_join_of_a_hot_key(spark):
+    """A key over many range partitions, ties in time, null keys and keys without a right row against a scan."""
+    import random
+
+    from tracewright.operators import checks
+
+    rng = random.Random(8)
+    left = [(i, k, rng.randrange(500)) for i in range(900) for k in [rng.choice([1, 1, 1, 1, 2, 3, None])]]
+    right = [(k, rng.randrange(500), rng.randrange(9)) for _ in range(60) for k in [rng.choice([1, 1, 2, None])]]
+    want = {}
+    for i, k, t in left:
+        seen = [(u, v) for q, u, v in right if q == k and u <= t]
+        want[i] = max(seen, default=(None, None))
+    a, b = spark.createDataFrame(left, "id long, k long, t long"), spark.createDataFrame(right, "k long, u long, v long")
+    got = {r.id: (r.u, r.v) for r in checks.asof_join(a, b, ["k"], "t", "u", ["v"]).collect()}
+    assert got == want
+
+
+def test_greedy_match_against_a_loop(spark):
+    """Random sets with ties, empty sets, keys without a partner and a null key."""
+    import random
+
+    rng = random.Random(3)
+    some = lambda: sorted(rng.sample("abcdefg", rng.randrange(4)))
+    wanted = [(k, i, some()) for k in (1, 2, 3) for i in range(12)] + [(None, 1, ["a"])]
+    found = [(k, i + 100, some()) for k in (1, 2) for i in range(9)] + [(None, 5, ["a"])]
+    want, taken = {}, set()
+    for k, i, t in wanted:
+        alike = lambda u: 1.0 if not t and not u else len({*t} & {*u}) / max(1, len({*t} | {*u}))  # noqa: E731,B023
+        best = min(((-alike(u), f) for q, f, u in found if q == k and k is not None and (q, f) not in taken and alike(u) >= 0.3), default=None)
+        taken |= {(k, best[1])} if best else set()
+        want[k, i] = (best[1], -best[0]) if best else (None, None)
+    schema = "k long, id long, t array<string>"
+    out = passages.greedy_match(spark.createDataFrame(wanted, schema), spark.createDataFrame(found, schema), "k", 0.3)
+    assert {(r.k, r.wanted): (r.found, r.similarity) for r in out.collect()} == want
+
+
+def test_similar_sets_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    sets = {i: sorted(rng.sample("abcdefghijklmnopqrst", rng.randrange(9))) for i in range(60)}
+    table = spark.createDataFrame(list(sets.items()), "id long, t array<string>")
+    for percent in (15, 50, 75, 100):
+        want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})}
+        assert {(r.a, r.b) for r in passages.similar_sets(table, percent).collect()} == want

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tracewright.session import Scratch
+
 
 class ExpectationError(ValueError):
     """An input breaks a rule that the result relies on."""
@@ -109,13 +111,24 @@ def slot_coverage(expected: DataFrame, actual: DataFrame, keys: list[str]) -> Da
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """Each left row with the values of the last right row at or before its time, by one union and one window.
+    """Each left row with the values of the last right row at or before its time.
 
-    Right rows at the same time: the greatest values count. Left rows before any right row get nulls.
+    Right rows at the same time: the greatest values count. Left rows before any right row get nulls; null keys meet.
+    Both sides are written once in range partitions by key and time, so a hot key is many tasks; a partition takes the last
+    right row of those before it from a table of a row for each partition and key. The write is a job of its own.
     """
     packed = F.struct(F.col(right_time).alias("t"), *values)
-    a = left.select(*keys, F.col(left_time).alias("_t"), F.struct("*").alias("_row"), F.lit(None).cast(right.select(packed).schema[0].dataType).alias("_v"), F.lit(1).alias("_side"))
-    b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"), packed.alias("_v"), F.lit(0).alias("_side"))
-    upto = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_last", F.max("_v").over(upto)).where("_side = 1")
-    return both.select("_row.*", F.col("_last.t").alias(right_time), *(F.col(f"_last.{v}").alias(v) for v in values))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    ks = [f"_k{i}" for i in range(len(keys))]
+    a = left.select(*named, F.col(left_time).alias("_t"), F.struct("*").alias("_row"), F.lit(None).cast(right.select(packed).schema[0].dataType).alias("_v"), F.lit(1).alias("_side"))
+    b = right.select(*named, F.col(right_time).alias("_t"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"), packed.alias("_v"), F.lit(0).alias("_side"))
+    spread = a.unionByName(b).repartitionByRange(*ks, "_t", "_side").withColumn("_part", F.spark_partition_id())
+    spread = Scratch(left.sparkSession, "asof").save(spread, "ranges")
+    upto = Window.partitionBy("_part", *ks).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    local = spread.withColumn("_last", F.max("_v").over(upto)).where("_side = 1")
+    lasts = spread.groupBy("_part", *ks).agg(F.max("_v").alias("_best"), F.min(F.struct("_t", "_side")).alias("_low"))
+    carried = F.max("_best").over(Window.partitionBy(*ks).orderBy("_low").rowsBetween(Window.unboundedPreceding, -1))
+    lasts = lasts.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"{k}b") for k in ks), carried.alias("_carried")).where("_carried is not null")
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"{k}b")) for k in ks), F.col("_part") == F.col("_p"))
+    found = local.join(lasts, on, "left").withColumn("_last", F.coalesce("_last", "_carried"))
+    return found.select("_row.*", F.col("_last.t").alias(right_time), *(F.col(f"_last.{v}").alias(v) for v in values))

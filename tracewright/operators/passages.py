@@ -60,19 +60,46 @@ def greedy_match(wanted: DataFrame, found: DataFrame, key: str, least: float) ->
     """One-to-one matches in each key: wanted rows in order take the most similar found row left, ties the smaller id.
 
     Both tables are (key, id, tokens). A found row is taken once; (key, wanted, found, similarity), nulls without a match.
-    ``least`` has no default: the similarity from which a match counts is the caller's to know.
+    ``least``, above 0, has no default: the similarity from which a match counts is the caller's to know. Candidates meet
+    through a shared token (rows without tokens through their having none); only pairs that are similar enough reach the
+    task that gives a key's rows away in turn.
     """
-    pairs = wanted.toDF("k", "w", "wt").join(found.toDF("k", "f", "ft"), "k", "left")
-    pairs = pairs.select("k", "w", "f", jaccard(F.col("wt"), F.col("ft")).alias("s"))
+    if least <= 0:
+        raise ValueError("a match needs a similarity above 0")
+    w, f = wanted.toDF("k", "w", "wt"), found.toDF("k", "f", "ft")
+    token = lambda c: F.explode(F.when(F.size(c) > 0, F.array_distinct(c)).otherwise(F.array(F.lit("")))).alias("token")
+    met = w.select("k", "w", token("wt")).join(f.select("k", "f", token("ft")), ["k", "token"]).select("k", "w", "f").distinct()
+    pairs = met.join(w, ["k", "w"]).join(f, ["k", "f"]).select("k", "w", "f", jaccard(F.col("wt"), F.col("ft")).alias("s")).where(F.col("s") >= least)
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
         for w, rows in frame.sort_values(["w", "s", "f"], ascending=[True, False, True]).groupby("w", sort=True):
-            best = next((r for r in rows.itertuples() if r.f == r.f and r.s >= least and r.f not in taken), None)
+            best = next((r for r in rows.itertuples() if r.f not in taken), None)
             if best is not None:
                 taken.add(best.f)
-            out.append((rows["k"].iloc[0], w, None if best is None else int(best.f), None if best is None else float(best.s)))
-        return pd.DataFrame(out, columns=["k", "w", "f", "s"]).astype({"f": "Int64"})
+                out.append((rows["k"].iloc[0], w, best.f, best.s))
+        return pd.DataFrame(out, columns=["k", "w", "f", "s"])
 
-    out = pairs.groupBy("k").applyInPandas(match, f"k {wanted.dtypes[0][1]}, w long, f long, s double")
-    return out.toDF(key, "wanted", "found", "similarity")
+    given = pairs.groupBy("k").applyInPandas(match, f"k {wanted.dtypes[0][1]}, w {wanted.dtypes[1][1]}, f {found.dtypes[1][1]}, s double")
+    return w.select("k", "w").distinct().join(given, ["k", "w"], "left").select("k", "w", "f", "s").toDF(key, "wanted", "found", "similarity")
+
+
+def similar_sets(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, similarity) of pairs a < b of an (id, tokens) table whose Jaccard similarity is at least a percentage.
+
+    Tokens are put in order from rare to frequent. Two sets that are similar enough share one of their first
+    n - ceil(n * percent / 100) + 1 tokens, so the most frequent ones bring no pair together. Empty sets have no pair.
+    """
+    sets = rows.toDF("id", "tokens").withColumn("tokens", F.array_distinct("tokens"))
+    each = sets.select("id", F.explode("tokens").alias("token"))
+    ranked = each.join(each.groupBy("token").agg(F.count("*").alias("df")), "token")
+    first = F.size("t") - F.ceil(F.size("t") * percent / 100).cast("int") + 1
+    heads = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    heads = heads.select("id", F.size("t").alias("n"), F.explode(F.slice("t", F.lit(1), first)).alias("at")).select("id", "n", "at.token")
+    x, y = heads.toDF("a", "na", "token"), heads.toDF("b", "nb", "token")
+    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    met = x.join(y, "token").where(close).select("a", "b").distinct()
+    pairs = met.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+    both = F.size(F.array_intersect("ta", "tb"))
+    union = F.size("ta") + F.size("tb") - both
+    return pairs.where(both * 100 >= union * percent).select("a", "b", (both / union).alias("similarity"))

@@ -35,23 +35,24 @@ def excluded_groups(rows: DataFrame, group: str, bad: str) -> DataFrame:
 def holding_passages(docs: DataFrame, id: str, text: str, passages: DataFrame, passage_id: str, passage: str, k: int = 8) -> DataFrame:
     """(id, passage_id) of documents that hold a whole passage.
 
-    Passages are found by their first k words: an equi-join of word k-grams of documents to those k-grams, then an exact
-    containment check of the normalised texts. Passages of fewer than k words are looked up by all their words.
+    Passages are found by their first k words: an equi-join of the hashes of documents' word k-grams to those of the
+    passages, then an exact containment check of the normalised texts. Passages of fewer than k words are looked up by all
+    their words.
     """
     from tracewright.functions.text import normalise
 
     clean = passages.select(F.col(passage_id).alias("passage_id"), normalise(F.col(passage)).alias("wanted")).where("wanted <> ''")
     words = F.split("wanted", " ")
-    clean = clean.withColumn("size", F.least(F.size(words), F.lit(k))).withColumn("gram", F.array_join(F.slice(words, F.lit(1), F.col("size")), " "))
+    clean = clean.withColumn("size", F.least(F.size(words), F.lit(k))).withColumn("gram", F.xxhash64(F.slice(words, F.lit(1), F.col("size"))))
     sizes = [r["size"] for r in clean.select("size").distinct().collect()]  # at most k numbers
     rows = docs.select(F.col(id).alias("id"), normalise(F.col(text)).alias("body")).withColumn("w", F.split("body", " "))
     grams = None
     for size in sizes:
-        at = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, F.lit(size)), " "))))
+        at = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.slice("w", i, F.lit(size))))))
         part = rows.where(F.size("w") >= size).select("id", at.alias("gram"))
         grams = part if grams is None else grams.unionByName(part)
     if grams is None:
         return docs.select(F.col(id), F.lit(None).cast("long").alias(passage_id)).limit(0)
-    found = grams.join(clean, "gram").select("id", "passage_id", "wanted").join(rows.select("id", "body"), "id")
+    found = grams.join(clean, "gram").select("id", "passage_id", "wanted").distinct().join(rows.select("id", "body"), "id")
     held = found.where(F.contains(F.concat(F.lit(" "), F.col("body"), F.lit(" ")), F.concat(F.lit(" "), F.col("wanted"), F.lit(" "))))
     return held.select(F.col("id").alias(id), F.col("passage_id").alias(passage_id)).distinct()

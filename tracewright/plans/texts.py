@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import arrays, html, text, urls
-from tracewright.operators import chat, splits
+from tracewright.operators import chat, passages, splits
 from tracewright.plans.evidence import STEMS
 from tracewright.plans.registry import load, query
 
@@ -93,14 +93,10 @@ WITH t AS (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text
 SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity
 FROM t a JOIN t b ON a.item_id < b.item_id AND len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.15""")
 def jaccard_pairs(spark, sf_dir):
-    """U6's pairwise form: token sets of benchmark items joined through shared tokens, then compared."""
+    """U6's pairwise form: token sets of benchmark items that meet in a rare enough token, then compared."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1))
-    rows = load(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).withColumn("size", F.size("w"))
-    each = rows.select("item_id", "size", F.explode("w").alias("word"))
-    pairs = each.alias("x").join(each.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.item_id") < F.col("y.item_id")))
-    both = pairs.groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.col("x.size").alias("na"), F.col("y.size").alias("nb")).agg(F.count("*").alias("n"))
-    similarity = F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))
-    return both.where(similarity >= 0.15).select("a", "b", F.round(similarity, 6).alias("similarity"))
+    pairs = passages.similar_sets(load(spark, sf_dir, "benchmark").select("item_id", words), 15)
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(' ' || lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))) || ' ', ' ' || lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) || ' ')")
