@@ -243,3 +243,29 @@ def test_similar_sets_against_all_pairs(spark):
     for percent in (15, 50, 75, 100):
         want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})}
         assert {(r.a, r.b) for r in passages.similar_sets(table, percent).collect()} == want
+
+
+def test_process_scores_of_single_traces(spark):
+    from tracewright.operators import scoring
+
+    steps = [  # trace, place, id, tool, status, no_match, judged
+        ("good", 1, "a", "search", "success", True, False), ("good", 2, "b", "search", "success", False, False), ("good", 3, None, None, "success", False, True),
+        ("late", 1, "a", "search", "success", False, True), ("late", 2, "b", "current_time", "error", False, False), ("late", 3, None, None, "success", False, False),
+        ("swapped", 1, "a", "search", "success", False, False), ("swapped", 2, "b", "search", "success", False, False), ("swapped", 3, "c", "search", "malformed", False, True),
+        (None, 1, "a", "search", "success", False, False),
+    ]
+    traces = [
+        ("good", "real", "real", True, ["a", "b"], ["b"]), ("late", "real", "real", True, ["a"], ["a", "a"]), ("swapped", "fake", "fake", True, ["b", "a"], ["c"]),
+        ("bare", "real", None, True, None, None),
+    ]
+    out = scoring.process_scores(
+        spark.createDataFrame(traces, "trace string, expected string, verdict string, finished boolean, basis array<string>, cited array<string>"),
+        spark.createDataFrame(steps, "trace string, place int, id string, tool string, status string, no_match boolean, judged boolean"), ["current_time"],
+    )
+    got = {r.trace: (r.actions, r.post_actions, r.low_value_rate, r.total, r.reasons, r.eligible) for r in out.collect()}
+    assert got == {
+        "good": (2, 0, 0.0, round(3 - 0.5 / 24, 6), [], True),
+        "late": (2, 1, 0.5, round(1 - 0.5 / 24, 6), ["verdict_observation_citation_invalid", "actions_after_judgment"], False),
+        "swapped": (3, 0, 0.0, round(0 + 0 + 1 - 1 - 0.75 / 24, 6), ["incorrect_result", "engineering_error", "verdict_basis_misaligned", "verdict_observation_citation_invalid"], False),
+        "bare": (0, 0, 0.0, 1.0, ["incorrect_result", "engineering_error"], False),
+    }
