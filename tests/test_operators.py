@@ -269,3 +269,26 @@ def test_process_scores_of_single_traces(spark):
         "swapped": (3, 0, 0.0, round(0 + 0 + 1 - 1 - 0.75 / 24, 6), ["incorrect_result", "engineering_error", "verdict_basis_misaligned", "verdict_observation_citation_invalid"], False),
         "bare": (0, 0, 0.0, 1.0, ["incorrect_result", "engineering_error"], False),
     }
+
+
+def test_relaxed_match_rules_in_order(spark):
+    base = {"url": "https://a.org/x", "stance": "support", "family": "domain:a.org", "text": "", "kind": "page", "binding": "", "same_capture": None, "other_capture": None, "confidence": 0.0}
+    near = "workers painted seven bridges, closed roads"
+    cases = [
+        ({"text": "The  Ferry sank"}, {"text": "the ferry sank off the coast"}, ("same_source_text_equivalent", 0.72)),
+        ({"text": "seven bridges were painted"}, {"text": "painting seven bridges"}, ("same_source_text_equivalent", 1.0)),
+        ({"text": "alpha beta", "kind": "reference_comparison", "binding": "same_capture"}, {"text": "gamma"}, ("same_source_same_capture", 0.9)),
+        ({"text": "alpha beta", "kind": "reference_comparison", "binding": "same_capture", "confidence": 0.4}, {"text": "gamma"}, ("same_source_same_capture", 0.4)),
+        ({"text": "alpha beta", "kind": "reference_comparison", "binding": "same_capture", "other_capture": True}, {"text": "gamma"}, None),
+        ({"text": "workers painted seven houses"}, {"text": near, "url": "https://A.org/x#top"}, ("same_url_semantic_span", 0.6)),
+        ({"text": "workers painted seven houses"}, {"text": near, "url": "https://a.org/y"}, None),
+        ({"text": "same words"}, {"text": "same words", "stance": "refute"}, None),
+        ({"text": "same words"}, {"text": "same words", "family": "domain:b.org"}, None),
+        ({"text": "same words", "family": ""}, {"text": "same words", "family": ""}, None),
+        ({"text": None}, {"text": None}, None),
+    ]
+    pair = "url string, stance string, family string, text string"
+    rows = [(i, {**base, **e}, {**{k: base[k] for k in ("url", "stance", "family", "text")}, **r}) for i, (e, r, _) in enumerate(cases)]
+    table = spark.createDataFrame(rows, f"i int, e struct<{pair.replace(' string', ':string')}, kind:string, binding:string, same_capture:boolean, other_capture:boolean, confidence:double>, r struct<{pair.replace(' string', ':string')}>")
+    got = {r.i: r.m and (r.m.method, round(r.m.confidence, 6)) for r in table.select("i", evidence.relaxed_match(F.col("e"), F.col("r")).alias("m")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from tracewright.functions.text import fact_tokens
+from tracewright.functions.text import fact_tokens, normalise
 from tracewright.functions.urls import canonical
 
 # Fixed values
@@ -23,6 +23,7 @@ MEDIA_ORIGINS = [
     r"\b(?:midjourney|dall\s*e|stable\s+diffusion|image\s+generator|generation\s+source|creation\s+method)\b",
     r"\b(?:real\s+or\s+fake|fake\s+or\s+real|image\s+authenticity|photo\s+authenticity|photograph\s+authenticity|authenticity\s+of\s+(?:the\s+)?image|image\s+generation|photo\s+generation|image\s+manipulation|digitally\s+manipulated)\b",
 ]
+TEXT_MATCH, RECALL_MATCH, URL_MATCH, CAPTURE_CONFIDENCE = 0.72, 0.85, 0.45, 0.9
 SECONDS = {"h": 3600.0, "m": 60.0, "s": 1.0}
 
 
@@ -71,6 +72,27 @@ def holds_either_way(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
+def relaxed_match(item: Column, reference: Column) -> Column:
+    """(method, confidence) of an evidence item and a reference of the same stance and source family; null without a match.
+
+    Both are structs: of url, stance, family and text, the item's with kind, binding, same_capture, other_capture and
+    confidence beside them. In this order: texts that say the same, a comparison of the same capture, the same page with a
+    similar text.
+    """
+    a, b = normalise(item["text"]), normalise(reference["text"])
+    own, wanted = fact_tokens(a), fact_tokens(b)
+    f1 = token_f1(own, wanted)
+    recall = F.coalesce(F.try_divide(F.size(F.array_intersect(own, wanted)), F.size(wanted)), F.lit(0.0))
+    allied = (family(item["family"]) == family(reference["family"])) & (family(item["family"]) != "") & item["stance"].eqNullSafe(reference["stance"])
+    alike = (a != "") & (b != "") & (holds_either_way(a, b) | (f1 >= TEXT_MATCH) | (recall >= RECALL_MATCH))
+    capture = (item["kind"] == "reference_comparison") & (item["binding"] == "same_capture") & F.coalesce(item["same_capture"], F.lit(True)) & ~F.coalesce(item["other_capture"], F.lit(False))
+    page = canonical(item["url"]).eqNullSafe(canonical(reference["url"])) & (f1 >= URL_MATCH)
+    result = lambda method, confidence: F.struct(F.lit(method).alias("method"), confidence.alias("confidence"))
+    found = F.when(alike, result("same_source_text_equivalent", F.greatest(F.lit(TEXT_MATCH), f1, recall)))
+    found = found.when(capture, result("same_source_same_capture", F.coalesce(F.nullif(item["confidence"], F.lit(0.0)), F.lit(CAPTURE_CONFIDENCE))))
+    return F.when(allied, found.when(page, result("same_url_semantic_span", f1)))
+
+
 def targets_ready_verdict(query: Column, origins: bool = False) -> Column:
     """Whether a query looks for a ready-made verdict, or also for how a picture was made."""
     flat = F.lower(F.regexp_replace(F.coalesce(query, F.lit("")), "[-_]+", " "))

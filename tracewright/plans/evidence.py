@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import arrays, evidence
 from tracewright.functions.hashing import seeded_hex
-from tracewright.functions.text import compress
+from tracewright.functions.text import compress, normalise
 from tracewright.operators.select import best_per_key, global_rank
 from tracewright.plans.registry import load, query
 
@@ -16,6 +16,13 @@ STEMS = r"""list_sort(list_distinct(list_transform(list_filter(regexp_extract_al
                  WHEN ends_with(t, 'es') AND length(t) > 5 THEN left(t, -2) WHEN ends_with(t, 's') AND length(t) > 4 THEN left(t, -1) ELSE t END)))"""
 
 
+def answered(turns):
+    """(conv_id, turn, text, answer) of each user turn and the assistant turn right after it; turns are ranked over the whole table."""
+    placed = global_rank(turns.select(F.struct("conv_id", "turn", "role", "text").alias("at")), "at").select("at.*", "rank")
+    answers = placed.where("role = 'assistant'").select("conv_id", F.col("text").alias("answer"), (F.col("rank") - 1).alias("rank"))
+    return placed.where("role = 'user'").join(answers, ["conv_id", "rank"]).select("conv_id", "turn", "text", "answer")
+
+
 @query(f"""
 WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS who FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 s AS (SELECT conv_id, min(text) AS context FROM conversations WHERE role = 'system' GROUP BY 1),
@@ -32,14 +39,43 @@ SELECT conv_id, turn, round(CASE WHEN same THEN least(1.0, max(f1) + 0.1) ELSE m
 def fact_similarities(spark, sf_dir):
     """Token F1 with prefix equivalence, source context and kind bonus, of every user turn and the answer right after it."""
     turns = load(spark, sf_dir, "conversations")
-    placed = global_rank(turns.select(F.struct("conv_id", "turn", "role", "text").alias("at")), "at").select("at.*", "rank")
-    answers = placed.where("role = 'assistant'").select("conv_id", F.col("text").alias("answer"), (F.col("rank") - 1).alias("rank"))
     context = turns.where("role = 'system'").groupBy("conv_id").agg(F.min("text").alias("context"))
-    pairs = placed.where("role = 'user'").join(answers, ["conv_id", "rank"]).join(context, "conv_id", "left")
+    pairs = answered(turns).join(context, "conv_id", "left")
     same = (F.char_length("text") > 100) == (F.char_length("answer") > 100)
     return pairs.select("conv_id", "turn", F.round(evidence.fact_similarity(F.col("answer"), F.col("text"), same, F.col("context")), 6).alias("similarity"))
 
 
+@query(f"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS who FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, lower(regexp_replace(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS a, lower(regexp_replace(regexp_replace(coalesce(answer, ''), '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS b
+      FROM t WHERE role = 'user' AND who = 'assistant'),
+f AS (SELECT *, {STEMS.format("a")} AS l, {STEMS.format("b")} AS g FROM p WHERE length(a) % 3 = length(b) % 3),
+m AS (
+  SELECT conv_id, turn, l, g AS r, 1 AS i, 0 AS n FROM f
+  UNION ALL
+  SELECT conv_id, turn, l, CASE WHEN hit IS NULL THEN r ELSE list_filter(r, lambda x: x <> hit) END, i + 1, n + CASE WHEN hit IS NULL THEN 0 ELSE 1 END
+  FROM (SELECT *, list_filter(r, lambda x: x = l[i] OR (least(length(x), length(l[i])) >= 6 AND abs(length(x) - length(l[i])) <= 2 AND (starts_with(x, l[i]) OR starts_with(l[i], x))))[1] AS hit FROM m WHERE i <= len(l))),
+s AS (SELECT f.*, CASE WHEN len(f.l) = 0 OR len(g) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * n / (len(f.l) + len(g)) END AS f1, CASE WHEN len(g) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(f.l, g))::DOUBLE / len(g) END AS recall
+      FROM f JOIN m ON f.conv_id = m.conv_id AND f.turn = m.turn AND m.i = len(m.l) + 1),
+d AS (SELECT *, CASE WHEN a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a) OR f1 >= 0.72 OR recall >= 0.85) THEN 'same_source_text_equivalent' WHEN length(a) % 5 = 0 THEN 'same_source_same_capture'
+  WHEN length(a) % 2 = length(b) % 2 AND f1 >= 0.45 THEN 'same_url_semantic_span' END AS method FROM s)
+SELECT conv_id, turn, method, round(CASE method WHEN 'same_source_text_equivalent' THEN greatest(0.72, f1, recall) WHEN 'same_source_same_capture' THEN CASE WHEN length(a) % 10 = 0 THEN 0.9 ELSE 0.6 END ELSE f1 END, 6)::DOUBLE AS confidence
+FROM d WHERE method IS NOT NULL""")
+def relaxed_evidence_matches(spark, sf_dir):
+    """User turns as evidence and the answers after them as references; families, pages and kinds come from the texts' lengths."""
+    pairs = answered(load(spark, sf_dir, "conversations")).withColumns({"text": normalise(F.col("text")), "answer": normalise(F.col("answer"))})
+    size, other = F.char_length("text"), F.char_length("answer")
+    url = lambda n: F.concat(F.lit("https://www.example.org/page/"), F.pmod(n, F.lit(2)).cast("string"))
+    source = lambda n: F.concat(F.lit("domain:f"), F.pmod(n, F.lit(3)).cast("string"), F.lit(".example.org"))
+    item = F.struct(
+        url(size).alias("url"), F.lit("support").alias("stance"), source(size).alias("family"), F.col("text").alias("text"), F.when(size % 5 == 0, "reference_comparison").otherwise("page").alias("kind"),
+        F.lit("same_capture").alias("binding"), F.lit(None).cast("boolean").alias("same_capture"), F.lit(False).alias("other_capture"), F.when(size % 10 == 0, 0.0).otherwise(0.6).alias("confidence"),
+    )
+    reference = F.struct(url(other).alias("url"), F.lit("support").alias("stance"), source(other).alias("family"), F.col("answer").alias("text"))
+    found = pairs.select("conv_id", "turn", evidence.relaxed_match(item, reference).alias("m")).where("m is not null")
+    return found.select("conv_id", "turn", "m.method", F.round("m.confidence", 6).alias("confidence"))
+
+
 @query(r"""
 WITH e AS (SELECT doc_id, sha256(text) AS digest, lang, n_chars % 3 AS stance, regexp_replace(regexp_replace(left(text, 60), '\s+', ' ', 'g'), '^ | $', '', 'g') AS span FROM documents)
 SELECT a.doc_id, EXISTS (SELECT 1 FROM e b WHERE a.digest = b.digest AND a.lang = b.lang AND a.stance = b.stance AND b.doc_id <> a.doc_id
