@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import embeddings, exact_dedup as exact, minhash, packing, sampling, sharding, substring, toxicity as toxic, url_filter, warc
+from tracewright.llm import embeddings, exact_dedup as exact, filter_audit, fim, minhash, packing, sampling, sharding, substring, toxicity as toxic, url_filter, warc
 
 
 def tokenizer_path(name="word_bpe_49k.json"):
@@ -126,6 +126,63 @@ FROM c LEFT JOIN f ON f.page_id = c.page_id AND f.k = 1
 """
 
 
-QUERIES = {"op6_sentencepiece_sampling": op6_sentencepiece_sampling, "op2_sharding": op2_sharding, "op10_url_filter": op10_url_filter, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity}
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (
+  SELECT doc_id, part,
+         (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * coalesce(list_unique(w), 0) < 50 * len(w) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 4 ELSE 0 END)
+         + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(f, b)),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (
+  SELECT filter_order, step::INT AS step, f AS filter, b AS bit,
+         (SELECT coalesce(sum(x.b), 0) FROM f x WHERE strpos(filter_order, x.f) < step)::INT AS before
+  FROM o, range(1, 6) r(step), f WHERE f.f = substr(filter_order, step::INT, 1)),
+t AS (
+  SELECT part, filter_order, step, filter,
+         sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT *, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM t
+"""
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l FROM d),
+c AS (
+  SELECT *, len(l) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(l) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(l) + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (
+  SELECT doc_id, n, form, t, array_to_string(l[1:least(a, b)], '') AS pre, array_to_string(l[least(a, b) + 1:greatest(a, b)], '') AS mid,
+         array_to_string(l[greatest(a, b) + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
+
+
+QUERIES = {"op6_sentencepiece_sampling": op6_sentencepiece_sampling, "op2_sharding": op2_sharding, "op10_url_filter": op10_url_filter, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity, "op11_filter_audit": op11_filter_audit, "op12_fill_in_middle": op12_fill_in_middle}
 # SHA-1 is not among DuckDB's functions, so op3 has brute-force tests instead
-ORACLES = {"op2_sharding": OP2_SQL, "op10_url_filter": OP10_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLES = {"op2_sharding": OP2_SQL, "op10_url_filter": OP10_SQL, "op5_exact_dedup": OP5_SQL, "op11_filter_audit": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
