@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import embeddings, exact_dedup as exact, filter_audit, fim, minhash, packing, sampling, sharding, substring, toxicity as toxic, url_filter, warc
+from tracewright.llm import embeddings, exact_dedup as exact, filter_audit, fim, minhash, packing, sampling, sharding, substring, suffixes, toxicity as toxic, url_filter, warc
 
 
 def tokenizer_path(name="word_bpe_49k.json"):
@@ -183,6 +183,13 @@ FROM p
 """
 
 
-QUERIES = {"op6_sentencepiece_sampling": op6_sentencepiece_sampling, "op2_sharding": op2_sharding, "op10_url_filter": op10_url_filter, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity, "op11_filter_audit": op11_filter_audit, "op12_fill_in_middle": op12_fill_in_middle}
+def op13_suffix_array_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    out = suffixes.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {"op6_sentencepiece_sampling": op6_sentencepiece_sampling, "op2_sharding": op2_sharding, "op10_url_filter": op10_url_filter, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op3_warc_transactions": op3_warc_transactions, "op4_substring_dedup": op4_substring_dedup, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op8_toxicity": op8_toxicity, "op11_filter_audit": op11_filter_audit, "op12_fill_in_middle": op12_fill_in_middle, "op13_suffix_array_dedup": op13_suffix_array_dedup}
 # SHA-1 is not among DuckDB's functions, so op3 has brute-force tests instead
 ORACLES = {"op2_sharding": OP2_SQL, "op10_url_filter": OP10_SQL, "op5_exact_dedup": OP5_SQL, "op11_filter_audit": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
