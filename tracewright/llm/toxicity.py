@@ -7,16 +7,20 @@ negative, its gradient is taken ``step_back`` times in reverse. The prior is the
 learnt from. Those are the rows whose crc32(id as text) mod ``folds`` is not 0.
 
 The training sample is bounded by ``most_positive`` and ``most_unlabelled`` rows, taken in the order of a
-hash of the id, and by words found in at least ``least_rows`` of them
-whose share of toxic rows exceeds that of unlabelled rows by ``least_z`` standard errors. Every text is scored whole, in the
+hash of the id. Words have weights that are found in at least ``least_rows`` of them and whose share of toxic rows exceeds that of
+unlabelled rows by some standard errors. How many, of those in ``least_z``, is chosen inside the training rows: a model is trained
+without one of the first ``choosing`` folds of them, and the number with the least estimated risk of zero-one loss on the
+fold left out is taken. Rows that are held out never take part. Every text is scored whole, in the
 tasks that read it; nothing is shuffled. Defined results: null and empty texts score as the bias alone;
-labels with a null, or of ids without text, teach nothing; without a confirmed toxic row every score is 0.
+labels with a null, or of ids without text, teach nothing; without a confirmed toxic row every score is 0; rows that repeat an id, or
+lack one, are scored each by its own text, and those that repeat an id all teach under its label; texts above ``longest`` bytes are
+scored whole and teach nothing; further columns, whatever their names, are ignored.
 Label, language, source and id are never inputs of a score.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,10 @@ BITS = 20
 class Settings:
     most_positive: int = 6000
     most_unlabelled: int = 12000
-    least_rows: int = 8
-    least_z: float = 5.0
+    least_rows: int = 4
+    least_z: tuple[float, ...] = (1.5, 2.0, 3.0, 5.0)
+    choosing: int = 2
+    trial_epochs: int = 80
     folds: int = 5
     epochs: int = 250
     batches: int = 1
@@ -58,11 +64,11 @@ def _features(batches):
         pair = np.unique(doc << BITS | word)
         at = np.searchsorted(pair >> BITS, np.arange(batch.num_rows + 1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array((pair & ((1 << BITS) - 1)).astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("positive")), lists], ["positive", "words"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("positive", "fold")), lists], ["positive", "fold", "words"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, id: str, text: str, label: str) -> tuple[list, float]:
-    """The words of the sampled rows, at most most_positive + most_unlabelled of them, and the class prior."""
+    """Flags, folds and words of the sampled rows, at most most_positive + most_unlabelled of them, and the class prior."""
     marked = labels.where((fold(id, s.folds) != 0) & F.col(label).isNotNull())
     prior = marked.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0] or 0.0
     order = F.xxhash64(F.col(id), F.lit(s.seed))
@@ -72,29 +78,64 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, id: str, text
     unlabelled = docs.where(F.col(id).isNotNull() & (fold(id, s.folds) != 0)).select(id).orderBy(order).limit(s.most_unlabelled).select(id, F.lit(False).alias("positive"))
     # both sides of the union are limited, so the broadcast is bounded by the settings
     wanted = docs.select(F.col(id), F.col(text).alias("text")).join(F.broadcast(positive.unionByName(unlabelled)), id)
-    rows = wanted.select("positive", "text").mapInArrow(_features, "positive boolean, words array<int>").toArrow()
-    flags, words = rows.column(0).to_numpy(), rows.column(1)
-    return [flags, words], prior
+    wanted = wanted.select("positive", fold(id, s.folds).cast("int").alias("fold"), "text")
+    rows = wanted.mapInArrow(_features, "positive boolean, fold int, words array<int>").toArrow()
+    words = [x.values.to_numpy() for chunk in rows.column(2).chunks for x in chunk]
+    return [np.asarray(rows.column(0).to_numpy(), bool), rows.column(1).to_numpy(), words], prior
 
 
-def telling(flat: np.ndarray, of_positive: np.ndarray, flags: np.ndarray, s: Settings) -> np.ndarray:
+def telling(flat: np.ndarray, of_positive: np.ndarray, flags: np.ndarray, least_z: float, s: Settings) -> np.ndarray:
     """Words whose share of toxic rows exceeds that of unlabelled rows by ``least_z`` standard errors."""
     n_pos, n_unl = max(flags.sum(), 1), max((~flags).sum(), 1)
     pos, unl = np.bincount(flat[of_positive], minlength=1 << BITS), np.bincount(flat[~of_positive], minlength=1 << BITS)
     p, u = (pos + 0.5) / (n_pos + 1), (unl + 0.5) / (n_unl + 1)
     z = (p - u) / np.sqrt(p * (1 - p) / n_pos + u * (1 - u) / n_unl)
-    return np.flatnonzero((z >= s.least_z) & (pos + unl >= s.least_rows))
+    return np.flatnonzero((z >= least_z) & (pos + unl >= s.least_rows))
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Both terms of the estimated risk of logistic loss: prior * E_pos[loss(+)], and E_unl[loss(-)] - prior * E_pos[loss(-)]."""
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float, step_back: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a step follows: the gradient of both terms by the rows' scores, or ``-step_back`` times that of a negative second term."""
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (zp, zu))
+    second = -prior * sp / len(zp), su / len(zu)
+    if risk(zp, zu, prior)[1] < 0:
+        return -step_back * second[0], -step_back * second[1]
+    return second[0] + prior * (sp - 1) / len(zp), second[1]
+
+
+def chosen(flags: np.ndarray, folds: np.ndarray, words: list[np.ndarray], prior: float, s: Settings) -> float:
+    """Of ``least_z``, what has the least estimated zero-one risk on folds of the training rows that its model has not seen."""
+    held = [f for f in np.unique(folds)[: s.choosing] if all((flags[folds == f] == side).any() and (flags[folds != f] == side).any() for side in (True, False))]
+    if len(s.least_z) == 1 or not held:
+        return s.least_z[0]
+    size = np.array([len(x) for x in words])
+    flat, row = (np.concatenate(words) if size.sum() else np.zeros(0, int)), np.repeat(np.arange(len(words)), size)
+    found = []
+    for least in s.least_z:
+        total = 0.0
+        for f in held:
+            seen = np.flatnonzero(folds != f)
+            weights, bias = train(flags[seen], [words[i] for i in seen], prior, replace(s, least_z=(least,), epochs=s.trial_epochs))
+            hit = bias + np.bincount(row, weights[flat], len(words)) >= 0
+            caught, alarms = hit[flags & (folds == f)].mean(), hit[~flags & (folds == f)].mean()
+            total += prior * (1 - caught) + max(0.0, alarms - prior * caught)
+        found.append(total)
+    return s.least_z[int(np.argmin(found))]
 
 
 def train(flags: np.ndarray, words: list[np.ndarray], prior: float, s: Settings) -> tuple[np.ndarray, float]:
-    """Weights of the hashed words and the bias, by minibatch Adam with soft shrinkage."""
+    """Weights of the hashed words and the bias, by minibatch Adam with soft shrinkage; words are cut at the first of ``least_z``."""
     weights = np.zeros(1 << BITS)
     prior = min(max(prior, 1e-3), 0.9)
     if not flags.any() or flags.all():
         return weights, -np.inf if not flags.any() else np.log(prior / (1 - prior))
     sizes = np.array([len(x) for x in words])
     flat = np.concatenate(words) if sizes.sum() else np.zeros(0, int)
-    known = telling(flat, np.repeat(flags, sizes), flags, s)
+    known = telling(flat, np.repeat(flags, sizes), flags, s.least_z[0], s)
     place = np.full(1 << BITS, -1)
     place[known] = np.arange(len(known))
     row, col = np.repeat(np.arange(len(words)), sizes), place[flat]
@@ -115,15 +156,7 @@ def train(flags: np.ndarray, words: list[np.ndarray], prior: float, s: Settings)
             take = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in ids])
             own = np.repeat(np.arange(len(ids)), begin[ids + 1] - begin[ids])
             z = theta[-1] + np.bincount(own, theta[col[take]], len(ids))
-            sig = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            zp, zu = z[: len(pos)], z[len(pos) :]
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            # d loss(+)/dz = sig - 1, d loss(-)/dz = sig
-            slope = np.concatenate([-prior * sig[: len(pos)] / len(pos), sig[len(pos) :] / len(unl)])
-            if negative < 0:
-                slope = -s.step_back * slope
-            else:
-                slope[: len(pos)] += prior * (sig[: len(pos)] - 1) / len(pos)
+            slope = np.concatenate(slopes(z[: len(pos)], z[len(pos) :], prior, s.step_back))
             grad = np.append(np.bincount(col[take], slope[own], len(known)), slope.sum())
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad * grad
@@ -136,9 +169,9 @@ def train(flags: np.ndarray, words: list[np.ndarray], prior: float, s: Settings)
 
 def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", settings: Settings = Settings()) -> DataFrame:
     """(id, held_out, score, predicted) for every row of ``docs``."""
-    (flags, lists), prior = training_rows(docs, labels, settings, id, text, label)
-    words = [x.values.to_numpy() for chunk in lists.chunks for x in chunk]
-    weights, bias = train(np.asarray(flags, bool), words, prior, settings)
+    (flags, folds, words), prior = training_rows(docs, labels, settings, id, text, label)
+    least = chosen(flags, folds, words, min(max(prior, 1e-3), 0.9), settings)
+    weights, bias = train(flags, words, prior, replace(settings, least_z=(least,)))
     used = np.flatnonzero(weights)
     model = docs.sparkSession.sparkContext.broadcast((used, weights[used], bias))
 
