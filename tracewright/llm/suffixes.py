@@ -26,6 +26,8 @@ further columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import gc
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 from itertools import groupby
@@ -38,16 +40,21 @@ from pyspark.sql import DataFrame, functions as F
 from tracewright.llm.words import M1, M2, M3, U64, mix, slices, sliding_min, text_bytes
 from tracewright.session import Scratch
 
-WINDOW, GRAM, BLOCK, CHUNK, PART, ROUTE, MOST_RANGES = 50, 20, 1 << 18, 4 << 20, 1 << 20, 24, 1 << 16
+WINDOW, GRAM, BLOCK, CHUNK, PART, ROUTE, MOST_RANGES = 50, 20, 1 << 18, 4 << 20, 1 << 20, 24, (1 << 16) - 1
 #: bytes that a name stands for -> places, from a position on, of the names that it is made of; at 9 it is bytes
 NAMES = {9: (0, 8), 27: (0, 9, 18), 48: (0, 21)}
 EMPTY = sha256(b"").digest()
 
 
+def halves(x: np.ndarray) -> bytes:
+    both = np.ascontiguousarray(x).view("<u4")
+    return np.concatenate([both[::2], both[1::2]]).tobytes()
+
+
 def packed(*arrays: np.ndarray) -> bytes:
-    """Compressed arrays; numbers' first bytes stand together, then their second ones, and so on."""
+    """Compressed arrays; the low halves of long numbers stand together, and so do the high ones."""
     head = np.array([len(arrays), *(x.nbytes for x in arrays)], "<i8").tobytes()
-    body = b"".join([head, *(x.tobytes() if x.itemsize == 1 else np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays)])
+    body = b"".join([head, *(x.tobytes() if x.itemsize < 8 else halves(x) for x in arrays)])
     return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
@@ -56,8 +63,25 @@ def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     count = int(np.frombuffer(body, "<i8", 1)[0])
     size = np.frombuffer(body, "<i8", count, 8)
     at = np.concatenate(([0], np.cumsum(size))) + 8 * (count + 1)
-    flat = [np.frombuffer(body, np.uint8, int(n), int(a)) for n, a in zip(size, at)]
-    return [x if kind == "u1" else np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() for kind, x in zip(kinds, flat)]
+    out = []
+    for kind, n, a in zip(kinds, size.tolist(), at.tolist()):
+        if kind[-1] == "8":
+            whole = np.empty((n // 8, 2), "<u4")
+            whole[:, 0], whole[:, 1] = np.frombuffer(body, "<u4", n // 4, a).reshape(2, -1)
+            out.append(whole.view(kind).ravel())
+        else:
+            out.append(np.frombuffer(body, kind, n // np.dtype(kind).itemsize, a))
+    return out
+
+
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers sorted: the order, where each different one begins in it, and the dense rank of each."""
+    order = np.argsort(key)
+    held = key[order]
+    begin = np.flatnonzero(np.append(True, held[1:] != held[:-1])[: len(held)])
+    own = np.empty(len(key), np.int64)
+    own[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+    return order, begin, own
 
 
 def rows_of(batches) -> Iterator[tuple]:
@@ -218,7 +242,7 @@ class Part:
     def ranked(self) -> np.ndarray:
         """The part's own ranks of its names, which keep their order; at most as many as positions, so 21 bits hold one."""
         out, some = np.full(self.n + 64, -1), np.flatnonzero(self.names >= 0)
-        out[some] = np.unique(self.names[some], return_inverse=True)[1]
+        out[some] = numbered(self.names[some])[2]
         return out
 
     def sample(self, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +251,7 @@ class Part:
         if span == 9:
             at = np.flatnonzero(ok)
             head = np.ndarray(self.n + 1, ">u8", self.data.data, strides=(1,))[at].astype(U64)
-            return at, np.unique(head, return_inverse=True)[1] << 8 | self.data[at + 8]
+            return at, numbered(head)[2] << 8 | self.data[at + 8]
         own = self.ranked()
         for k in NAMES[span]:
             ok &= own[k : k + self.n] >= 0
@@ -242,14 +266,14 @@ class Part:
         return [self.names[at + k] for k in NAMES[span]]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of whole windows, and a number for their bytes, of each class by itself."""
+        """Positions of whole windows, and a number for their bytes that keeps their order within each class."""
         own, i = self.ranked(), np.arange(self.n)
         kind = i % 3
         a, b = i + (kind == 0), i + np.array([2, 1, 2])[kind]
         at = np.flatnonzero((self.left >= WINDOW) & (own[a] >= 0) & (own[b] >= 0))
         kind = kind[at]
-        lead = np.where(kind == 0, self.data[at], self.data[at + 48]).astype(np.int64)
-        return at, kind << 40 | own[a[at]] << 16 | lead << 8 | self.data[at + 49]
+        name, last = own[a[at]], self.data[at + 49]
+        return at, kind << 40 | np.where(kind == 0, self.data[at].astype(np.int64) << 29 | name << 8, name << 16 | self.data[at + 48].astype(np.int64) << 8) | last
 
     def window_columns(self, at: np.ndarray) -> list[np.ndarray]:
         kind = at % 3
@@ -284,18 +308,20 @@ class Strings:
 
     def __init__(self, part: Part, span: int, splits: np.ndarray):
         self.at, key = part.sample(span) if span < WINDOW else part.windows()
-        _, first, self.own = np.unique(key, return_index=True, return_inverse=True)
-        width = min(span, ROUTE)
-        route = np.searchsorted(splits.astype(f"S{width}"), part.strings(self.at[first], width), side="right")
-        self.order = np.argsort(route, kind="stable")
+        self.by, self.begin, self.own = numbered(key)
+        first, width = self.at[self.by[self.begin]], min(span, ROUTE)
+        # a class's different strings are in order already, so it is the splits that are looked up among them
+        kind = np.searchsorted(key[self.by[self.begin]] >> 40, np.arange(4)) if span == WINDOW else np.array([0, len(first)])
+        text = part.data.data
+        bounds = [[bisect_left(range(x, y), bytes(s[:width]).ljust(width, b"\0"), key=lambda k: bytes(text[first[k] : first[k] + width])) + x for s in splits.tolist()] for x, y in zip(kind[:-1].tolist(), kind[1:].tolist())]
+        route = np.concatenate([np.repeat(np.arange(len(splits) + 1), np.diff([x, *b, y])) for x, y, b in zip(kind[:-1].tolist(), kind[1:].tolist(), bounds)])
+        self.order = np.argsort(route.astype(np.uint16), kind="stable")
         self.bucket = route[self.order]
-        self.first = self.at[first][self.order]
+        self.first = first[self.order]
 
     def least(self, values: np.ndarray) -> np.ndarray:
         """The least value among the positions of each string, by range."""
-        by = np.argsort(self.own, kind="stable")
-        begin = np.flatnonzero(np.append(True, np.diff(self.own[by]) > 0)[: len(by)])
-        return (np.minimum.reduceat(values[by], begin) if len(by) else values)[self.order]
+        return (np.minimum.reduceat(values[self.by], self.begin) if len(self.by) else values)[self.order]
 
     def spread(self, replies, kind: str) -> np.ndarray:
         """What came back, for each position; ``replies`` has the blob of each range."""
@@ -451,15 +477,25 @@ class Sort:
         self.docs = self.docs.withColumn("mark", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
         self.scratch = Scratch(docs.sparkSession, "suffixes")
 
+    def free(self) -> None:
+        """Lets the shuffle files of finished steps go, which takes a collection in the driver's JVM."""
+        gc.collect()
+        self.docs.sparkSession._jvm.System.gc()
+
     def regions(self, first: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
         """(chunks of the leading texts, their regions with shared anchors)."""
         save = self.scratch.save
         leading = self.docs.where(F.octet_length("text") >= WINDOW).join(first.select("mark", F.col("first").alias("id")), ["mark", "id"], "left_semi")
         chunks = save(leading.select("id", "text").mapInArrow(_chunks, "chunk long, blob binary"), "chunks")
+        del leading
+        self.free()
         buckets = min(max(1, total >> 24), MOST_RANGES)
         replies = exchange(chunks.mapInArrow(_tell_anchors(buckets), "chunk long, bucket int, blob binary"), _shared_anchors)
         # a chunk without a window has no replies, and no regions
-        return chunks, save(chunks.join(replies, "chunk").mapInArrow(_regions(buckets), "key long, id long, chunk long, doc long, at long, data binary"), "regions")
+        regions = save(chunks.join(replies, "chunk").mapInArrow(_regions(buckets), "key long, id long, chunk long, doc long, at long, data binary"), "regions")
+        del replies
+        self.free()
+        return chunks, regions
 
     def matches(self, regions: DataFrame) -> DataFrame:
         """(chunk, doc, at, n): runs of windows that stand in a document with a smaller id."""
@@ -467,6 +503,8 @@ class Sort:
         dealt = regions.repartitionByRange("key", "id").sortWithinPartitions("key", "id", "at")
         parts = save(dealt.mapInArrow(_lay_out, "chunk long, n long, sample array<binary>, blob binary"), "parts")
         drop(regions)
+        del dealt
+        self.free()
         total, count = parts.agg(F.sum("n"), F.count("*")).first()
         # at most about 2^16 strings of 24 bytes, from a bounded number of parts, whatever the input
         share = max(1, count >> 10)
@@ -482,6 +520,8 @@ class Sort:
             if span > 9:
                 drop(path)
             path = parts
+            del replies
+            self.free()
         replies = exchange(parts.mapInArrow(_ask(WINDOW, splits), schema), _answer(WINDOW, merged))
         found = save(parts.join(replies, "chunk").mapInArrow(_take_matches(splits), "chunk long, doc long, at long, n long"), "matches")
         drop(parts)
