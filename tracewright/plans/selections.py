@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions.hashing import seeded_hex, shard
-from tracewright.operators import select, series
+from tracewright.operators import exact, select, series
 from tracewright.plans.registry import load, query
 
 
@@ -265,3 +265,22 @@ def lag_rate(spark, sf_dir):
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = load(spark, sf_dir, "events").withColumn("t", t)
     return rows.select("event_id", (F.round(F.try_divide(F.col("value") - F.lag("value").over(w), F.col("t") - F.lag("t").over(w)), 6) + F.lit(0.0)).alias("rate"))
+
+
+@query("""
+WITH RECURSIVE g AS (
+  SELECT *, row_number() OVER (ORDER BY sha256('g3:' || "group"::VARCHAR), "group") AS i
+  FROM (SELECT o_custkey AS "group", count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY 1)),
+r AS (
+  SELECT 0::BIGINT AS i, 0::BIGINT AS c, 0::BIGINT AS s, []::BIGINT[] AS picked
+  UNION ALL
+  SELECT i, c, s, picked FROM (
+    SELECT g.i, r.c + k.k * g.n AS c, r.s + k.k * g.f AS s, CASE WHEN k.k = 1 THEN list_append(picked, "group") ELSE picked END AS picked, k.k, bool_or(r.c = 60 AND r.s = 25) OVER () AS met
+    FROM r JOIN g ON g.i = r.i + 1, (VALUES (0), (1)) k(k))
+  WHERE NOT met AND c <= 60 AND s <= 25 QUALIFY row_number() OVER (PARTITION BY c, s ORDER BY k) = 1)
+SELECT "group", n AS count, f AS supported, list_contains((SELECT picked FROM r WHERE c = 60 AND s = 25 ORDER BY i LIMIT 1), "group") AS chosen FROM g""")
+def exact_validation_groups(spark, sf_dir):
+    """Whole customers that have exactly 60 orders, 25 of them filled, in seeded order."""
+    orders = load(spark, sf_dir, "orders")
+    groups = orders.groupBy(F.col("o_custkey").alias("group")).agg(F.count("*").alias("count"), F.count_if(F.col("o_orderstatus") == "F").alias("supported"))
+    return exact.exact_groups(groups, "g3", 60, 25)
