@@ -3,11 +3,11 @@
 Texts are equal when identical after deleting ASCII white space. The index is built from the 64-bit hashes of the
 texts: the directory starts as one bucket and is doubled, ``STEP`` times a round, while a bucket holds more than
 ``capacity`` hashes; a bucket splits only as deep as it must, and rounds go on, over the overfull buckets alone, until
-none is left. An entry of the index is a distinct text: its owner gets it with its bytes, which decide what is equal,
-and copies collapse inside each task before anything is shuffled, so that a group of copies of any size costs one row
-for each task. Texts that differ but share a hash are chained. The index is written in ranges of (bucket, hash); every
-document finds its bucket by the leading bits of its hash, and its chain by the hash. Where the chain has one entry,
-all texts of that hash have been compared already; in a longer one the document's bytes are compared with the entries'.
+none is left. What is shuffled for every text is its hash, id and length. A hash met once is an entry as it is; for hashes met
+more than once the texts go to the owner of their bucket, copies collapsed inside each task, and the owner's
+comparison of their bytes makes the entries: one for each different text, chained where such texts share a hash. The index is written in
+ranges of (bucket, hash); every document finds its bucket by the leading bits of its hash, and its chain by the hash. Where the chain
+has one entry, all texts of that hash have been compared already; in a longer one the document's bytes are compared with the entries'.
 
 Defined results: a null text is empty; empty texts are equal to each other; rows that repeat an id share
 its fate; of equally long texts one with a null id loses to any other; where such a row stays, all rows of its group
@@ -36,6 +36,12 @@ def prefix(h: Column | str, depth: Column | int) -> Column:
     return h.bitwiseAND(mask)
 
 
+def kept_id(rank: str) -> Column:
+    """The id in a rank; null for a row without one."""
+    low = (F.lit(LAST_ID).cast("decimal(20,0)") - (F.col(rank) % F.lit("1" + "0" * 20).cast("decimal(21,0)"))).cast("long")
+    return F.nullif(low, F.lit(LAST_ID))
+
+
 def grow_directory(hashes: DataFrame, scratch: Scratch, capacity: int) -> DataFrame:
     """(bucket, depth): the buckets that distinct hashes ``h`` split into; a bucket is its hashes' common leading bits."""
     spark, leaves, depth = hashes.sparkSession, [], 0
@@ -66,39 +72,51 @@ def routed(rows: DataFrame, directory: DataFrame, depths: list[int]) -> DataFram
     return asked.join(directory, ["bucket", "depth"])
 
 
+#: hashes met more than once are broadcast up to so many (8 bytes each); beyond, the join shuffles both sides
+MOST_BROADCAST = 1 << 21
+
+
 class Index:
     """The index over one input; see the module's docstring. ``bits`` of a hash are used (fewer in tests of chains)."""
 
     def __init__(self, docs: DataFrame, id: str, text: str, capacity: int, bits: int):
         self.scratch = Scratch(docs.sparkSession, "exact")
-        hashed = lambda norm: prefix(F.xxhash64(norm), bits)
         whole = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), normalised(text).alias("norm"))
         # more code points first, then the smaller id, as one number whose maximum is wanted
         rank = F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("decimal(38,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)")
         rank = (rank + (F.lit(LAST_ID).cast("decimal(20,0)") - F.coalesce(F.col("id"), F.lit(LAST_ID)).cast("decimal(20,0)"))).cast("decimal(38,0)")
-        self.texts = whole.select("id", rank.alias("rank"), "norm", hashed("norm").alias("h"))
-        groups = self.texts.groupBy("h", "norm").agg(F.count("*").alias("group_size"), F.max("rank").alias("rank"))
-        low = (F.lit(LAST_ID).cast("decimal(20,0)") - (F.col("rank") % F.lit("1" + "0" * 20).cast("decimal(21,0)"))).cast("long")
-        entry = groups.select("h", F.sha2("norm", 256).alias("text_sha256"), F.nullif(low, F.lit(LAST_ID)).alias("keep_id"), "group_size")
-        entries = self.scratch.save(entry, "entries")
-        chains = self.scratch.save(entries.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("text_sha256", "keep_id", "group_size"))).alias("chain")), "chains")
-        self.directory = self.scratch.save(grow_directory(chains.select("h"), self.scratch, capacity), "directory")
+        self.texts = whole.select("id", rank.alias("rank"), "norm", prefix(F.xxhash64("norm"), bits).alias("h"))
+        self.facts = self.scratch.save(self.texts.select("id", "rank", "h", F.unhex(F.sha2("norm", 256)).alias("mark")), "facts")
+        hashes = self.scratch.save(self.facts.groupBy("h").agg(F.count("*").alias("n"), F.max("rank").alias("rank")), "hashes")
+        self.directory = self.scratch.save(grow_directory(hashes.select("h"), self.scratch, capacity), "directory")
         self.depths = sorted(r["depth"] for r in self.directory.select("depth").distinct().collect())  # at most 65
-        owned = routed(chains, self.directory, self.depths).repartitionByRange("bucket", "h")
-        self.index = self.scratch.save(owned.select("bucket", "depth", "h", "chain"), "index")
+        self.repeated = hashes.where("n > 1").select("h")
+        # owners compare the bytes of what goes to their buckets
+        sent = routed(self.of(self.texts.select("h", "norm", "rank"), self.repeated), self.directory, self.depths)
+        owned = sent.groupBy("bucket", "h", "norm").agg(F.count("*").alias("group_size"), F.max("rank").alias("rank"))
+        self.owned = self.scratch.save(owned.select("bucket", "h", F.unhex(F.sha2("norm", 256)).alias("mark"), kept_id("rank").alias("keep_id"), "group_size"), "owned")
+        chains = self.owned.groupBy("bucket", "h").agg(F.sort_array(F.collect_list(F.struct("mark", "keep_id", "group_size"))).alias("chain"))
+        lone = hashes.where("n = 1").select("h", F.struct(F.lit(None).cast("binary").alias("mark"), kept_id("rank").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).alias("entry"))
+        lone = routed(lone, self.directory, self.depths).select("bucket", "h", F.array("entry").alias("chain"))
+        self.index = self.scratch.save(chains.unionByName(lone).repartitionByRange("bucket", "h"), "index")
+
+    def of(self, rows: DataFrame, hashes: DataFrame) -> DataFrame:
+        """The rows that have one of some different hashes, which are broadcast if they are few."""
+        few = hashes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        return rows.join(F.broadcast(hashes) if few else hashes, "h", "left_semi")
 
     def look_up(self) -> DataFrame:
-        """(id, keep_id, group_size, text_sha256) of every document, from its chain."""
-        asked = routed(self.texts.select("id", "h"), self.directory, self.depths)
-        found = asked.join(self.index.select("bucket", "h", "chain"), ["bucket", "h"]).where("size(chain) = 1")
-        found = found.select("id", F.element_at("chain", 1).alias("entry")).select("id", "entry.*")
+        """(id, keep_id, group_size, mark) of every document, from its chain."""
+        asked = routed(self.facts.select("id", "h", "mark"), self.directory, self.depths)
+        found = asked.join(self.index, ["bucket", "h"]).where("size(chain) = 1").withColumn("entry", F.element_at("chain", 1))
+        found = found.select("id", "entry.keep_id", "entry.group_size", asked["mark"])
         # documents whose hash is shared by different texts: their bytes against those of the chain's texts
         longer = self.index.where("size(chain) > 1").select("h", F.explode("chain").alias("entry"))
         if longer.isEmpty():
             return found
-        held = self.texts.join(longer.select("h").distinct(), "h", "left_semi")
-        texts = held.groupBy("h", "norm").agg(F.sha2("norm", 256).alias("text_sha256"))
-        chained = longer.select("h", "entry.*").join(texts, ["h", "text_sha256"])
+        held = self.of(self.texts, longer.select("h").distinct())
+        texts = held.groupBy("h", "norm").agg(F.unhex(F.sha2("norm", 256)).alias("mark"))
+        chained = longer.select("h", "entry.*").join(texts, ["h", "mark"])
         asked = held.select("id", F.col("h").alias("k"), F.col("norm").alias("own"))
         return found.unionByName(asked.join(chained, (F.col("k") == F.col("h")) & (F.col("own") == F.col("norm"))).select(*found.columns))
 
@@ -109,4 +127,4 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", capacit
     Of equal texts the row with the most code points in the original text stays, then the smallest id.
     """
     found = Index(docs, id, text, capacity, bits).look_up()
-    return found.select(F.col("id").alias(id), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return found.select(F.col("id").alias(id), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("mark")).alias("text_sha256"))
