@@ -70,6 +70,16 @@ def test_exact_dedup_of_null_and_repeated_ids(spark):
     assert got == sorted([(None, None, 2, True), (None, None, 2, True), (None, None, 3, True), (3, None, 3, False), (3, None, 3, False), (3, 3, 1, True)], key=str)
 
 
+def test_exact_dedup_shuffles_texts_of_repeated_hashes_only(spark):
+    """300 texts alone, 5 in copies: the owners get the bytes of those five, and what they say is the result."""
+    rows = [(i, f"text {i} " * 50) for i in range(300)] + [(1000 + i, f"copy {i % 5} " * 50) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    index = exact_dedup.Index(df, "doc_id", "text", 4096, 64)
+    assert index.repeated.count() == 5 and index.owned.agg(F.sum("group_size")).first()[0] == 40
+    index.index = index.index.where("size(chain) > 1")  # without the owners' entries there is no result
+    assert index.look_up().count() == 0
+
+
 def test_directory_splits_overfull_buckets_only(spark):
     """5,000 hashes spread, and 300 more under one prefix of 20 bits, deeper than a round of doublings."""
     from tracewright.session import Scratch
@@ -405,10 +415,29 @@ def test_url_filter_uses_entries_in_force(spark):
     ).withColumn("t", F.timestamp_seconds("s"))
     entries = spark.createDataFrame([(1, "b.com", 5, "block"), (2, "b.com", 30, "allow"), (3, "a.b.com", 10, "allow"), (4, "c.org", 0, "block"), (5, None, 0, "block")], "entry_id long, host string, s long, action string")
     entries = entries.withColumn("at", F.timestamp_seconds("s"))
-    got = [(r.id, r.entry_id, r.allowed) for r in url_filter.filter_urls(captures, entries, "id", "url", "t", period=7).collect()]
+    got = [(r.id, r.entry_id, r.allowed) for r in url_filter.filter_urls(captures, entries, "id", "url", "t").collect()]
     assert sorted(got, key=str) == sorted([(1, 3, True), (2, 1, False), (3, 2, True), (4, None, True), (5, None, True), (6, None, True), (6, None, True)], key=str)
 
 
+def test_url_filter_of_entries_at_one_time_and_a_hot_host(spark):
+    """Against a loop: 400 captures of one host among others, entries of one host at one time, null and repeated captures."""
+    rng = random.Random(12)
+    hosts = ["a.b.c", "b.c", "c", "x.y", "y"]
+    caps = [(i, f"http://{'a.b.c' if i < 400 else rng.choice(hosts)}/{i}", rng.randrange(60)) for i in range(500)] + [(None, "http://x.y", 30), (None, "http://x.y", 30), (7, None, None)]
+    listed = [(k, rng.choice([*hosts, None]), rng.choice([None, *range(60)]), rng.choice(["block", "allow"])) for k in range(90)]
+    want = []
+    for i, u, t in caps:
+        host = u.split("/")[2] if u else ""
+        names = [host.split(".", k)[k] for k in range(host.count(".") + 1)] if host and t is not None else []
+        live = [max(((at, k, a) for k, h, at, a in listed if h == n and at is not None and at <= t), default=None) for n in names]
+        hit = next(((n, e) for n, e in zip(names, live) if e), None)
+        want.append((i, t, hit and hit[0], hit and hit[1][1], not hit or hit[1][2] != "block"))
+    c = spark.createDataFrame(caps, "id long, url string, s long").withColumn("t", F.timestamp_seconds("s")).repartition(4)
+    e = spark.createDataFrame(listed, "entry_id long, host string, s long, action string").withColumn("at", F.timestamp_seconds("s")).withColumn("listed", F.lit("clash"))
+    got = url_filter.filter_urls(c, e, "id", "url", "t").select("id", F.unix_seconds("fetched_at"), "listed_host", "entry_id", "allowed").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_url_filter_of_empty_tables_and_clashing_columns(spark):
     captures = spark.createDataFrame([(1, "http://a.com", 10, "x")], "id long, url string, s long, listed string").withColumn("t", F.timestamp_seconds("s"))
     entries = spark.createDataFrame([(1, "a.com", 5, "block", 3)], "entry_id long, host string, s long, action string, period int").withColumn("at", F.timestamp_seconds("s"))

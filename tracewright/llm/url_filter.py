@@ -1,18 +1,21 @@
 """URL lists in time: every capture against the list entries active when it was fetched; DataFrame functions only.
 
-An entry says from when a host is listed under an action; it is in force until the host's next entry. These
-validity intervals are cut at fixed periods, as many rows as periods an interval touches, so that the as-of join
-is an equi-join on (host, period) with a range check, which adaptive execution can split where one host holds most
-captures. A capture is looked up under its host and every parent domain of it; the entry of the longest name in
-force decides. Entries of one host at one time: the greatest ``entry id`` counts.
-
-Defined results: a capture with a null or hostless url, or without a fetch time, has no entry and is allowed;
-entries with a null host or time are ignored; hosts are compared in lower case without port or user.
+An entry says from when a host is listed under an action, and is valid until the host's next entry. A capture is looked up
+under its host and every parent domain of it, by an as-of join on (name, time): the entry in force is the name's last one at or before
+the fetch. Both sides are range-partitioned by name and time, so that an entry is one row however long it is valid, and a host
+with most captures or entries is many tasks. The entry of the longest name in force decides. Entries of one host at one
+time: the greatest ``entry_id`` counts.
+
+Defined results: a capture with a null or hostless url, or without a fetch time, has no entry and is allowed; repeated captures
+each have a row; entries with a null host or time are ignored, and so are further columns, whatever their names; hosts are
+compared in lower case without port or user; empty tables give no rows, or captures without entries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tracewright.operators.checks import asof_join
 
 
 def host_of(url: Column) -> Column:
@@ -20,32 +23,20 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(place, r"^.*@", ""), r":[0-9]*$", "")
 
 
-def periods(at: Column, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(at.cast("timestamp")) / seconds)
-
-
-def intervals(entries: DataFrame) -> DataFrame:
-    """(entry_id, host, action, since, until) from dated (entry_id, host, at, action); the last has no end."""
-    known = entries.where(F.col("host").isNotNull() & F.col("at").isNotNull())
-    last = known.groupBy(F.lower("host").alias("host"), "at").agg(F.max(F.struct("entry_id", "action")).alias("e"))
-    nxt = F.lead("at").over(Window.partitionBy("host").orderBy("at"))
-    return last.select(F.col("e.entry_id").alias("entry_id"), "host", F.col("e.action").alias("action"), F.col("at").alias("since"), nxt.alias("until"))
-
-
-def filter_urls(captures: DataFrame, entries: DataFrame, id: str, url: str, fetched: str, period: int = 86_400) -> DataFrame:
-    """(id, host, fetched_at, entry_id, listed_host, action, allowed) for every row of ``captures``."""
+def filter_urls(captures: DataFrame, entries: DataFrame, id: str, url: str, fetched: str) -> DataFrame:
+    """(id, host, fetched_at, entry_id, listed_host, action, allowed) for every row of ``captures``; entries are (entry_id, host, at, action)."""
     rows = captures.select(F.col(id).alias("id"), host_of(F.col(url)).alias("host"), F.col(fetched).alias("t"))
-    lo, hi = (F.lit(x or 0).cast("long") for x in rows.agg(F.min(periods(F.col("t"), period)), F.max(periods(F.col("t"), period))).first())
-    first, last = F.greatest(periods(F.col("since"), period), lo), F.least(F.coalesce(periods(F.col("until"), period), hi), hi)
-    held = intervals(entries).where(first <= last).select("entry_id", F.col("host").alias("listed"), "action", "since", "until", F.explode(F.sequence(first, last)).alias("period"))
     labels = F.split("host", r"\.")
-    names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
-    asked = rows.where("host <> '' and t is not null").withColumn("listed", F.explode(names)).withColumn("period", periods(F.col("t"), period))
-    on = (asked.listed == held.listed) & (asked.period == held.period) & (held.since <= asked.t) & (held.until.isNull() | (asked.t < held.until))
-    found = asked.join(held, on).select("id", "host", "t", held.entry_id, held.listed.alias("listed"), held.action)
-    best = found.groupBy(F.col("id").alias("k_id"), F.col("host").alias("k_host"), F.col("t").alias("k_t"))
-    best = best.agg(F.max(F.struct(F.length("listed").alias("size"), "listed", "entry_id", "action")).alias("best"))
-    out = rows.join(best, F.expr("id <=> k_id and host = k_host and t = k_t"), "left")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
+    names = F.when((F.col("host") != "") & F.col("t").isNotNull(), parents).otherwise(F.array(F.lit("")))
+    asked = rows.withColumn("listed", F.explode(names))
+    known = entries.where("host is not null and at is not null").select(F.lower("host").alias("listed"), F.col("at").alias("since"), "entry_id", "action")
+    found = asof_join(asked, known.where("listed <> ''"), ["listed"], "t", "since", ["entry_id", "action"])
+    best = F.max(F.when(F.col("since").isNotNull(), F.struct(F.length("listed").alias("size"), "listed", "entry_id", "action")))
+    # a capture has one row under its first name, which counts its copies
+    first = F.col("listed").isin("") | (F.col("listed") == F.col("host"))
+    told = found.groupBy("id", "host", "t").agg(best.alias("best"), F.count_if(first).alias("copies"))
+    told = told.select("id", "host", "t", "best", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     action = F.col("best.action")
-    told = [F.col("best.entry_id").alias("entry_id"), F.col("best.listed").alias("listed_host"), action.alias("action")]
-    return out.select(F.col("id").alias(id), "host", F.col("t").alias("fetched_at"), *told, F.coalesce(action != "block", F.lit(True)).alias("allowed"))
+    columns = [F.col("best.entry_id").alias("entry_id"), F.col("best.listed").alias("listed_host"), action.alias("action")]
+    return told.select(F.col("id").alias(id), "host", F.col("t").alias("fetched_at"), *columns, F.coalesce(action != "block", F.lit(True)).alias("allowed"))
