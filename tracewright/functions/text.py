@@ -70,12 +70,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)))
 
 
-def token_f1(a: Column, b: Column) -> Column:
-    """F1 of two arrays of distinct tokens by equality; 0 where either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (both == 0), 0.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
-
-
 def goal_score(text: Column, goal: Column) -> Column:
     """8 * coverage + 2 * density + 4 for each quoted phrase of the goal that the text holds."""
     own, wanted = ranking_tokens(text), ranking_tokens(goal)
@@ -88,7 +82,3 @@ def goal_score(text: Column, goal: Column) -> Column:
 def occurrences(text: Column, term: Column) -> Column:
     """How often a non-empty term occurs in a text, without overlaps."""
     return ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")
-
-
-def is_cjk(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike("[\\x{4e00}-\\x{9fff}]")

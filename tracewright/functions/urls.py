@@ -98,3 +98,17 @@ def archived(url: Column) -> Column:
     """The page that a web-archive address holds; other addresses as they are."""
     inner = F.regexp_extract(url, r"^https?://web\.archive\.org/web/[0-9]+[a-z_]*/(.+)$", 1)
     return F.when(inner == "", url).otherwise(inner)
+
+
+def named_domain(text: Column, domains: list[str]) -> Column:
+    """The longest of ``domains`` that a text names, itself or by a subdomain, in lower case with percent signs decoded; empty for none.
+
+    A name ends where no letter, digit, dot or hyphen goes on. Where a text's percent signs are no encoding it is taken as it is.
+    """
+    raw = F.coalesce(text, F.lit(""))
+    flat = F.lower(F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw))
+    out = F.lit("")
+    for name in sorted(domains, key=lambda d: (len(d), d)):
+        escaped = name.replace(".", r"\.")
+        out = F.when(flat.rlike(rf"(?<![a-z0-9.-])(?:[a-z0-9-]+\.)*{escaped}(?![a-z0-9.-])"), name).otherwise(out)
+    return out

@@ -61,11 +61,14 @@ def alias_resolution(spark, sf_dir):
     return checks.alias_index(rows, "s_suppkey", [F.concat(F.lit("S"), F.pmod("s_suppkey", F.lit(40)).cast("string")), F.upper("s_name")])[0]
 
 
-@query("SELECT sha256(text) AS digest, count(DISTINCT quality) AS n_labels FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) > 1")
+@query("""
+WITH r AS (SELECT doc_id, coalesce(lang, '') || ':' || coalesce(source, '') || ':' || (n_chars // 50) AS key, quality FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, key, n_labels FROM r JOIN (SELECT key, count(DISTINCT quality) AS n_labels FROM r GROUP BY 1 HAVING count(DISTINCT quality) > 1) USING (key)""")
 def label_conflict_quarantine(spark, sf_dir):
-    """Keys under which labels disagree."""
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).join(load(spark, sf_dir, "labels"), "doc_id")
-    return checks.conflicting(rows, "digest", "quality")
+    """All documents, labelled or not, under a key (language, source and length by fifties) under which labels disagree."""
+    key = F.concat_ws(":", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), F.floor(F.col("n_chars") / 50).cast("string"))
+    rows = load(spark, sf_dir, "documents").select("doc_id", key.alias("key")).join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rows.select("doc_id", "key").join(checks.conflicting(rows, "key", "quality"), "key")
 
 
 @query("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tracewright.functions import text
+from tracewright.functions import html, text, urls
 from tracewright.functions.hashing import seeded_hex, short_id
 from tracewright.operators.select import global_rank
 from tracewright.plans.registry import load, query
@@ -55,10 +55,15 @@ def capability_matrix(spark, sf_dir):
 
 @query()
 def blocked_domain_in_text(spark, sf_dir):
-    """P20: a domain named in free text, at its boundaries (the longest first)."""
-    names = sorted(["example.org", "example.com", "en.example.org"], key=len, reverse=True)
-    pattern = r"(?i)(?<![\w.-])(?:[\w-]+\.)*(" + "|".join(n.replace(".", r"\.") for n in names) + r")(?![\w-])"
-    return load(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("url", pattern, 1), F.lit("")).alias("blocked_by"))
+    """P20: the longest of some domains that a page's whole source names at its boundaries, percent signs decoded; tested against a loop."""
+    return load(spark, sf_dir, "pages").select("page_id", urls.named_domain(F.col("html"), ["example.org", "example.com", "en.example.org"]).alias("blocked_by"))
+
+
+@query("SELECT page_id, CASE " + " ".join(f"WHEN contains(t, '{x}') THEN '{x}'" for x in html.BLOCKED) + r""" ELSE '' END AS blocked_by
+FROM (SELECT page_id, lower(regexp_replace(regexp_replace(coalesce(html, ''), '\s+', ' ', 'g'), '^ | $', '', 'g')) AS t FROM pages)""")
+def blocked_pages(spark, sf_dir):
+    """The first sign of an access wall in a page's whole source."""
+    return load(spark, sf_dir, "pages").select("page_id", html.blocked_by(F.col("html")).alias("blocked_by"))
 
 
 @query(r"""
