@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import schema
+from tracewright.operators import replay
+from tracewright.operators.select import global_rank
 from tracewright.plans.registry import load, query
 
 QUERIES = {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string", "minLength": 6}}
@@ -86,3 +88,44 @@ def repaired_calls(spark, sf_dir):
     """What the cheapest repair under its tool's schemas makes of every call."""
     out = calls(spark, sf_dir).withColumn("r", schema.project_call(F.col("tool"), F.col("arguments"), TOOLS))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "tool", "r.status", "r.removed", "r.changes", "r.code", "r.fields")
+
+
+LIMITS = {"view": 6, "click": 3}
+LIVE = """c AS (
+  SELECT user_id AS "case", 2 * (row_number() OVER (PARTITION BY user_id ORDER BY event_id)) AS place, event_type AS tool, event_type || ':' || coalesce(props, '') AS route,
+         CASE WHEN value < 1 THEN 'missing_required' ELSE '' END AS code, value > 60 AS masked FROM events),
+f AS (SELECT "case", route, tool, min(place) AS place FROM c WHERE code = '' AND NOT masked GROUP BY ALL),
+t AS (SELECT *, CASE tool WHEN 'view' THEN 6 WHEN 'click' THEN 3 ELSE 1000000 END AS most, (SELECT count(*) FROM f g WHERE g."case" = f."case" AND g.tool = f.tool AND g.place <= f.place) AS k FROM f),
+e AS (SELECT "case", min(place) AS ends FROM t WHERE k <= most AND tool = 'error' GROUP BY 1),
+i AS (
+  SELECT c."case", c.place, CASE WHEN c.code <> '' THEN c.code WHEN masked THEN 'preexisting_mask' WHEN c.place > ends THEN 'after_finish_investigation' WHEN t.k <= t.most AND c.place = t.place THEN ''
+    WHEN t.k <= t.most AND c.place > t.place THEN 'semantic_duplicate' ELSE 'tool_budget_exceeded' END AS issue
+  FROM c LEFT JOIN e USING ("case") LEFT JOIN t ON t."case" = c."case" AND t.route = c.route)"""
+
+
+def event_calls(spark, sf_dir):
+    """A user's events as a trace: each is an assistant turn and a call; small values cannot be made, large ones are masked, an error finishes."""
+    rows = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "props")
+    placed = global_rank(rows.withColumn("at", F.struct("user_id", "event_id")), "at")
+    starts = placed.groupBy("user_id").agg(F.min("rank").alias("start"))
+    route = F.concat(F.col("event_type"), F.lit(":"), F.coalesce("props", F.lit("")))
+    place = (F.col("rank") - F.col("start") + 1) * 2
+    return placed.join(starts, "user_id").select(F.col("user_id").alias("case"), place.alias("place"), F.col("event_type").alias("tool"), route.alias("route"), F.when(F.col("value") < 1, "missing_required").otherwise("").alias("code"), (F.col("value") > 60).alias("masked"))
+
+
+@query(f"""WITH {LIVE} SELECT * FROM i""")
+def replayed_calls(spark, sf_dir):
+    """Of every call whether a run with its rules on finish, duplicates and budgets would have taken it."""
+    return replay.replayed(event_calls(spark, sf_dir), LIMITS, "error")
+
+
+@query(f"""WITH {LIVE},
+m AS (SELECT "case", place, 'tool_call' AS role, NOT masked AS had FROM c UNION ALL SELECT "case", place - 1, CASE WHEN place % 4 = 0 THEN 'user' ELSE 'assistant' END, true FROM c)
+SELECT m."case", m.place, had AND NOT (role = 'tool_call' AND EXISTS (SELECT 1 FROM i WHERE i."case" = m."case" AND i.place = m.place AND issue <> ''))
+  AND NOT (role = 'assistant' AND EXISTS (SELECT 1 FROM i WHERE i."case" = m."case" AND i.place = m.place + 1 AND issue NOT IN ('', 'preexisting_mask'))) AS loss FROM m""")
+def replayed_loss_mask(spark, sf_dir):
+    """Which messages may be learned from, once rejected calls and the assistant turns before them are masked."""
+    calls = event_calls(spark, sf_dir)
+    before = F.when(F.pmod("place", F.lit(4)) == 0, "user").otherwise("assistant")
+    messages = calls.select("case", "place", F.lit("tool_call").alias("role"), (~F.col("masked")).alias("had")).unionByName(calls.select("case", (F.col("place") - 1).alias("place"), before.alias("role"), F.lit(True).alias("had")))
+    return replay.learned(messages, replay.replayed(calls, LIMITS, "error"), loss=F.col("had"))
