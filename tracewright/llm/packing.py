@@ -2,8 +2,9 @@
 
 Every text is tokenised whole, word by word (a word's tokens do not depend on its neighbours in these
 tokenizers, so each distinct word is encoded once for a worker), ended by the id ``end``, and cut into pieces of
-``capacity`` tokens; only its last piece may be shorter. The task that read the texts packs its own pieces
-best-fit, longest first. The underfull bins are items of the next round: groups of ``fan_in`` neighbouring groups
+``capacity`` tokens; only its last piece may be shorter. The pieces' lengths are dealt to groups of about ``group`` pieces,
+however many tasks read the texts, as a few pieces by themselves fill bins badly, and later rounds move whole bins. A task packs its
+group best-fit, longest first. The underfull bins are items of the next round: groups of ``fan_in`` neighbouring groups
 are packed best-fit again, until one group is left. Only (bin, fill) pairs travel between rounds; a round's moves
 are joined to the pieces at the end.
 
@@ -35,6 +36,7 @@ from tracewright.session import Scratch
 
 MOST_WORDS = 400_000  # distinct words a worker remembers
 CALL = 100  # words that a call encodes together
+GROUP = 100_000  # pieces packed together in the first round, numbers only
 
 
 class _Codes(dict):
@@ -220,33 +222,33 @@ def pieces_of(path: str, end: int, capacity: int, batch: pa.RecordBatch):
             yield row, piece, start, size, zlib.crc32(tail, crc) if last else crc
 
 
-def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 0, fan_in: int = 8) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 0, fan_in: int = 8, group: int = GROUP) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
     ``tokenizer`` is the path of a tokenizers file that every worker can open.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "packing")
 
-    def first_round(batches):
-        held = []
+    def tokenised(batches):
         for batch in slices(batches, "text"):
-            rows = list(pieces_of(tokenizer, end, capacity, batch))
-            if rows:
-                row, *columns = (np.array(c, np.int64) for c in zip(*rows))
-                held.append((batch.column(0).take(pa.array(row)), columns))
+            row, piece, *columns = (np.array(c, np.int64) for c in zip(*pieces_of(tokenizer, end, capacity, batch)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), *map(pa.array, columns)], ["id", "piece", "start", "length", "crc"])
+
+    def first_round(batches):
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
-        ids = pa.concat_arrays([h[0] for h in held])
-        piece, start, length, crc = (np.concatenate([h[1][k] for h in held]) for k in range(4))
-        bins, offsets, fills = best_fit(length, capacity)
-        group = TaskContext.get().partitionId()
-        columns = [ids, *(pa.array(c) for c in (piece.astype(np.int32), start, length, crc, (group << 32) + bins, offsets, fills[bins], turns(fills)[bins]))]
-        table = pa.Table.from_arrays(columns, ["id", "piece", "start", "length", "crc", "bin", "at", "fill", "turn"])
+        table = pa.Table.from_batches(held)
+        bins, offsets, fills = best_fit(table.column("length").to_numpy(), capacity)
+        more = {"bin": (TaskContext.get().partitionId() << 32) + bins, "at": offsets, "fill": fills[bins], "turn": turns(fills)[bins]}
+        for name, column in more.items():
+            table = table.append_column(name, pa.array(column))
         yield from table.to_batches(max_chunksize=20_000)
 
-    kind = docs.schema[id].dataType.simpleString()
-    shape = f"id {kind}, piece int, start long, length long, crc long, bin long, at long, fill long, turn long"
-    placed = scratch.save(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(first_round, shape), "pieces")
+    shape = f"id {docs.schema[id].dataType.simpleString()}, piece int, start long, length long, crc long"
+    tokens = scratch.save(docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(tokenised, shape), "tokens")
+    dealt = tokens.repartition(max(1, -(-tokens.count() // group)))
+    placed = scratch.save(dealt.mapInArrow(first_round, shape + ", bin long, at long, fill long, turn long"), "pieces")
 
     def next_round(key, frame):
         bins, offsets, fills = best_fit(frame["fill"].to_numpy(), capacity)
@@ -259,8 +261,8 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     sent = lambda rows, left: rows.where(f"fill < {capacity} and turn < {fan_in * left}").select("bin", "fill").distinct()
     open_bins, moves = scratch.save(sent(placed, len(spans)), "open"), None
     for left, span in zip(range(len(spans) - 1, -1, -1), spans):
-        group = F.floor(F.shiftright("bin", 32) / span)
-        done = scratch.save(open_bins.groupBy(group.alias("group")).applyInPandas(next_round, "bin long, into long, shift long, fill long, turn long"), "round")
+        merged = F.floor(F.shiftright("bin", 32) / span)
+        done = scratch.save(open_bins.groupBy(merged.alias("group")).applyInPandas(next_round, "bin long, into long, shift long, fill long, turn long"), "round")
         if moves is None:
             moves = done.select("bin", "into", "shift")
         else:
