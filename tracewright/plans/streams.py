@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.plans.registry import load, query
-from tracewright.streaming import events
+from tracewright.session import Scratch
+from tracewright.sources import tail
+from tracewright.streaming import events, recovery
 
 
 @query("SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -57,3 +59,29 @@ def staleness_alert(spark, sf_dir):
     newest = rows.agg(F.max("us").alias("newest"))
     out = rows.groupBy("user_id").agg(F.max("us").alias("last_us")).crossJoin(F.broadcast(newest))  # one row
     return out.select("user_id", "last_us", (F.col("newest") - F.col("last_us") > 86_400_000_000).alias("stale"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def tailed_events(spark, sf_dir):
+    """Events written as lines to a shared folder and tailed from there by byte offsets, twice: the second run finds nothing to repeat."""
+    scratch = Scratch(spark, "tailed")
+    lines, out, mark = scratch.path("lines"), scratch.path("rows"), scratch.path("checkpoint")
+    load(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "user_id", "event_type", "value")).alias("value")).write.text(lines)
+    rows = tail.tail(spark, f"{lines}/part-*")
+    parsed = rows.select(F.from_json("value", "event_id long, user_id long, event_type string, value double").alias("e")).select("e.*")
+    for _ in range(2):
+        parsed.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(parsed.schema).parquet(out)
+
+
+@query("""SELECT user_id::VARCHAR || ':' || event_type AS key, max(floor(value)::BIGINT) AS attempt, max_by(event_id, (floor(value)::BIGINT, event_id)) AS at, max_by(coalesce(props, ''), (floor(value)::BIGINT, event_id)) AS value
+FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def recovery_items(spark, sf_dir):
+    """The newest attempt (by the value's floor, then the event) of each user and event type, kept as state and told as an index table."""
+    scratch = Scratch(spark, "recovery")
+    table, mark = scratch.path("index"), scratch.path("checkpoint")
+    rows = events.read_events(spark, f"{sf_dir}/events.parquet")
+    key = F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type"))
+    items = rows.select(key.alias("key"), F.floor("value").alias("attempt"), F.col("event_id").alias("at"), F.coalesce("props", F.lit("")).alias("value"))
+    recovery.materialised(recovery.recovery_index(items), table, mark)
+    return recovery.index(spark, table)
