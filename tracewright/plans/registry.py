@@ -30,7 +30,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _modules() -> None:
-    from tracewright.plans import aggregates, audits, catalog, evidence, joins, more, packages, reference, schemas, scores, selections, streams, texts  # noqa: F401
+    from tracewright.plans import aggregates, audits, catalog, evidence, failures, joins, more, packages, reference, schemas, scores, selections, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
