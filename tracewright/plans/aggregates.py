@@ -208,7 +208,7 @@ SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5)
        count(value) AS n, round(stddev_pop(value) / avg(value), 6) AS variation, count(*) FILTER (WHERE value > 1.5 * m) AS stalls
 FROM (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY event_type""")
 def step_time_profile(spark, sf_dir):
-    """Mean, median, p90, variation and stalls over 1.5 medians."""
+    """A24, and of A25 the distribution: mean, median, p90, variation and stalls over 1.5 medians."""
     from tracewright.operators import series
 
     return series.step_profile(load(spark, sf_dir, "events"), ["event_type"], "value")
@@ -219,7 +219,7 @@ WITH {LABELLED}
 SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS usable, count(*) FILTER (WHERE pred IS NULL) AS no_prediction, count(*) FILTER (WHERE pred <> quality) AS wrong,
        count(DISTINCT source) AS sources, min(n_chars) AS shortest, max(n_chars) AS longest FROM s""")
 def conditional_counts(spark, sf_dir):
-    """Many conditional counts in one pass."""
+    """A3, and in part A17 and A18: many conditional counts in one pass."""
     return labelled(spark, sf_dir).agg(
         F.count("*").alias("n"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("usable"), F.count_if(F.col("pred").isNull()).alias("no_prediction"),
         F.count_if(F.col("pred") != F.col("quality")).alias("wrong"), F.countDistinct("source").alias("sources"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"),

@@ -63,7 +63,7 @@ def cache_metrics(spark, sf_dir):
 WITH c AS (SELECT user_id, event_id, sum(value) OVER w AS total, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
 SELECT user_id, round(max(total) FILTER (WHERE i = n) - max(total) FILTER (WHERE i = n - 3), 4) AS gained, round(max(total) FILTER (WHERE i = n), 4) AS total FROM c GROUP BY 1""")
 def counter_delta(spark, sf_dir):
-    """What a cumulative counter gained over the last three rows."""
+    """A32, and of A27 the difference: what a cumulative counter gained over the last three rows."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     rows = load(spark, sf_dir, "events").withColumn("total", F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("gained", F.col("total") - F.lag("total", 3).over(w))
@@ -74,7 +74,7 @@ def counter_delta(spark, sf_dir):
 WITH r AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS k FROM part)
 SELECT CASE WHEN (k // 8) % 2 = 0 THEN k % 8 ELSE 7 - k % 8 END AS shard, count(*) AS n, sum(p_size)::BIGINT AS load FROM r GROUP BY 1""")
 def least_loaded_shards(spark, sf_dir):
-    """Work dealt to shards there and back in order of size, which keeps their loads close."""
+    """P7 by another rule: work dealt to shards there and back in order of size, which keeps their loads close."""
     ranked = select.global_rank(load(spark, sf_dir, "part").select("p_partkey", "p_size").withColumn("k", F.struct(-F.col("p_size"), F.col("p_partkey"))), "k")
     turn = F.pmod("rank", F.lit(8))
     shard = F.when(F.pmod(F.floor(F.col("rank") / 8), F.lit(2)) == 0, turn).otherwise(7 - turn)
@@ -85,7 +85,7 @@ def least_loaded_shards(spark, sf_dir):
 WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS host FROM pages)
 SELECT page_id, host, regexp_matches(host, '(^|\.)example\.(net|com)$') AS blocked FROM h""")
 def deny_list(spark, sf_dir):
-    """Hosts under a denied domain."""
+    """P18 without titles and snippets: hosts under a denied domain."""
     host = urls.host(F.col("url"))
     return load(spark, sf_dir, "pages").select("page_id", host.alias("host"), urls.under(host, ["example.net", "example.com"]).alias("blocked"))
 
@@ -103,7 +103,7 @@ def preferred_urls(spark, sf_dir):
 WITH c AS (SELECT l_orderkey, l_linenumber, ['qty:' || CASE WHEN l_quantity > 45 THEN 'fatal' ELSE 'warn' END, 'tax:' || CASE WHEN l_tax > 0.06 THEN 'fatal' ELSE 'note' END] AS codes FROM lineitem)
 SELECT l_orderkey, l_linenumber, list_filter(codes, lambda x: contains(x, 'fatal')) AS fatal, list_filter(codes, lambda x: NOT contains(x, 'fatal')) AS warnings FROM c""")
 def fatal_and_warning_codes(spark, sf_dir):
-    """Codes parted by markers."""
+    """P16, and of D14 the codes: codes parted by markers."""
     codes = F.array(F.concat(F.lit("qty:"), F.when(F.col("l_quantity") > 45, "fatal").otherwise("warn")), F.concat(F.lit("tax:"), F.when(F.col("l_tax") > 0.06, "fatal").otherwise("note")))
     rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", codes.alias("codes"))
     is_fatal = lambda x: F.contains(x, F.lit("fatal"))
@@ -112,7 +112,7 @@ def fatal_and_warning_codes(spark, sf_dir):
 
 @query("SELECT event_id, key, CAST(value AS VARCHAR) AS value FROM (SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events)")
 def nested_values(spark, sf_dir):
-    """The leaves of nested values."""
+    """The leaves of nested values."""
     rows = load(spark, sf_dir, "events").select("event_id", F.explode(nested.walk(F.col("props"))).alias("leaf"))
     return rows.select("event_id", "leaf.key", "leaf.value")
 
@@ -151,7 +151,7 @@ def semantic_near_duplicates(spark, sf_dir):
 
 @query()
 def passages_within_budget(spark, sf_dir):
-    """The turns of a conversation, best score first, that fit a budget of characters."""
+    """The turns of a conversation, best score first, that fit a budget of characters."""
     score = text.goal_score(F.col("text"), F.lit("the and of"))
     rows = load(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("place"), F.char_length("text").cast("long").alias("size"), score.alias("score"))
     items = F.collect_list(F.struct("score", "place", "size"))

@@ -207,7 +207,7 @@ def cases_with_candidates(spark, sf_dir):
 WITH d AS (SELECT o_custkey, bool_or(o_orderpriority LIKE '1%') AS early, bool_or(o_orderstatus = 'F') AS fin, bool_and(o_orderstatus = 'O') AS rejected, count(*) AS k FROM orders GROUP BY 1)
 SELECT CASE WHEN early AND fin THEN 'winner' WHEN fin THEN 'final_only' WHEN rejected AND k >= 10 THEN 'hard' ELSE 'incomplete' END AS outcome, count(*) AS cases, sum(k)::BIGINT AS attempts FROM d GROUP BY 1""")
 def case_outcomes(spark, sf_dir):
-    """Each case by whether an early or only a final attempt succeeded, all were rejected, or attempts are still missing."""
+    """D29, counts only: each case by whether an early or only a final attempt succeeded, all were rejected, or attempts are still missing."""
     flags = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(
         F.bool_or(F.col("o_orderpriority").startswith("1")).alias("early"), F.bool_or(F.col("o_orderstatus") == "F").alias("final"), F.bool_and(F.col("o_orderstatus") == "O").alias("rejected"), F.count("*").alias("k")
     )
@@ -219,7 +219,7 @@ def case_outcomes(spark, sf_dir):
 WITH s AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS selected, count(*) FILTER (WHERE quality = 0) AS hard, count(*) FILTER (WHERE quality IS NULL) AS open FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
 SELECT source, selected + hard + open = n AS accounted, selected > 0 AS has_selected, CASE WHEN hard > selected THEN 'more_hard_than_selected' WHEN open > selected + hard THEN 'mostly_open' ELSE 'ok' END AS finding FROM s""")
 def delivery_accounting(spark, sf_dir):
-    """That a delivery's parts add up to its whole, and the first finding of each source."""
+    """D27 in part: that a delivery's parts add up to its whole, and the first finding of each source."""
     rows = load(spark, sf_dir, "documents").select("doc_id", "source").join(load(spark, sf_dir, "labels"), "doc_id", "left")
     parts = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("s"), F.count_if(F.col("quality") == 0).alias("h"), F.count_if(F.col("quality").isNull()).alias("o"))
     finding = F.when(F.col("h") > F.col("s"), "more_hard_than_selected").when(F.col("o") > F.col("s") + F.col("h"), "mostly_open").otherwise("ok")

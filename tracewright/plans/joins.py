@@ -12,7 +12,7 @@ from tracewright.plans.registry import load, query
 
 @query("SELECT c_nationkey, n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2")
 def ref_checked_join(spark, sf_dir):
-    """Chained joins to tables whose keys are unique and cover every row."""
+    """J1, J2, and of J3 and J19 the checks: chained joins to tables whose keys are unique and cover every row."""
     customer = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nation = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     rows = checks.checked_join(load(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"), customer, ["o_custkey"])
@@ -32,7 +32,7 @@ j AS (SELECT CASE WHEN o_orderkey IS NULL THEN 'not_wanted' WHEN c.k IS NULL THE
 r AS (SELECT reason, unnest(CASE reason WHEN 'not_wanted' THEN ['orphan'] WHEN 'not_cached' THEN ['missing'] WHEN '' THEN ['resolved'] ELSE ['rejected', 'orphan'] END) AS route FROM j)
 SELECT route, reason, count(*) AS n FROM r GROUP BY 1, 2""")
 def orphan_reject_resolve(spark, sf_dir):
-    """Every order's status against that of its lines, routed to resolved, rejected, missing and orphan."""
+    """J6, counted by route: every order's status against that of its lines, routed to resolved, rejected, missing and orphan."""
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
     low, high = F.min("l_linestatus"), F.max("l_linestatus")
     lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.when(low == high, low).otherwise("P").alias("s"))
@@ -45,7 +45,7 @@ a AS (SELECT o_custkey, o_orderkey % 5 AS s, count(*) AS n FROM orders GROUP BY
 SELECT CASE WHEN e.s IS NULL THEN 'unexpected' WHEN a.s IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' ELSE 'filled' END AS state, count(*) AS n
 FROM e FULL JOIN a ON e.o_custkey = a.o_custkey AND e.s = a.s GROUP BY 1""")
 def slot_coverage(spark, sf_dir):
-    """An expected grid against what is there."""
+    """J16, J17, and J5 by a grid: an expected grid against what is there."""
     orders = load(spark, sf_dir, "orders").select("o_custkey", F.pmod("o_orderkey", F.lit(5)).alias("s"))
     grid = orders.select("o_custkey").distinct().withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     return checks.slot_coverage(grid, orders, ["o_custkey", "s"]).groupBy("state").agg(F.count("*").alias("n"))
@@ -100,7 +100,7 @@ e AS (SELECT a.doc_id AS a, b.m AS b FROM d a JOIN (SELECT digest, min(doc_id) A
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, c) AS (SELECT a, a FROM s UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.a)
 SELECT a AS id, min(c) AS component FROM r GROUP BY a""")
 def components_split(spark, sf_dir):
-    """Documents that share a text or a shape are one group, transitively."""
+    """G1, with the least id as the group's (not the digests of G2 and G6): documents that share a text or a shape are one group, transitively."""
     shape = F.concat_ws(":", "source", F.floor(F.col("n_chars") / 50).cast("string"))
     rows = load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), shape.alias("shape"))
     return splits.grouped_by_keys(rows, "doc_id", ["digest", "shape"])
@@ -129,7 +129,7 @@ def transitive_exclusion(spark, sf_dir):
 WITH r AS (SELECT l_orderkey, l_linenumber, list_filter(['large', 'cheap', 'late', 'returned'], lambda x: CASE x WHEN 'large' THEN l_quantity > 45 WHEN 'cheap' THEN l_extendedprice < 5000 WHEN 'late' THEN l_linestatus = 'O' ELSE l_returnflag = 'R' END) AS reasons FROM lineitem)
 SELECT l_orderkey, l_linenumber, reasons, coalesce(reasons[1], 'ok') AS first_reason FROM r""")
 def reason_codes(spark, sf_dir):
-    """All broken rules of a row in order, and the first."""
+    """P13, P14, P15, and four of the rules of D23: all broken rules of a row in order, and the first."""
     q, price = F.col("l_quantity") <= 45, F.col("l_extendedprice") >= 5000
     rules = {"large": q, "cheap": price, "late": F.col("l_linestatus") != "O", "returned": F.col("l_returnflag") != "R"}
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", checks.all_failures(rules).alias("reasons"), checks.first_failure(rules).alias("first_reason"))

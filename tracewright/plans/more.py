@@ -80,7 +80,7 @@ def low_value_queries(spark, sf_dir):
 WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations), n AS (SELECT conv_id, count(*) AS k FROM conversations GROUP BY 1)
 SELECT conv_id, word FROM w JOIN n USING (conv_id) GROUP BY conv_id, word, k HAVING count(*) = k""")
 def common_to_all(spark, sf_dir):
-    """What every member of a group has, by counting rather than by gathering sets."""
+    """U9, the intersection: what every member of a group has, by counting rather than by gathering sets."""
     rows = load(spark, sf_dir, "conversations")
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))).alias("word")
     held = rows.select("conv_id", words).groupBy("conv_id", "word").agg(F.count("*").alias("c"))
@@ -89,7 +89,7 @@ def common_to_all(spark, sf_dir):
 
 @query("SELECT lang, count(*) AS n, count(DISTINCT sha256(text)) AS stored, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
 def content_addressed(spark, sf_dir):
-    """Rows, and the contents that a store by digest would hold."""
+    """U7, counts: rows, and the contents that a store by digest would hold."""
     rows = load(spark, sf_dir, "documents").select("lang", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "n_chars")
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("digest").alias("stored"), F.sum("n_chars").alias("chars"))
 
@@ -106,7 +106,7 @@ def positional_zip(spark, sf_dir):
 SELECT o_orderkey, bool_and(coalesce(p_size > 0 AND s_acctbal > -1000 AND n_regionkey IS NOT NULL, false)) AS valid, count(*) AS hops FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""")
 def multi_hop_validation(spark, sf_dir):
-    """A case holds when every hop of every reference does."""
+    """J14, three of its conditions: a case holds when every hop of every reference does."""
     rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
     rows = rows.join(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     rows = rows.join(load(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", "left").join(load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey", "left")
@@ -117,7 +117,7 @@ def multi_hop_validation(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, substr(sha256('repair:' || l_orderkey || ':' || l_linenumber || ':' || sha256(l_partkey::VARCHAR)), 1, 24) AS target_id FROM lineitem WHERE l_returnflag = 'R'")
 def target_ids(spark, sf_dir):
-    """Content ids of targets, from kind, case, step and digest."""
+    """D6, and the ids of D21: content ids of targets, from kind, case, step and digest."""
     rows = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     part = F.sha2(F.col("l_partkey").cast("string").cast("binary"), 256)
     return rows.select("l_orderkey", "l_linenumber", short_id(F.concat_ws(":", F.lit("repair"), "l_orderkey", "l_linenumber", part), 24).alias("target_id"))
@@ -128,7 +128,7 @@ WITH g AS (SELECT c_nationkey, c_mktsegment, count(*) AS k, sha256('groups:' ||
 r AS (SELECT *, sum(k) OVER (PARTITION BY c_nationkey ORDER BY h, c_mktsegment) AS upto, sum(k) OVER (PARTITION BY c_nationkey) AS total FROM g)
 SELECT c_nationkey, c_mktsegment, k::BIGINT AS n FROM r WHERE upto <= 0.5 * total""")
 def whole_group_sample(spark, sf_dir):
-    """Whole groups in hash order while they fit a share of their stratum."""
+    """In place of G7 and G14, by a running sum: whole groups in hash order while they fit a share of their stratum."""
     groups = load(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
     w = Window.partitionBy("c_nationkey").orderBy(seeded_hex("groups", "c_mktsegment"), "c_mktsegment")
     upto, total = F.sum("n").over(w), F.sum("n").over(Window.partitionBy("c_nationkey"))

@@ -164,7 +164,7 @@ def set_overlap_report(spark, sf_dir):
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'primary' ELSE 'supplement' END AS source_tag FROM orders WHERE o_orderstatus IN ('F', 'P')""")
 def disjoint_union(spark, sf_dir):
-    """A union of two sources that may not overlap, with a source tag."""
+    """U10, and U1 and U2 without their counts: a union of two sources that may not overlap, with a source tag."""
     from tracewright.operators.checks import require_unique
 
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
@@ -177,7 +177,7 @@ def disjoint_union(spark, sf_dir):
 WITH t AS (SELECT c_custkey FROM customer), done AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'), failed AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P')
 SELECT CASE WHEN c_custkey IN (FROM done) THEN 'completed' WHEN c_custkey IN (FROM failed) THEN 'deferred' ELSE 'unattempted' END AS state, count(*) AS n FROM t GROUP BY 1""")
 def unattempted_work(spark, sf_dir):
-    """What is done, deferred, and left to do."""
+    """What is done, deferred, and left to do."""
     seen = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.col("o_orderstatus") == "F").alias("done"), F.max(F.col("o_orderstatus") == "P").alias("failed"))
     state = F.when(F.col("done"), "completed").when(F.col("failed"), "deferred").otherwise("unattempted")
     return load(spark, sf_dir, "customer").join(seen, "c_custkey", "left").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
@@ -227,7 +227,7 @@ def spike_vs_prior_median(spark, sf_dir):
 WITH p AS (SELECT event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_best FROM events)
 SELECT event_id, prior_best, coalesce(prior_best > 0 AND value >= prior_best * 1.1 AND value - prior_best >= 0.02, false) AS regressed FROM p""")
 def best_prior_regression(spark, sf_dir):
-    """Regression against the best before."""
+    """Regression against the best before."""
     return series.regressions(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 0.1, 0.02).select("event_id", "prior_best", "regressed")
 
 
@@ -242,7 +242,7 @@ def longest_streak(spark, sf_dir):
 
 @query("SELECT user_id, arg_min(event_id, (ts, event_id)) FILTER (WHERE event_type = 'error') AS first_event_id FROM events GROUP BY user_id")
 def first_error(spark, sf_dir):
-    """The first qualifying event in order."""
+    """The first qualifying event in order."""
     return series.first_event(load(spark, sf_dir, "events"), ["user_id"], F.struct("ts", "event_id"), F.col("event_type") == "error", "event_id")
 
 

@@ -12,7 +12,7 @@ from tracewright.streaming import events, recovery
 
 @query("SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def streaming_tumbling(spark, sf_dir):
-    """Daily windows in complete mode, so that the last windows are there too."""
+    """Daily windows in complete mode, so that the last windows are there too."""
     out = events.drain(events.tumbling(events.read_events(spark, f"{sf_dir}/events.parquet"), "1 day", "1 hour", "event_type"), "tumbling", "complete")
     return out.select(F.unix_seconds("start").alias("start_s"), "event_type", "n", F.round("total", 4).alias("total"))
 
@@ -26,7 +26,7 @@ def streaming_dedupe(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events WHERE event_id > 100 GROUP BY 1")
 def streaming_resume(spark, sf_dir):
-    """Only what follows the sequence number handled last."""
+    """Only what follows the sequence number handled last."""
     out = events.drain(events.after(events.read_events(spark, f"{sf_dir}/events.parquet"), "event_id", 100), "resume")
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 

@@ -61,7 +61,7 @@ SELECT doc_id, list_filter(['ignore_previous_instructions', 'override_system', '
   WHEN 'verdict_directive' THEN regexp_matches(t, '\b(mark|label|classify|declare) (the )?(claim|image|verdict) (as )?(supported|refuted|real|fake)\b')
   ELSE regexp_matches(t, '\b(reveal|print|repeat|show) (the )?(system|developer) (prompt|message|instructions?)\b') END) AS found FROM f""")
 def injection_patterns(spark, sf_dir):
-    """All named patterns found in a text."""
+    """P22, and the injections of P29: all named patterns found in a text."""
     return load(spark, sf_dir, "documents").select("doc_id", html.injections(F.col("text")).alias("found"))
 
 
@@ -109,7 +109,7 @@ def decontaminate_documents(spark, sf_dir):
 WITH c AS (SELECT conv_id, string_agg(substr(role, 1, 1), '' ORDER BY turn) AS shape, count(*) AS turns FROM conversations GROUP BY 1)
 SELECT conv_id, shape, turns, regexp_matches(shape, '^s?(ua)*u?$') AS valid FROM c""")
 def role_grammar(spark, sf_dir):
-    """The order of roles against a grammar."""
+    """The grammar of D11: the order of roles against a grammar."""
     rows = chat.conversations(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     return rows.select("conv_id", chat.roles(F.col("messages")).alias("shape"), F.size("messages").cast("long").alias("turns"), chat.follows_grammar(F.col("messages")).alias("valid"))
 
@@ -119,7 +119,7 @@ WITH c AS (SELECT conv_id, string_agg('<' || role || '>' || text, chr(10) ORDER
                   sum(ceil(strlen(text) / 3))::BIGINT AS tokens FROM conversations GROUP BY 1)
 SELECT conv_id, sha256(example) AS example_sha256, system, tokens, CASE WHEN tokens <= 32768 THEN 'le_32k' WHEN tokens <= 131072 THEN 'le_128k' ELSE 'over_128k' END AS bucket FROM c""")
 def conversation_examples(spark, sf_dir):
-    """One example for each conversation, system turns merged, with its length bucket."""
+    """P10, and D7 without tools: one example for each conversation, system turns merged, with its length bucket."""
     rows = chat.conversations(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     m = F.col("messages")
     example = F.array_join(F.transform(m, lambda x: F.concat(F.lit("<"), x["role"], F.lit(">"), x["content"])), "\n")
@@ -132,7 +132,7 @@ def conversation_examples(spark, sf_dir):
 WITH t AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
 SELECT conv_id, list(CASE WHEN role = 'assistant' AND before = 'user' THEN 1 ELSE 0 END ORDER BY turn) AS mask FROM t GROUP BY conv_id""")
 def turn_loss_mask(spark, sf_dir):
-    """Which turns carry loss."""
+    """The role mask of D9: which turns carry loss."""
     rows = chat.conversations(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     return rows.select("conv_id", chat.loss_mask(F.col("messages")).alias("mask"))
 
@@ -141,7 +141,7 @@ def turn_loss_mask(spark, sf_dir):
 SELECT conv_id, turn, CASE WHEN who = 'assistant' THEN nxt END AS answered_by FROM (
   SELECT conv_id, turn, role, lead(turn) OVER w AS nxt, lead(role) OVER w AS who FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'""")
 def tool_turn_pairing(spark, sf_dir):
-    """Each asking turn with the answer right after it."""
+    """Of D11 the pairing: each asking turn with the answer right after it."""
     return chat.paired_turns(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
 
 
