@@ -43,3 +43,27 @@ def test_hints(spark):
         1: bad("private_value_leak", paths=["gold.a", "gold.claim"]), 2: bad("hint_empty"), 3: bad("hint_too_long"), 4: bad("hint_level_invalid"), 5: bad("binary_verdict_leak"), 6: bad(), 7: bad("internal_term_leak"),
         8: bad("private_value_leak", paths=["expected_action.name"]), 9: bad(), 10: bad("private_value_leak", paths=["gold.q"]), 11: bad(), 12: bad("hint_empty", "hint_level_invalid"), 13: bad(),
     }
+
+
+def test_repairable_failures(spark):
+    error = "RuntimeError: Chat Completions returned an unusable response: choices=1, finish_reason=stop, content_chars=0, reasoning_chars=17, reasoning_fallback_requested=False"
+    traces = [(i, "error", error) for i in range(1, 9)] + [(9, "done", error), (10, "error", error + " more"), (11, "error", None)]
+    receipts = [(i, error, "error", "Unified_React") for i in range(1, 7)] + [(7, error, "error", "search"), (8, "other", "error", "unified_react"), (9, error, "error", "unified_judgment"), (10, error, "error", "unified_react")]
+    fine = ("complete", [1, 2], [-0.5, -1.0])
+    captures = [(i, *fine) for i in (1, 1, 2, 3, 4, 6, 7, 8, 9, 10)] + [(2, "partial", [1], [-1.0]), (3, "complete", [1], [-1.0, -2.0]), (4, "complete", [1], [float("-inf")]), (6, "complete", [], [])]
+    frames = [spark.createDataFrame(*x) for x in ((traces, "case long, termination string, error string"), (receipts, "case long, error string, status string, stage string"), (captures, "case long, status string, ids array<long>, logprobs array<double>"))]
+    assert [r.case for r in localise.repairable_failures(*frames).collect()] == [1]
+
+
+def test_archive_filters(spark):
+    from pyspark.sql import functions as F
+
+    from tracewright.functions.evidence import archive_matches
+
+    item = '{"tool_name": "Visit", "stage": ["A", "b"], "n": 5, "none": null, "metadata": {"n": 6, "x": true, "none": "m"}, "tool_args": {"__question_id": "Q1", "x": false, "y": [1, null]}}'
+    cases = [
+        ({"tool": "visit"}, True), ({"tools": ["a", "VISIT"]}, True), ({"tool_name": "other"}, False), ({"stage": "B"}, True), ({"stage": ["c", "d"]}, False), ({"n": 5}, True), ({"n": [6]}, False), ({"none": "M"}, True),
+        ({"x": True}, True), ({"x": "false"}, False), ({"y": "1"}, True), ({"y": ["None"]}, True), ({"task_id": "q1"}, True), ({"nowhere": "z"}, False), ({"nowhere": "none"}, True), ({"nowhere": [], "tool": "", "n": None}, True), ({"tool": "visit", "n": 6}, False), ({}, True),
+    ]
+    row = spark.createDataFrame([(item,)], "t string").select(*(archive_matches(F.parse_json("t"), f).alias(f"c{i}") for i, (f, _) in enumerate(cases))).first()
+    assert [row[i] for i in range(len(cases))] == [w for _, w in cases]

@@ -24,6 +24,10 @@ MEDIA_ORIGINS = [
     r"\b(?:real\s+or\s+fake|fake\s+or\s+real|image\s+authenticity|photo\s+authenticity|photograph\s+authenticity|authenticity\s+of\s+(?:the\s+)?image|image\s+generation|photo\s+generation|image\s+manipulation|digitally\s+manipulated)\b",
 ]
 TEXT_MATCH, RECALL_MATCH, URL_MATCH, CAPTURE_CONFIDENCE = 0.72, 0.85, 0.45, 0.9
+ARCHIVE_ALIASES = {"tool": "tool_name", "tools": "tool_name"}
+ARCHIVE_ARGUMENTS = {"task_id": ("__question_id",)}
+UNUSABLE = r"^RuntimeError: Chat Completions returned an unusable response: choices=1, finish_reason=(?:tool_calls|stop|length), content_chars=0, reasoning_chars=[0-9]+, reasoning_fallback_requested=False$"
+MODEL_STAGES = ["unified_react", "unified_judgment"]
 SECONDS = {"h": 3600.0, "m": 60.0, "s": 1.0}
 
 
@@ -112,6 +116,28 @@ def matches_any(actual: list[Column], wanted: list[str]) -> Column:
     return F.coalesce(F.lower(F.coalesce(*actual)).isin([w.lower() for w in wanted]), F.lit(False))
 
 
+def archive_matches(item: Column, filters: dict[str, object]) -> Column:
+    """Whether an archive item, a VARIANT object, has what every filter wants.
+
+    A filter's key, or the key it stands for, is looked up in the item, then in its ``metadata``, then in its ``tool_args``, where a
+    task also goes by another name; a JSON null is none. One of the values found, if it is a list, must be one of those wanted, compared as text whatever
+    the case. Empty wishes always hold; a place that nowhere is holds the word none.
+    """
+    out = F.lit(True)
+    for key, wanted in filters.items():
+        if wanted in (None, "", []):
+            continue
+        name = ARCHIVE_ALIASES.get(key, key)
+        places = [f"$.{name}", f"$.metadata.{name}", f"$.tool_args.{name}", *(f"$.tool_args.{x}" for x in ARCHIVE_ARGUMENTS.get(name, ()))]
+        told = [F.try_variant_get(item, place, "variant") for place in places]
+        found = F.coalesce(*(F.when(~F.is_variant_null(v), v) for v in told))
+        texts = F.coalesce(F.try_variant_get(found, "$", "array<string>"), F.array(F.try_variant_get(found, "$", "string")))
+        texts = F.transform(texts, lambda x: F.lower(F.coalesce(x, F.lit("none"))))
+        values = [str(x).lower() for x in (wanted if isinstance(wanted, list) else [wanted])]
+        out &= F.arrays_overlap(texts, F.array(*map(F.lit, values)))
+    return out
+
+
 def retryable(status: Column, verdict: Column, error: Column, code: Column, transport: list[str], http_error: str, codes: list[int]) -> Column:
     """Work in progress, and pending errors that say they may be retried or, where they say nothing, that are of a transport kind."""
     kind = error.isin(transport) | ((error == http_error) & code.isin(codes))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracewright.functions.evidence import MODEL_STAGES, UNUSABLE
 from tracewright.functions.text import normalise
 
 # Words that tell a verdict, and names of what a hint's writer alone may see
@@ -50,3 +51,18 @@ def audited_hints(hints: DataFrame, private: DataFrame, verdicts: str = VERDICTS
     errors = F.array_compact(F.array(*(F.when(holds, name) for name, holds in found.items())))
     out = rows.join(leaks, "id", "left").withColumn("errors", errors)
     return out.select("id", (F.size("errors") == 0).alias("passed"), "errors", F.coalesce("leak_paths", F.array().cast("array<string>")).alias("leak_paths"))
+
+
+def repairable_failures(traces: DataFrame, receipts: DataFrame, captures: DataFrame) -> DataFrame:
+    """(case) of traces that ended in an unusable model action after a prefix whose tokens were captured whole.
+
+    traces (case, termination, error), receipts (case, error, status, stage), captures (case, status, ids, logprobs). The error must be
+    of the one known form and be told by a receipt of a model's stage; there must be captures, and all of them complete, with a finite
+    log probability for each token and one at least. They seed repairs; nothing is said about the cause.
+    """
+    ended = traces.where((F.col("termination") == "error") & F.col("error").rlike(UNUSABLE)).select("case", "error")
+    told = receipts.where((F.col("status") == "error") & F.lower(F.coalesce("stage", F.lit(""))).isin(MODEL_STAGES)).select("case", "error")
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    whole = (F.col("status") == "complete") & (F.size("logprobs") > 0) & (F.size("logprobs") == F.size("ids")) & F.forall("logprobs", finite)
+    intact = captures.groupBy("case").agg(F.bool_and(F.coalesce(whole, F.lit(False))).alias("whole")).where("whole")
+    return ended.join(told, ["case", "error"], "left_semi").join(intact, "case", "left_semi").select("case").distinct()

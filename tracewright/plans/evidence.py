@@ -126,6 +126,19 @@ def archive_filter(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", kept.alias("kept"))
 
 
+@query("""
+SELECT event_id, event_type IN ('click', 'error') AND CASE WHEN event_id % 3 = 0 THEN CAST(coalesce(json_extract_string(props, '$.k'), '0') AS INT) IN (0, 1) OR user_id % 2 = 0 WHEN event_id % 3 = 1 THEN user_id % 4 < 2 ELSE event_id % 5 = 0 END AS kept FROM events""")
+def archive_items(spark, sf_dir):
+    """Events as archive items, whose stage is a list, in the metadata or nowhere, and whose task is an argument of the call."""
+    k, even = F.coalesce(F.get_json_object("props", "$.k"), F.lit("0")), F.pmod("user_id", F.lit(2)).cast("string")
+    stage = F.when(F.pmod("event_id", F.lit(3)) == 0, F.concat(F.lit(', "stage": ["S'), k, F.lit('", "even'), even, F.lit('"], "tool_args": {"task_id": "T"}')))
+    stage = stage.when(F.pmod("event_id", F.lit(3)) == 1, F.concat(F.lit(', "stage": null, "metadata": {"stage": "s'), F.pmod("user_id", F.lit(4)).cast("string"), F.lit('"}, "tool_args": {"__question_id": "t"}')))
+    stage = stage.otherwise(F.concat(F.lit(', "tool_args": {"task_id": ["x", "'), F.when(F.pmod("event_id", F.lit(5)) == 0, "T").otherwise("y"), F.lit('"], "stage": "S1"}')))
+    item = F.parse_json(F.concat(F.lit('{"tool_name": "'), F.col("event_type"), F.lit('"'), stage, F.lit("}")))
+    kept = evidence.archive_matches(item, {"tools": ["Click", "ERROR"], "stage": ["s0", "S1", "EVEN0"], "task_id": "t", "nothing": []})
+    return load(spark, sf_dir, "events").select("event_id", kept.alias("kept"))
+
+
 @query("""
 SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN true WHEN 'F' THEN coalesce(CASE WHEN o_totalprice < 50000 THEN false WHEN o_totalprice > 300000 THEN true END,
   substr(o_orderpriority, 1, 1) IN ('1', '2') OR (substr(o_orderpriority, 1, 1) = '3' AND o_custkey % 5 IN (2, 3)), false) ELSE false END AS retry FROM orders""")
