@@ -26,9 +26,9 @@ further columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
-import gc
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from hashlib import sha256
 from itertools import groupby
 
@@ -44,6 +44,7 @@ WINDOW, GRAM, BLOCK, CHUNK, PART, ROUTE, MOST_RANGES = 50, 20, 1 << 18, 4 << 20,
 #: bytes that a name stands for -> places, from a position on, of the names that it is made of; at 9 it is bytes
 NAMES = {9: (0, 8), 27: (0, 9, 18), 48: (0, 21)}
 EMPTY = sha256(b"").digest()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def halves(x: np.ndarray) -> bytes:
@@ -477,25 +478,26 @@ class Sort:
         self.docs = self.docs.withColumn("mark", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
         self.scratch = Scratch(docs.sparkSession, "suffixes")
 
-    def free(self) -> None:
-        """Lets the shuffle files of finished steps go, which takes a collection in the driver's JVM."""
-        gc.collect()
-        self.docs.sparkSession._jvm.System.gc()
+    @contextmanager
+    def freeing(self):
+        """Shuffle files go when the query that wrote them ends, as each step's result is a table."""
+        conf = self.docs.sparkSession.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            yield
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
     def regions(self, first: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
         """(chunks of the leading texts, their regions with shared anchors)."""
         save = self.scratch.save
         leading = self.docs.where(F.octet_length("text") >= WINDOW).join(first.select("mark", F.col("first").alias("id")), ["mark", "id"], "left_semi")
         chunks = save(leading.select("id", "text").mapInArrow(_chunks, "chunk long, blob binary"), "chunks")
-        del leading
-        self.free()
         buckets = min(max(1, total >> 24), MOST_RANGES)
         replies = exchange(chunks.mapInArrow(_tell_anchors(buckets), "chunk long, bucket int, blob binary"), _shared_anchors)
         # a chunk without a window has no replies, and no regions
-        regions = save(chunks.join(replies, "chunk").mapInArrow(_regions(buckets), "key long, id long, chunk long, doc long, at long, data binary"), "regions")
-        del replies
-        self.free()
-        return chunks, regions
+        return chunks, save(chunks.join(replies, "chunk").mapInArrow(_regions(buckets), "key long, id long, chunk long, doc long, at long, data binary"), "regions")
 
     def matches(self, regions: DataFrame) -> DataFrame:
         """(chunk, doc, at, n): runs of windows that stand in a document with a smaller id."""
@@ -503,8 +505,6 @@ class Sort:
         dealt = regions.repartitionByRange("key", "id").sortWithinPartitions("key", "id", "at")
         parts = save(dealt.mapInArrow(_lay_out, "chunk long, n long, sample array<binary>, blob binary"), "parts")
         drop(regions)
-        del dealt
-        self.free()
         total, count = parts.agg(F.sum("n"), F.count("*")).first()
         # at most about 2^16 strings of 24 bytes, from a bounded number of parts, whatever the input
         share = max(1, count >> 10)
@@ -520,8 +520,6 @@ class Sort:
             if span > 9:
                 drop(path)
             path = parts
-            del replies
-            self.free()
         replies = exchange(parts.mapInArrow(_ask(WINDOW, splits), schema), _answer(WINDOW, merged))
         found = save(parts.join(replies, "chunk").mapInArrow(_take_matches(splits), "chunk long, doc long, at long, n long"), "matches")
         drop(parts)
@@ -529,6 +527,10 @@ class Sort:
 
     def run(self, with_bytes: bool) -> tuple[DataFrame, DataFrame]:
         """(id, n_bytes, mark, copy) of every row, and the changed rows (id, mark, n_removed, spans, kept_mark, kept)."""
+        with self.freeing():
+            return self.steps(with_bytes)
+
+    def steps(self, with_bytes: bool) -> tuple[DataFrame, DataFrame]:
         facts = self.scratch.save(self.docs.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "mark"), "facts")
         first = facts.where("id is not null").groupBy("mark").agg(F.min("id").alias("first"), F.max("n_bytes").alias("size"))
         total = first.agg(F.sum("size")).first()[0] or 0
