@@ -47,15 +47,15 @@ EMPTY = sha256(b"").digest()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def halves(x: np.ndarray) -> bytes:
-    both = np.ascontiguousarray(x).view("<u4")
-    return np.concatenate([both[::2], both[1::2]]).tobytes()
+def planes(x: np.ndarray) -> bytes:
+    x = np.ascontiguousarray(x).view(U64)
+    return b"".join((x >> U64(8 * k)).astype(np.uint8).tobytes() for k in range(8))
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Compressed arrays; the low halves of long numbers stand together, and so do the high ones."""
+    """Compressed arrays; the lowest bytes of long numbers stand together, then the next ones, and so on."""
     head = np.array([len(arrays), *(x.nbytes for x in arrays)], "<i8").tobytes()
-    body = b"".join([head, *(x.tobytes() if x.itemsize < 8 else halves(x) for x in arrays)])
+    body = b"".join([head, *(x.tobytes() if x.itemsize < 8 else planes(x) for x in arrays)])
     return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
@@ -67,9 +67,10 @@ def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     out = []
     for kind, n, a in zip(kinds, size.tolist(), at.tolist()):
         if kind[-1] == "8":
-            whole = np.empty((n // 8, 2), "<u4")
-            whole[:, 0], whole[:, 1] = np.frombuffer(body, "<u4", n // 4, a).reshape(2, -1)
-            out.append(whole.view(kind).ravel())
+            whole = np.zeros(n // 8, U64)
+            for k, plane in enumerate(np.frombuffer(body, np.uint8, n, a).reshape(8, -1)):
+                whole |= plane.astype(U64) << U64(8 * k)
+            out.append(whole.view(kind))
         else:
             out.append(np.frombuffer(body, kind, n // np.dtype(kind).itemsize, a))
     return out
