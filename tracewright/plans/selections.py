@@ -259,12 +259,7 @@ def post_event_actions(spark, sf_dir):
 SELECT event_id, round((value - lag(value) OVER u) / nullif((epoch_us(ts) - lag(epoch_us(ts)) OVER u) / 1000000, 0), 6) + 0.0 AS rate FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def lag_rate(spark, sf_dir):
     """Change of a counter per second since the row before."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = load(spark, sf_dir, "events").withColumn("t", t)
-    return rows.select("event_id", (F.round(F.try_divide(F.col("value") - F.lag("value").over(w), F.col("t") - F.lag("t").over(w)), 6) + F.lit(0.0)).alias("rate"))
+    return series.rate(load(spark, sf_dir, "events"), ["user_id"], "ts", "value", ["ts", "event_id"], 6).select("event_id", "rate")
 
 
 @query("""
