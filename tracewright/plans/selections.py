@@ -141,10 +141,18 @@ def keyword_recall(spark, sf_dir):
 @query("""
 SELECT c_custkey, coalesce(r, 1000000) AS place FROM customer LEFT JOIN (SELECT o_custkey, row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) AS r FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def rerank_merge(spark, sf_dir):
-    """An external order first, the unranked after it."""
+    """An external order first, the unranked after it.
+
+    Totals are added in the order of o_orderkey, the order of the table: customers with the same sum often differ in its last bit,
+    and would change places with every other order of addition.
+    """
+    from pyspark.sql import Window
+
     from tracewright.operators.select import global_rank
 
-    totals = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
+    upto = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.sum("o_totalprice").over(upto).alias("total"))
+    totals = sums.groupBy("o_custkey").agg(F.max_by("total", "o_orderkey").alias("total"))
     ranked = global_rank(totals.withColumn("k", F.struct(-F.col("total"), F.col("o_custkey"))), "k").select(F.col("o_custkey").alias("c_custkey"), (F.col("rank") + 1).alias("r"))
     return load(spark, sf_dir, "customer").select("c_custkey").join(ranked, "c_custkey", "left").select("c_custkey", F.coalesce("r", F.lit(1000000)).alias("place"))
 
