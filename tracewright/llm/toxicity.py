@@ -84,10 +84,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, id: str, text
     return [np.asarray(rows.column(0).to_numpy(), bool), rows.column(1).to_numpy(), words], prior
 
 
+def counted(ids: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """How often each hashed word occurs; in slices, as numpy counts a copy of eight bytes a number."""
+    return sum((np.bincount(ids[i : i + step], minlength=1 << BITS) for i in range(0, len(ids), step)), np.zeros(1 << BITS, int))
+
+
+def summed(words: list[np.ndarray], weights: np.ndarray, step: int = 1 << 10) -> np.ndarray:
+    """The sum of each row's weights, some rows at a time."""
+    out = np.zeros(len(words))
+    for i in range(0, len(words), step):
+        part = words[i : i + step]
+        out[i : i + step] = np.bincount(np.repeat(np.arange(len(part)), [len(x) for x in part]), weights[np.concatenate(part)], len(part))
+    return out
+
+
 def telling(flat: np.ndarray, of_positive: np.ndarray, flags: np.ndarray, least_z: float, s: Settings) -> np.ndarray:
     """Words whose share of toxic rows exceeds that of unlabelled rows by ``least_z`` standard errors."""
     n_pos, n_unl = max(flags.sum(), 1), max((~flags).sum(), 1)
-    pos, unl = np.bincount(flat[of_positive], minlength=1 << BITS), np.bincount(flat[~of_positive], minlength=1 << BITS)
+    pos, unl = counted(flat[of_positive]), counted(flat[~of_positive])
     p, u = (pos + 0.5) / (n_pos + 1), (unl + 0.5) / (n_unl + 1)
     z = (p - u) / np.sqrt(p * (1 - p) / n_pos + u * (1 - u) / n_unl)
     return np.flatnonzero((z >= least_z) & (pos + unl >= s.least_rows))
@@ -112,15 +126,13 @@ def chosen(flags: np.ndarray, folds: np.ndarray, words: list[np.ndarray], prior:
     held = [f for f in np.unique(folds)[: s.choosing] if all((flags[folds == f] == side).any() and (flags[folds != f] == side).any() for side in (True, False))]
     if len(s.least_z) == 1 or not held:
         return s.least_z[0]
-    size = np.array([len(x) for x in words])
-    flat, row = (np.concatenate(words) if size.sum() else np.zeros(0, int)), np.repeat(np.arange(len(words)), size)
     found = []
     for least in s.least_z:
         total = 0.0
         for f in held:
             seen = np.flatnonzero(folds != f)
             weights, bias = train(flags[seen], [words[i] for i in seen], prior, replace(s, least_z=(least,), epochs=s.trial_epochs))
-            hit = bias + np.bincount(row, weights[flat], len(words)) >= 0
+            hit = bias + summed(words, weights) >= 0
             caught, alarms = hit[flags & (folds == f)].mean(), hit[~flags & (folds == f)].mean()
             total += prior * (1 - caught) + max(0.0, alarms - prior * caught)
         found.append(total)
@@ -136,11 +148,13 @@ def train(flags: np.ndarray, words: list[np.ndarray], prior: float, s: Settings)
     sizes = np.array([len(x) for x in words])
     flat = np.concatenate(words) if sizes.sum() else np.zeros(0, int)
     known = telling(flat, np.repeat(flags, sizes), flags, s.least_z[0], s)
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[known] = np.arange(len(known))
-    row, col = np.repeat(np.arange(len(words)), sizes), place[flat]
-    row, col = row[col >= 0], col[col >= 0]
-    begin = np.searchsorted(row, np.arange(len(words) + 1))
+    col, row = place[flat], np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    kept = col >= 0
+    row, col = row[kept], col[kept]
+    del flat, kept
+    begin = np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32)
     rng = np.random.default_rng(s.seed)
     theta, m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     theta[-1] = np.log(prior / (1 - prior))
@@ -154,7 +168,7 @@ def train(flags: np.ndarray, words: list[np.ndarray], prior: float, s: Settings)
             step += 1
             ids = np.concatenate([pos, unl])
             take = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in ids])
-            own = np.repeat(np.arange(len(ids)), begin[ids + 1] - begin[ids])
+            own = np.repeat(np.arange(len(ids), dtype=np.int32), begin[ids + 1] - begin[ids])
             z = theta[-1] + np.bincount(own, theta[col[take]], len(ids))
             slope = np.concatenate(slopes(z[: len(pos)], z[len(pos) :], prior, s.step_back))
             grad = np.append(np.bincount(col[take], slope[own], len(known)), slope.sum())
