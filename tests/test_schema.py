@@ -123,3 +123,12 @@ def test_calls_that_are_none(spark):
     rows = spark.createDataFrame([(0, " ", "{}"), (1, None, "{}"), (2, "nope", "{}"), (3, "visit", "[1]"), (4, "visit", "{"), (5, "visit", None), (6, "visit", '{"a":1,"a":2}')], "i int, t string, a string")
     got = {r.i: (r.status, r.code) for r in rows.select("i", schema.project_call(F.col("t"), F.col("a"), TOOLS).alias("r")).select("i", "r.*").collect()}
     assert got == {i: ("unrepairable", c) for i, c in enumerate(["missing_tool_name"] * 2 + ["unknown_tool"] + ["malformed_arguments"] * 4)}
+
+
+def test_a_repair_looks_at_an_argument_once(spark):
+    """Every schema of a tool sees the same parsed arguments and kinds; only a value written otherwise is looked at again."""
+    tool = {"visit": [{"properties": {"url": {"type": "array"}, "goal": {"type": "string"}}, "required": ["url"]}, {"properties": {"url": {"type": "string"}, "deep": {"type": "boolean"}}}]}
+    repaired = spark.range(1).select(schema.repaired("visit", F.from_json(F.lit("{}"), "map<string,variant>"), tool["visit"]).alias("r"))
+    plan = repaired._jdf.queryExecution().analyzed().toString()
+    # one for all arguments as they are, one for each of the four properties as it would be written
+    assert (plan.count("schema_of_variant("), plan.count("from_json(")) == (5, 1)

@@ -25,8 +25,11 @@ STANDS_IN = {("crop_and_inspect", "visual_question_id"): ("bbox", "focus_questio
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is worked out once, however often ``f`` uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+    """``f`` of a value that is worked out once, however often ``f`` uses it.
+
+    ``element_at`` knows the type of what it returns; ``get`` would derive it anew from all of ``f`` for every row.
+    """
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def first(columns: list[Column], kind: str) -> Column:
@@ -47,6 +50,10 @@ def is_integer(kind: Column) -> Column:
     return (kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
 
 
+def is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
+
+
 def as_kind(value: Column, kind: str) -> Column:
     return F.try_variant_get(value, "$", kind)
 
@@ -67,27 +74,35 @@ def issue_of(value: Column, kind: Column, spec: dict, path: str) -> Column:
         if whole("maxLength") is not None:
             found.append(F.when(F.char_length(text) > spec["maxLength"], issue("invalid_value", path)))
     if expected == "array":
-        items = as_kind(value, "array<variant>")
         found.append(F.when(~F.startswith(kind, F.lit("ARRAY")), issue("invalid_type", path)))
-        if whole("minItems") is not None:
-            found.append(F.when(F.size(items) < spec["minItems"], issue("invalid_value", path)))
-        if whole("maxItems") is not None:
-            found.append(F.when(F.size(items) > spec["maxItems"], issue("invalid_value", path)))
-        if isinstance(spec.get("items"), dict):
-            each = F.transform(items, lambda x: value_issue(x, spec["items"], f"{path}[]"))
-            found.append(F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0)))
+        if any(whole(key) is not None for key in ("minItems", "maxItems")) or isinstance(spec.get("items"), dict):
+            found.append(let(as_kind(value, "array<variant>"), lambda items: item_issue(items, spec, path)))
     if expected == "object":
         found.append(F.when(~F.startswith(kind, F.lit("OBJECT")), issue("invalid_type", path)))
         found.append(let(as_kind(value, "map<string,variant>"), lambda members: member_issue(members, spec, path)))
     if expected == "number":
-        found.append(F.when(~(is_integer(kind) | kind.rlike("^(DOUBLE|FLOAT|DECIMAL)")), issue("invalid_type", path)))
+        found.append(F.when(~is_number(kind), issue("invalid_type", path)))
     if expected == "integer":
         found.append(F.when(~is_integer(kind), issue("invalid_type", path)))
     if expected == "boolean":
         found.append(F.when(kind != "BOOLEAN", issue("invalid_type", path)))
     if isinstance(spec.get("enum"), list):
-        allowed = [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in spec["enum"]]
-        found.append(F.when(~F.coalesce(F.to_json(value), F.lit("null")).isin(allowed), issue("invalid_enum", path)))
+        if all(isinstance(x, str) for x in spec["enum"]):
+            allowed = (kind == "STRING") & as_kind(value, "string").isin(spec["enum"])
+        else:
+            allowed = F.coalesce(F.to_json(value), F.lit("null")).isin([json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in spec["enum"]])
+        found.append(F.when(~allowed, issue("invalid_enum", path)))
+    return first(found, ISSUE)
+
+
+def item_issue(items: Column, spec: dict, path: str) -> Column:
+    found = []
+    for key, wrong in (("minItems", lambda n: F.size(items) < n), ("maxItems", lambda n: F.size(items) > n)):
+        if isinstance(spec.get(key), int):
+            found.append(F.when(wrong(spec[key]), issue("invalid_value", path)))
+    if isinstance(spec.get("items"), dict):
+        each = F.transform(items, lambda x: value_issue(x, spec["items"], f"{path}[]"))
+        found.append(F.try_element_at(F.filter(each, lambda x: x.isNotNull()), F.lit(1)))
     return first(found, ISSUE)
 
 
@@ -113,59 +128,83 @@ def names_of(schema: dict) -> Column:
     return F.array(*map(F.lit, schema.get("properties") or {})).cast("array<string>")
 
 
+def entries_of(arguments: Column) -> Column:
+    """(name, value, kind) of the arguments in their order; every schema of a tool looks at the same."""
+    return F.transform(F.map_entries(arguments), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"), kind_of(e["value"]).alias("kind")))
+
+
 def schema_issues(tool: str, arguments: Column, schema: dict) -> Column:
     """All issues of a call's arguments, a map<string,variant>: unknown names, then required ones, then values in their order."""
-    return let(arguments, lambda given: issues_of(tool, given, schema))
+    own = lambda given: F.transform(given, lambda x: argument_issue(x["name"], x["value"], x["kind"], schema))
+    return let(entries_of(arguments), lambda given: F.concat(issues_unknown(unknown(given, schema)), *missing(tool, given, schema), F.array_compact(own(given))))
+
+
+def argument_issue(name: Column, value: Column, kind: Column, schema: dict) -> Column:
+    checks = {n: spec for n, spec in (schema.get("properties") or {}).items() if isinstance(spec, dict)}
+    return by_name(name, {n: issue_of(value, kind, spec, n) for n, spec in checks.items()}, ISSUE)
+
+
+def unknown(entries: Column, schema: dict) -> Column:
+    """The sorted names of entries that the schema does not tell of."""
+    return F.sort_array(F.transform(F.filter(entries, lambda x: ~x["name"].isin(*(schema.get("properties") or {}))), lambda x: x["name"]))
 
 
-def issues_of(tool: str, arguments: Column, schema: dict) -> Column:
-    properties, present = schema.get("properties") or {}, F.map_keys(arguments)
-    unknown = F.transform(F.array_sort(F.array_except(present, names_of(schema))), lambda k: issue("unknown_argument", k))
+def issues_unknown(names: Column) -> Column:
+    return F.transform(names, lambda k: issue("unknown_argument", k))
 
-    def missing(name: str) -> Column:
-        gone = ~F.array_contains(present, name)
+
+def missing(tool: str, entries: Column, schema: dict) -> list[Column]:
+    """The required names that entries of (name, value) do not have, as issues; no column where none is required."""
+
+    def gone(name: str) -> Column:
+        out = ~F.exists(entries, lambda x: x["name"] == name)
         for (whose, stand_in), names in STANDS_IN.items():
             if whose == tool and name in names:
                 # a JSON null and a false, zero or empty value stand in for nothing
-                text = F.btrim(F.coalesce(as_kind(arguments[stand_in], "string"), F.lit("")), F.lit(SPACE))
-                gone &= text.isin("", "0", "0.0", "false")
-        return F.when(gone, issue("missing_required", name))
-
-    required = F.array_compact(F.array(*map(missing, schema.get("required") or [])).cast(f"array<{ISSUE}>"))
-    checks = {name: spec for name, spec in properties.items() if isinstance(spec, dict)}
-    values = F.transform(present, lambda k: by_name(k, {name: value_issue(F.element_at(arguments, F.lit(name)), spec, name) for name, spec in checks.items()}, ISSUE))
-    return F.concat(unknown, required, F.array_compact(values))
-
+                told = F.try_element_at(F.filter(entries, lambda x: x["name"] == stand_in), F.lit(1))["value"]
+                out &= F.btrim(F.coalesce(as_kind(told, "string"), F.lit("")), F.lit(SPACE)).isin("", "0", "0.0", "false")
+        return F.when(out, issue("missing_required", name))
 
-def normalised(tool: str, name: str, value: Column, spec: dict) -> Column:
-    """(value, change) of an argument written in another shape or spelling of the same meaning; null where it stays."""
-    return let(F.struct(value.alias("v"), kind_of(value).alias("kind")), lambda x: move_of(tool, name, x["v"], x["kind"], spec))
+    wanted = schema.get("required") or []
+    return [F.array_compact(F.array(*map(gone, wanted))).cast(f"array<{ISSUE}>")] if wanted else []
 
 
-def move_of(tool: str, name: str, value: Column, kind: Column, spec: dict) -> Column:
-    expected, key, tries = spec.get("type"), (tool, name), []
-    items, text = as_kind(value, "array<variant>"), F.when(kind == "STRING", as_kind(value, "string"))
+def move_of(tool: str, name: str, value: Column, kind: Column, spec: dict) -> Column | None:
+    """(value, change) of an argument written in another shape or spelling of the same meaning, null where it stays; None where there is no other."""
+    expected, key = spec.get("type"), (tool, name)
     told = lambda new, change: F.struct(new.alias("value"), F.lit(f"{name}:{change}").alias("change"))
-    listed = F.startswith(kind, F.lit("ARRAY"))
-    if key in OMITTED_EMPTY:
-        tries.append(F.when((kind == "VOID") | (listed & (F.size(items) == 0)), told(F.lit(None).cast("variant"), OMITTED_EMPTY[key])))
-    if key in FIRST_BOXES:
-        most, change = FIRST_BOXES[key]
-        number = lambda x: is_integer(kind_of(x)) | kind_of(x).rlike("^(DOUBLE|FLOAT|DECIMAL)")
-        box = lambda x: F.coalesce((F.size(as_kind(x, "array<variant>")) == 4) & F.forall(as_kind(x, "array<variant>"), number), F.lit(False))
-        tries.append(F.when(listed & (F.size(items) > most) & F.forall(F.slice(items, 1, most), box), told(F.slice(items, 1, most).cast("variant"), change)))
-    if key in SYNONYMS:
-        names, new, change = SYNONYMS[key]
-        tries.append(F.when(F.lower(text).isin(*names), told(F.lit(new).cast("variant"), change)))
-    if key in SINGLE_TO_STRING and expected == "string":
-        tries.append(F.when(listed & (F.size(items) == 1) & (kind_of(F.get(items, F.lit(0))) == "STRING"), told(F.get(items, F.lit(0)), SINGLE_TO_STRING[key])))
-    if key in STRING_TO_SINGLE and expected == "array":
-        tries.append(F.when(text.isNotNull(), told(F.array(value).cast("variant"), STRING_TO_SINGLE[key])))
     allowed = [x for x in spec.get("enum") or [] if isinstance(x, str)]
-    for x in allowed:
-        if sum(x.lower() == y.lower() for y in allowed) == 1:
-            tries.append(F.when((F.lower(text) == x.lower()) & (text != x), told(F.lit(x).cast("variant"), "enum_case_normalized")))
-    return first(tries, CHANGE)
+    spelt = [x for x in allowed if sum(x.lower() == y.lower() for y in allowed) == 1]
+
+    def of_list(items: Column) -> list[Column]:
+        tries = []
+        if key in OMITTED_EMPTY:
+            tries.append(F.when(F.size(items) == 0, told(F.lit(None).cast("variant"), OMITTED_EMPTY[key])))
+        if key in FIRST_BOXES:
+            most, change = FIRST_BOXES[key]
+            box = lambda x: F.coalesce((F.size(as_kind(x, "array<variant>")) == 4) & F.forall(as_kind(x, "array<variant>"), lambda y: is_number(kind_of(y))), F.lit(False))
+            tries.append(F.when((F.size(items) > most) & F.forall(F.slice(items, 1, most), box), told(F.slice(items, 1, most).cast("variant"), change)))
+        if key in SINGLE_TO_STRING and expected == "string":
+            tries.append(F.when((F.size(items) == 1) & (kind_of(F.get(items, F.lit(0))) == "STRING"), told(F.get(items, F.lit(0)), SINGLE_TO_STRING[key])))
+        return tries
+
+    def of_text(text: Column) -> list[Column]:
+        tries = []
+        if key in SYNONYMS:
+            names, new, change = SYNONYMS[key]
+            tries.append(F.when(F.lower(text).isin(*names), told(F.lit(new).cast("variant"), change)))
+        if key in STRING_TO_SINGLE and expected == "array":
+            tries.append(told(F.array(value).cast("variant"), STRING_TO_SINGLE[key]))
+        return tries + [F.when((F.lower(text) == x.lower()) & (text != x), told(F.lit(x).cast("variant"), "enum_case_normalized")) for x in spelt]
+
+    out = []
+    if key in OMITTED_EMPTY:
+        out.append((kind == "VOID", told(F.lit(None).cast("variant"), OMITTED_EMPTY[key])))
+    if key in OMITTED_EMPTY or key in FIRST_BOXES or (key in SINGLE_TO_STRING and expected == "string"):
+        out.append((F.startswith(kind, F.lit("ARRAY")), let(as_kind(value, "array<variant>"), lambda items: first(of_list(items), CHANGE))))
+    if key in SYNONYMS or (key in STRING_TO_SINGLE and expected == "array") or spelt:
+        out.append((kind == "STRING", let(as_kind(value, "string"), lambda text: first(of_text(text), CHANGE))))
+    return first([F.when(fits, move) for fits, move in out], CHANGE) if out else None
 
 
 def variants_of(schemas: list[dict]) -> Iterator[dict]:
@@ -188,46 +227,61 @@ def repaired(tool: str, arguments: Column, schemas: list[dict]) -> Column:
     are removed and other spellings normalised, the one with the fewest of both, then the fewest removed, then the least names; else
     unrepairable with the code and fields of the schema with the fewest issues left.
     """
-    return let(arguments, lambda given: best_of(tool, given, [*variants_of(schemas)]))
+    tries = lambda given: F.array(*(mended(tool, given, s) for s in variants_of(schemas)))
+    # what is used twice is worked out once
+    return let(arguments, lambda given: let(let(entries_of(given), tries), lambda x: best_of(given, x)))
+
 
+def mended(tool: str, entries: Column, schema: dict) -> Column:
+    """(cost, new, left, issues): a call under one schema, as it is and once unknown arguments are gone and others normalised.
 
-def mended(tool: str, arguments: Column, schema: dict) -> Column:
-    """(exact, cost, new, left): a call under one schema, as it is and once unknown arguments are gone and others normalised."""
+    Each argument is looked at once as it is, and once more only if it is written otherwise: what an unknown one or one that stays has
+    to say is the same before and after.
+    """
     properties = {k: v for k, v in (schema.get("properties") or {}).items() if isinstance(v, dict)}
-    removed = F.array_sort(F.array_except(F.map_keys(arguments), names_of(schema)))
-    kept = F.filter(F.map_keys(arguments), lambda k: F.array_contains(names_of(schema), k))
-    move = lambda k: by_name(k, {n: normalised(tool, n, F.element_at(arguments, F.lit(n)), s) for n, s in properties.items()}, CHANGE)
-    tried = F.struct(removed.alias("removed"), F.transform(kept, lambda k: F.struct(k.alias("k"), move(k).alias("m"))).alias("moves"), schema_issues(tool, arguments, schema).alias("issues"))
 
-    def changed(x: Column) -> Column:
-        left = F.filter(x["moves"], lambda p: p["m"].isNull() | p["m"]["value"].isNotNull())
-        new = F.map_from_entries(F.transform(left, lambda p: F.struct(p["k"].alias("key"), F.coalesce(p["m"]["value"], F.element_at(arguments, p["k"])).alias("value"))))
-        changes = F.transform(F.filter(x["moves"], lambda p: p["m"].isNotNull()), lambda p: p["m"]["change"])
-        return F.struct(x["removed"].alias("removed"), x["issues"].alias("issues"), new.alias("new"), changes.alias("changes"))
+    def tried(x: Column) -> Column:
+        moves = {n: m for n, s in properties.items() if (m := move_of(tool, n, x["value"], x["kind"], s)) is not None}
+        own = argument_issue(x["name"], x["value"], x["kind"], schema)
+        return F.struct(x["name"].alias("name"), x["value"].alias("value"), own.alias("issue"), by_name(x["name"], moves, CHANGE).alias("move"))
+
+    def after(x: Column) -> Column:
+        new = {n: value_issue(x["move"]["value"], s, n) for n, s in properties.items()}
+        entry = lambda value, found: F.struct(x["name"].alias("name"), value.alias("value"), found.alias("issue"))
+        return F.when(x["move"].isNull(), entry(x["value"], x["issue"])).otherwise(entry(x["move"]["value"], by_name(x["name"], new, ISSUE)))
+
+    def changed(each: Column) -> Column:
+        stay = F.filter(each, lambda x: x["name"].isin(*(schema.get("properties") or {})) & (x["move"].isNull() | x["move"]["value"].isNotNull()))
+        changes = F.array_compact(F.transform(each, lambda x: x["move"]["change"]))
+        issues = F.concat(*missing(tool, each, schema), F.array_compact(F.transform(each, lambda x: x["issue"])))
+        return F.struct(unknown(each, schema).alias("removed"), changes.alias("changes"), F.transform(stay, after).alias("new"), issues.alias("issues"))
 
     def judged(x: Column) -> Column:
         cost = F.struct((F.size(x["removed"]) + F.size(x["changes"])).alias("n"), F.size(x["removed"]).alias("r"), x["removed"].alias("names"), x["changes"].alias("changed"))
-        return F.struct((F.size(x["issues"]) == 0).alias("exact"), cost.alias("cost"), x["new"].alias("new"), schema_issues(tool, x["new"], schema).alias("left"), x["issues"].alias("issues"))
+        left = F.concat(*missing(tool, x["new"], schema), F.array_compact(F.transform(x["new"], lambda y: y["issue"])))
+        return F.struct(cost.alias("cost"), x["new"].alias("new"), left.alias("left"), F.concat(issues_unknown(x["removed"]), x["issues"]).alias("issues"))
 
-    return let(let(tried, changed), judged)
+    return let(let(F.transform(entries, tried), changed), judged)
 
 
-def best_of(tool: str, arguments: Column, schemas: list[dict]) -> Column:
+def best_of(arguments: Column, tries: Column) -> Column:
     none = F.array().cast("array<string>")
     result = lambda *parts: F.struct(*(c.alias(n) for n, c in zip(("status", "arguments", "removed", "changes", "code", "fields"), parts)))
 
-    def told(tries: Column) -> Column:
-        held = F.array_sort(F.transform(F.filter(tries, lambda x: (F.size(x["left"]) == 0) & (x["cost"]["n"] > 0)), lambda x: x["cost"]))
-        best = F.get(held, F.lit(0))
-        new = F.get(F.filter(tries, lambda x: (F.size(x["left"]) == 0) & (x["cost"] == best)), F.lit(0))["new"]
-        some = lambda x: F.when(F.size(x["left"]) > 0, x["left"]).otherwise(x["issues"])
-        least = F.get(F.array_sort(F.transform(tries, lambda x: F.struct(F.size(some(x)).alias("n"), some(x).alias("all")))), F.lit(0))
-        status = F.when((F.size(best["names"]) > 0) & (F.size(best["changed"]) > 0), "safe_projection").when(F.size(best["names"]) > 0, "unknown_arguments_removed").otherwise("safe_value_normalized")
-        failed = result(F.lit("unrepairable"), arguments, none, none, F.coalesce(F.get(least["all"], F.lit(0))["code"], F.lit("schema_mismatch")), F.transform(least["all"], lambda x: x["path"]))
-        fine = result(F.lit("exact"), arguments, none, none, F.lit(""), none)
-        return F.when(F.exists(tries, lambda x: x["exact"]), fine).when(best.isNotNull(), result(status, new, best["names"], best["changed"], F.lit(""), none)).otherwise(failed)
+    def held(best: Column) -> Column:
+        names, changed = best["cost"]["names"], best["cost"]["changed"]
+        status = F.when((F.size(names) > 0) & (F.size(changed) > 0), "safe_projection").when(F.size(names) > 0, "unknown_arguments_removed").otherwise("safe_value_normalized")
+        new = F.map_from_entries(F.transform(F.get(tries, best["at"])["new"], lambda x: F.struct(x["name"].alias("key"), x["value"].alias("value"))))
+        return F.when(best.isNotNull(), result(status, new, names, changed, F.lit(""), none)).otherwise(let(least, failed))
 
-    return let(F.array(*(mended(tool, arguments, s) for s in schemas)), told).cast(RESULT)
+    def failed(rest: Column) -> Column:
+        return result(F.lit("unrepairable"), arguments, none, none, F.coalesce(F.get(rest["all"], F.lit(0))["code"], F.lit("schema_mismatch")), F.transform(rest["all"], lambda x: x["path"]))
+
+    some = lambda x: F.when(F.size(x["left"]) > 0, x["left"]).otherwise(x["issues"])
+    least = F.array_min(F.transform(tries, lambda x: let(some(x), lambda all: F.struct(F.size(all).alias("n"), all.alias("all")))))
+    costs = F.transform(tries, lambda x, i: F.when((F.size(x["left"]) == 0) & (x["cost"]["n"] > 0), F.struct(x["cost"].alias("cost"), i.alias("at"))))
+    fine = result(F.lit("exact"), arguments, none, none, F.lit(""), none)
+    return F.when(F.exists(tries, lambda x: F.size(x["issues"]) == 0), fine).otherwise(let(F.array_min(costs), held))
 
 
 def project_call(name: Column, arguments: Column, tools: dict[str, list[dict]]) -> Column:
@@ -237,10 +291,16 @@ def project_call(name: Column, arguments: Column, tools: dict[str, list[dict]])
     """
     none = F.array().cast("array<string>")
     parsed = F.try_parse_json(arguments)
-    given = F.when(F.startswith(kind_of(parsed), F.lit("OBJECT")), F.from_json(arguments, "map<string,variant>"))
-    failed = lambda code: F.struct(F.lit("unrepairable").alias("status"), given.alias("arguments"), none.alias("removed"), none.alias("changes"), F.lit(code).alias("code"), none.alias("fields"))
+    # what parses and begins with a brace is an object
+    braced = F.startswith(F.ltrim(arguments, F.lit(" \t\n\r")), F.lit("{"))
+    given = F.when(parsed.isNotNull() & braced, F.from_json(arguments, "map<string,variant>"))
+    failed = lambda code, given: F.struct(F.lit("unrepairable").alias("status"), given.alias("arguments"), none.alias("removed"), none.alias("changes"), F.lit(code).alias("code"), none.alias("fields"))
     called = F.btrim(F.coalesce(name, F.lit("")), F.lit(SPACE))
-    out = failed("unknown_tool").cast(RESULT)
-    for tool, schemas in tools.items():
-        out = F.when(called == tool, repaired(tool, given, schemas)).otherwise(out)
-    return F.when(called == "", failed("missing_tool_name").cast(RESULT)).when(given.isNull(), failed("malformed_arguments").cast(RESULT)).otherwise(out)
+
+    def told(given: Column) -> Column:
+        out = F.when(given.isNull(), failed("malformed_arguments", given))
+        for tool, schemas in tools.items():
+            out = out.when(called == tool, repaired(tool, given, schemas))
+        return out.otherwise(failed("unknown_tool", given))
+
+    return F.when(called == "", failed("missing_tool_name", given)).otherwise(let(given, told)).cast(RESULT)
