@@ -44,3 +44,13 @@ def test_state_goes_after_its_time(spark, tmp_path):
     add(path, ("a", 2, "old"))
     run()
     assert [(r.attempt, r.value) for r in recovery.index(spark, table).collect()] == [(2, "old")]
+
+
+def test_keys_without_a_time_to_live_cost_no_python(spark, tmp_path):
+    path, table = str(tmp_path / "items"), f"{tmp_path}/index"
+    spark.createDataFrame([(str(i % 3), i // 3, i, str(i)) for i in range(12)], "key string, attempt long, at long, value string").repartition(4).write.parquet(path)
+    items = spark.readStream.schema("key string, attempt long, at long, value string").parquet(path)
+    found = recovery.recovery_index(items)
+    assert "Python" not in found._jdf.queryExecution().analyzed().toString() and "PySpark" not in found._jdf.queryExecution().analyzed().toString()
+    recovery.materialised(found, table, f"{tmp_path}/mark")
+    assert sorted(map(tuple, recovery.index(spark, table).collect())) == [(str(k), 3, 9 + k, str(9 + k)) for k in range(3)]

@@ -16,7 +16,7 @@ TOLD = "key string, attempt long, at long, value string"
 class NewestAttempt(StatefulProcessor):
     """Keeps of each key the item of the greatest attempt, of one attempt the last in order, and tells it when it changes."""
 
-    def __init__(self, ttl_ms: int | None):
+    def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -38,15 +38,17 @@ class NewestAttempt(StatefulProcessor):
 
 
 def recovery_index(items: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """A stream of (key, attempt, at, value): what stands for a key whenever that changes.
+    """A stream of (key, attempt, at, value): what stands for a key whenever that may have changed.
 
     items is a stream of (key, attempt, at, value), ``at`` telling the order within an attempt; items without key or attempt are left out. The
-    state of a key is one item, and goes ``ttl_ms`` after its last change; an older attempt that comes late is not told while it is held.
+    state of a key is one item. With ``ttl_ms`` it goes that long after its last change, by a state of our own; without, keys are
+    aggregated, which costs no call of Python for each of them. An older attempt that comes late changes nothing while the newer one is held.
     """
     items.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     known = items.where("key is not null and key <> '' and attempt is not null").select("key", F.col("attempt").cast("long").alias("attempt"), F.col("at").cast("long").alias("at"), "value")
-    mode = "ProcessingTime" if ttl_ms else "None"
-    return known.groupBy("key").transformWithStateInPandas(NewestAttempt(ttl_ms), TOLD, outputMode="Update", timeMode=mode)
+    if ttl_ms:
+        return known.groupBy("key").transformWithStateInPandas(NewestAttempt(ttl_ms), TOLD, outputMode="Update", timeMode="ProcessingTime")
+    return known.groupBy("key").agg(F.max(F.struct("attempt", "at", "value")).alias("held")).select("key", "held.*")
 
 
 def materialised(updates: DataFrame, table: str, checkpoint: str) -> None:
