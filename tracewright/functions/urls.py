@@ -18,6 +18,8 @@ MULTIPART_SUFFIXES = [
 ]
 SENSITIVE_KEYS = ["key", "apikey", "token", "accesstoken", "credential", "googleaccessid", "ossaccesskeyid", "signature", "sig", "securitytoken"]
 REDACTED = "[REDACTED]"
+# addresses that are their own canonical form: plain lower-case host, path, neither query nor fragment
+CANONICAL = r"\Ahttps?://[a-z0-9-]+(?:\.[a-z0-9-]+)*+(?:/|/[^?#]*[^?#/ ])\z"
 
 
 def _part(url: Column, group: int) -> Column:
@@ -37,7 +39,10 @@ def host(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """http(s), lower-case host, no default port, no trailing slash, no tracking keys, sorted query, no fragment."""
+    """http(s), lower-case host, no default port, no trailing slash, no tracking keys, sorted query, no fragment.
+
+    Most addresses are so already; one pattern tells that, and only the others are taken apart.
+    """
     text = with_scheme(url)
     scheme = F.when(F.lower(_part(text, 1)).isin("http", "https"), F.lower(_part(text, 1))).otherwise("https")
     port = F.regexp_extract(_part(text, 2), ":([0-9]+)$", 1)
@@ -50,7 +55,7 @@ def canonical(url: Column) -> Column:
     pairs = F.filter(pairs, lambda p: ~key(p).startswith("utm_") & ~key(p).isin(TRACKING_KEYS))
     query = F.array_join(F.array_sort(F.transform(pairs, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))), "&")
     whole = F.concat(scheme, F.lit("://"), place, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(host(url) == "", "").otherwise(whole)
+    return F.when(url.rlike(CANONICAL), url).when(host(url) == "", "").otherwise(whole)
 
 
 def registered_domain(name: Column) -> Column:
