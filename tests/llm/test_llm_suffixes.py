@@ -102,3 +102,50 @@ def test_merged_order_compares_classes_by_difference_cover():
     for a, w in zip(at, who):
         least[strings[a]] = min(least.get(strings[a], w), w)
     assert suffixes.merged(columns).tolist() == [least[strings[a]] for a in at]
+
+
+@pytest.mark.parametrize("hot", [0, 300, 1 << 18])
+def test_anchors_of_many_pieces_and_of_few(spark, monkeypatch, hot):
+    """All, some or none of the anchors are sorted across parts; long runs of one letter are cut into pieces."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(13)
+    rows = corpus() + [(200, "a" * 9000), (201, "b" + "a" * 5000 + "b"), (199, "ab" * 4500), (202, "c" * 60 + "ab" * 2100)]
+    rows += [(300 + i, "the same line that very many of the texts hold, with an end of its own " + rng.choice("xyz") * rng.randrange(30)) for i in range(60)]
+    rng.shuffle(rows)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == removed(rows)
+
+
+def test_ordinary_anchors_are_not_sent_across_ranges(spark, monkeypatch):
+    """Each part sent rows to each range in four exchanges, which took disk with the square of the input; the anchors' exchange is the only one left."""
+    calls, exchange = [], suffixes.exchange
+    monkeypatch.setattr(suffixes, "exchange", lambda *a, **k: calls.append(1) or exchange(*a, **k))
+    rows = corpus()
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == removed(rows)
+    assert len(calls) == 1
+
+
+def test_repeats_of_pieces():
+    """Runs of windows that a smaller id has in any piece, against a dictionary."""
+    rng = np.random.default_rng(7)
+    text = rng.integers(0, 2, 400).astype(np.uint8)
+    at, n, id = rng.integers(0, 300, 120), rng.integers(50, 100, 120), rng.integers(-5, 30, 120)
+    pieces = [text[a : a + k].tobytes() for a, k in zip(at, n)]
+    first = {}
+    for p, i in zip(pieces, id):
+        for j in range(len(p) - 49):
+            first[p[j : j + 50]] = min(first.get(p[j : j + 50], i), i)
+    want = {(k, j) for k, (p, i) in enumerate(zip(pieces, id)) for j in range(len(p) - 49) if first[p[j : j + 50]] < i}
+    runs = [x.tolist() for x in suffixes.repeats(np.frombuffer(b"".join(pieces), np.uint8), n, id)]
+    got = [(p, j) for p, a, k in zip(*runs) for j in range(a, a + k)]
+    assert len(got) == len(set(got)) and set(got) == want
+    none = suffixes.repeats(np.frombuffer(pieces[0], np.uint8), n[:1], id[:1])
+    assert [len(x) for x in none] == [0, 0, 0]
+
+
+def test_long_runs_are_cut(monkeypatch):
+    raw, ends = np.frombuffer(b"a" * 1000 + b"xyz" * 50, np.uint8), np.array([0, 1000, 1150])
+    begin, n, key = suffixes.anchors(raw, ends, 4)
+    monkeypatch.setattr(suffixes, "RUN", 100)
+    cut, m, less = suffixes.anchors(raw, ends, 4)
+    spread = lambda b, k, v: {x + j: y for x, c, y in zip(b.tolist(), k.tolist(), v.tolist()) for j in range(c)}
+    assert n.max() == 951 and m.max() == 100 and spread(begin, n, key) == spread(cut, m, less) and n.sum() == m.sum()

@@ -14,10 +14,13 @@ on the input. The strings are sorted and compared with those beside them:
 
 What is sorted: copies of whole texts are one text (each further copy repeats it wholly). A window's anchor is the least hash of its
 ``GRAM``-byte strings, so equal windows have equal anchors, and windows whose anchor one document alone has are left out.
-The others are cut out as regions and laid out in parts of about ``PART`` bytes, in the order of their anchors, so that equal
-passages stand beside each other. A part sends each different string once, as columns of numbers for each range of strings; ranges
-are split at strings sampled from the regions. So a passage that a third of all documents hold costs a range one row for each part, and
-no task or driver sees more than one range, one part, or one chunk of ``CHUNK`` bytes of text (or one longer text).
+Only windows of one anchor can be equal, so the others are cut out as pieces, runs of windows with one anchor, and dealt by it.
+Parts of about ``PART`` bytes hold all different pieces of their anchors and are sorted alone, by the same steps. An anchor with more
+than ``HOT`` bytes of pieces is sorted across the cluster: its windows are cut out as regions and laid out in parts in the order of their
+anchors, so that equal passages stand beside each other. A part sends each different string once, as columns of numbers for each range
+of strings; ranges are split at strings sampled from the regions. So a passage that a third of all documents hold costs a range one row
+for each part, and no task or driver sees more than one range, one bucket of anchors, one part, or one chunk of ``CHUNK`` bytes of text
+(or one longer text).
 
 Defined results: a null text is empty; rows that repeat an id are judged by their own text and never remove bytes from each
 other; a row with a null id is left as it is and removes nothing; matches never cross documents; an empty table gives no rows;
@@ -41,6 +44,8 @@ from tracewright.llm.words import M1, M2, M3, U64, mix, slices, sliding_min, tex
 from tracewright.session import Scratch
 
 WINDOW, GRAM, BLOCK, CHUNK, PART, ROUTE, MOST_RANGES = 50, 20, 1 << 18, 4 << 20, 1 << 20, 24, (1 << 16) - 1
+#: windows of a piece at most, bytes of an anchor's pieces that one part still holds, bytes of pieces that are dealt at a time
+RUN, HOT, DEALT = 1 << 12, 1 << 18, 24 << 20
 #: bytes that a name stands for -> places, from a position on, of the names that it is made of; at 9 it is bytes
 NAMES = {9: (0, 8), 27: (0, 9, 18), 48: (0, 21)}
 EMPTY = sha256(b"").digest()
@@ -133,9 +138,13 @@ def least_grams(raw: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def anchors(raw: np.ndarray, ends: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all runs: first position, number of windows, and the anchor as bucket and 32 bits within it."""
+    """Of all runs, cut at ``RUN`` windows: first position, number of windows, and the anchor as bucket and 32 bits within it."""
     runs = [*least_grams(raw, ends)]
     begin, least, n = (np.concatenate([r[k] for r in runs]) if runs else np.zeros(0, t) for k, t in enumerate((np.int64, U64, np.int64)))
+    if len(n) and n.max() > RUN:
+        cuts = -(-n // RUN)
+        skip = (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * RUN
+        begin, least, n = np.repeat(begin, cuts) + skip, np.repeat(least, cuts), np.minimum(np.repeat(n, cuts) - skip, RUN)
     k = mix(least)
     return begin, n, (((k >> U64(32)) % U64(buckets)) << U64(32) | k & U64(0xFFFFFFFF)).view(np.int64)
 
@@ -150,48 +159,99 @@ def _tell_anchors(buckets):
     def tell(batches):
         for chunk, blob in rows_of(batches):
             raw, ends, _ = unpacked(blob, "u1", "<i8", "<i8")
-            begin, _, key = anchors(raw, ends, buckets)
+            begin, n, key = anchors(raw, ends, buckets)
             doc = np.searchsorted(ends, begin, side="right")
             order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]  # positions, and so documents, ascend within a key
+            key, doc, size = key[order], doc[order], n[order] + WINDOW - 1  # positions, and so documents, ascend within a key
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
             last = np.append(first[1:], len(key)) - 1
-            several, key = doc[first] != doc[last], key[first]
-            rows = [(b, packed(key[x:y].astype(np.uint32), np.packbits(several[x:y]))) for b, x, y in cut_by(key >> 32)]
+            several, key, size = doc[first] != doc[last], key[first], np.add.reduceat(size, first) if len(first) else size
+            rows = [(b, packed(key[x:y].astype(np.uint32), np.packbits(several[x:y]), size[x:y])) for b, x, y in cut_by(key >> 32)]
             if rows:
                 yield sent(["chunk", "bucket", "blob"], [chunk] * len(rows), *zip(*rows))
 
     return tell
 
 
-def _shared_anchors(batches):
-    """Of each bucket, which anchors of each chunk are found in several documents."""
-    for bucket, rows in groupby(rows_of(batches), key=lambda r: r[1]):
-        chunks, blobs = zip(*((r[0], r[2]) for r in rows))
-        told = [unpacked(b, "<u4", "u1") for b in blobs]
-        size = np.array([len(t[0]) for t in told])
-        _, own, times = np.unique(np.concatenate([t[0] for t in told]), return_inverse=True, return_counts=True)
-        several = times >= 2
-        several[own[np.concatenate([np.unpackbits(t[1], count=n) for t, n in zip(told, size)]).astype(bool)]] = True
-        shared = np.split(several[own], np.cumsum(size)[:-1])
-        yield sent(["chunk", "bucket", "blob"], chunks, [bucket] * len(chunks), [np.packbits(s).tobytes() for s in shared])
+def _shared_anchors(hot):
+    """Of each bucket, which anchors of each chunk are found in several documents: those of at most ``hot`` bytes of pieces, and the others."""
+
+    def shared_anchors(batches):
+        for bucket, rows in groupby(rows_of(batches), key=lambda r: r[1]):
+            chunks, blobs = zip(*((r[0], r[2]) for r in rows))
+            told = [unpacked(b, "<u4", "u1", "<i8") for b in blobs]
+            size = np.array([len(t[0]) for t in told])
+            order, begin, own = numbered(np.concatenate([t[0] for t in told]))
+            several = np.diff(np.append(begin, len(order))) >= 2
+            several[own[np.concatenate([np.unpackbits(t[1], count=n) for t, n in zip(told, size)]).astype(bool)]] = True
+            large = np.add.reduceat(np.concatenate([t[2] for t in told])[order], begin) > hot
+            cuts = np.cumsum(size)[:-1]
+            found = zip(np.split((several & ~large)[own], cuts), np.split((several & large)[own], cuts))
+            yield sent(["chunk", "bucket", "blob"], chunks, [bucket] * len(chunks), [packed(np.packbits(x), np.packbits(y)) for x, y in found])
+
+    return shared_anchors
+
+
+def runs_of(batches, buckets: int, large: int) -> Iterator[tuple]:
+    """Of each chunk (chunk, raw, ends, ids, and by run: begin, windows, anchor, document): the runs with shared anchors, large or not."""
+    for chunk, blob, replies in rows_of(batches):
+        told = {r["bucket"]: unpacked(r["blob"], "u1", "u1")[large] for r in replies}
+        if not any(t.any() for t in told.values()):
+            continue
+        raw, ends, ids = unpacked(blob, "u1", "<i8", "<i8")
+        begin, n, key = anchors(raw, ends, buckets)
+        order, first, own = numbered(key)
+        known = key[order[first]]
+        shared = np.zeros(len(known), bool)
+        for b, x, y in cut_by(known >> 32):
+            shared[x:y] = np.unpackbits(told[b], count=y - x)
+        some = np.flatnonzero(shared[own])
+        begin = begin[some]
+        yield chunk, raw, ends, ids, begin, n[some], key[some], np.searchsorted(ends, begin, side="right") - 1
+
+
+def _pieces(buckets):
+    """The runs of anchors that one part holds, by bucket: key, id, chunk, document, place and size of each, and their bytes."""
+
+    def told(held):
+        key, id, chunk, doc, at, size = (np.concatenate([h[k] for h in held]) for k in range(6))
+        raw, begin = np.concatenate([h[6] for h in held]), np.cumsum(size) - size
+        order = np.argsort(key)
+        rows = []
+        for b, x, y in cut_by(key[order] >> 32):
+            own = order[x:y]
+            z = size[own]
+            data = raw[np.arange(z.sum()) + np.repeat(begin[own] - (np.cumsum(z) - z), z)]
+            rows.append((b, packed((key[own] & 0xFFFFFFFF).astype("<u4"), id[own], chunk[own], doc[own], at[own], z, data)))
+        yield sent(["bucket", "blob"], *zip(*rows))
+
+    def pieces(batches):
+        held, most = [], 0
+        for chunk, raw, ends, ids, begin, n, key, doc in runs_of(batches, buckets, 0):
+            size = n + WINDOW - 1
+            ends_at = np.cumsum(size)
+            x = 0
+            while x < len(size):  # a long text is dealt in slices
+                y = max(x + 1, int(np.searchsorted(ends_at, (ends_at[x - 1] if x else 0) + DEALT, side="right")))
+                z, d = size[x:y], doc[x:y]
+                data = raw[np.arange(z.sum()) + np.repeat(begin[x:y] - (np.cumsum(z) - z), z)]
+                held.append((key[x:y], ids[d], np.full(y - x, chunk), d, begin[x:y] - ends[d], z, data))
+                most += len(data)
+                if most >= DEALT:
+                    yield from told(held)
+                    held, most = [], 0
+                x = y
+        if held:
+            yield from told(held)
+
+    return pieces
 
 
 def _regions(buckets):
-    """The parts of texts whose windows have shared anchors, each with its least anchor."""
+    """The parts of texts whose windows have anchors of more pieces than one part holds, each with its least anchor."""
 
     def regions(batches):
-        for chunk, blob, replies in rows_of(batches):
-            raw, ends, ids = unpacked(blob, "u1", "<i8", "<i8")
-            begin, n, key = anchors(raw, ends, buckets)
-            known, own = np.unique(key, return_inverse=True)
-            shared = np.zeros(len(known), bool)
-            told = {r["bucket"]: r["blob"] for r in replies}
-            for b, x, y in cut_by(known >> 32):
-                shared[x:y] = np.unpackbits(np.frombuffer(told[b], np.uint8), count=y - x)
-            some = np.flatnonzero(shared[own])
-            begin, n, key = begin[some], n[some], key[some]
-            doc = np.searchsorted(ends, begin, side="right") - 1
+        for chunk, raw, ends, ids, begin, n, key, doc in runs_of(batches, buckets, 1):
             # runs whose bytes touch are one region, up to half a part
             apart = np.append(True, (doc[1:] != doc[:-1]) | (begin[1:] > (begin + n)[:-1] + WINDOW - 1))[: len(begin)]
             head = np.maximum.accumulate(np.where(apart, np.arange(len(begin)), 0))
@@ -219,6 +279,7 @@ class Part:
 
     def __init__(self, raw, start, size, id, chunk, doc, at, names):
         self.raw, self.start, self.size, self.id, self.chunk, self.doc, self.at, self.names = raw, start, size, id, chunk, doc, at, names
+        self.dense = False  # whether names are the part's own ranks
         self.n = len(raw)
         padded = np.diff(np.append(start, self.n))
         self.region = np.repeat(np.arange(len(start)), padded)
@@ -231,6 +292,17 @@ class Part:
         size = np.array([len(r[5]) for r in rows], np.int64)
         return cls(np.frombuffer(b"".join(r[5].ljust(-(-len(r[5]) // 3) * 3, b"\0") for r in rows), np.uint8), np.cumsum(-(-size // 3) * 3) - (-(-size // 3) * 3), size, id, chunk, doc, at, np.zeros(0, np.int64))
 
+    @classmethod
+    def alone(cls, raw: np.ndarray, ends: np.ndarray, id: np.ndarray) -> Part:
+        """A part of pieces, of which only the least ids matter."""
+        size = np.diff(ends)
+        wide = -(-size // 3) * 3
+        start = np.cumsum(wide) - wide
+        laid = np.zeros(wide.sum(), np.uint8)
+        laid[np.arange(len(raw)) + np.repeat(start - ends[:-1], size)] = raw
+        none = np.zeros(0, np.int64)
+        return cls(laid, start, size, id, none, none, none, none)
+
     @classmethod
     def read(cls, blob: bytes) -> Part:
         return cls(*unpacked(blob, *PARTS))
@@ -243,6 +315,8 @@ class Part:
 
     def ranked(self) -> np.ndarray:
         """The part's own ranks of its names, which keep their order; at most as many as positions, so 21 bits hold one."""
+        if self.dense:
+            return self.names
         out, some = np.full(self.n + 64, -1), np.flatnonzero(self.names >= 0)
         out[some] = numbered(self.names[some])[2]
         return out
@@ -283,6 +357,70 @@ class Part:
         return [kind.astype(np.uint8), *bytes_, self.names[at + (kind == 0)], self.names[at + np.array([2, 1, 2])[kind]]]
 
 
+    def sorted_alone(self) -> np.ndarray:
+        """The least id of all that hold it, for each window in the order of places: the whole sort of a part that needs no other."""
+        for span in NAMES:
+            at, key = self.sample(span)
+            names = np.full(self.n + 64, -1)
+            names[at] = numbered(key)[2]
+            self.names, self.dense = names, True
+        at, key = self.windows()
+        by, begin, own = numbered(key)
+        least = np.minimum.reduceat(self.id[self.region[at]][by], begin)
+        return merged([*self.window_columns(at[by[begin]]), least])[own]
+
+
+def told_runs(chunk: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of windows that a document with a smaller id has, packed by chunk: document in it, place, number of windows."""
+    order = np.argsort(chunk, kind="stable")
+    rows = [(c, packed(*(v[order[x:y]] for v in (doc, at, n)))) for c, x, y in cut_by(chunk[order])]
+    if rows:
+        yield sent(["chunk", "blob"], *zip(*rows))
+
+
+def repeats(raw: np.ndarray, size: np.ndarray, id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pieces with all others of their anchors: runs of windows that a smaller id has, as piece, first window, windows."""
+    ends = np.append(0, np.cumsum(size)).astype(np.int32)
+    held = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+    own = held.indices.to_numpy()
+    least = np.full(len(held.dictionary), np.iinfo(np.int64).max)
+    np.minimum.at(least, own, id)
+    part = Part.alone(*text_bytes(held.dictionary), least)
+    found, windows = part.sorted_alone(), part.size - WINDOW + 1
+    at = np.cumsum(windows) - windows
+    some = np.flatnonzero(id > np.minimum.reduceat(found, at)[own])
+    n = windows[own[some]]
+    begin = np.cumsum(n) - n
+    smaller = found[np.arange(n.sum()) + np.repeat(at[own[some]] - begin, n)] < np.repeat(id[some], n)
+    edge = np.diff(np.concatenate(([0], smaller.astype(np.int8), [0])))
+    head = np.zeros(len(smaller) + 1, bool)
+    head[begin] = True
+    first = np.flatnonzero((edge > 0) | (head & np.append(smaller, False)))
+    last = np.flatnonzero((edge < 0) | (head & np.append(False, smaller)))  # a run ends where the next piece begins
+    piece = np.searchsorted(begin, first, side="right") - 1
+    return some[piece], first - begin[piece], last - first
+
+
+def _sort_alone(batches):
+    for _, rows in groupby(rows_of(batches), key=lambda r: r[0]):
+        key, id, chunk, doc, at, size, raw = (np.concatenate(c) for c in zip(*(unpacked(r[1], "<u4", "<i8", "<i8", "<i8", "<i8", "<i8", "u1") for r in rows)))
+        order = np.argsort(key)
+        key, begin, ends = key[order], np.cumsum(size) - size, np.cumsum(size[order])
+        heads = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        runs, x = [], 0
+        while x < len(key):
+            # whole anchors of about PART bytes
+            y = int(np.searchsorted(ends, (ends[x - 1] if x else 0) + PART, side="right"))
+            y = int(heads[np.searchsorted(heads, max(y, x + 1))])
+            own = order[x:y]
+            z = size[own]
+            piece, skip, n = repeats(raw[np.arange(z.sum()) + np.repeat(begin[own] - (np.cumsum(z) - z), z)], z, id[own])
+            own = own[piece]
+            runs.append((chunk[own], doc[own], at[own] + skip, n))
+            x = y
+        yield from told_runs(*(np.concatenate(c) for c in zip(*runs)))
+
+
 def _lay_out(batches):
     held, size, at = [], 0, TaskContext.get().partitionId() << 20
     rng = np.random.default_rng(at)
@@ -369,19 +507,22 @@ def ranks(columns: list[np.ndarray]) -> np.ndarray:
 
 def merged(columns: list[np.ndarray]) -> np.ndarray:
     """For each window the least id of all windows of a range that are equal to it."""
-    kind, b0, b1, b48, b49, name, more, who = columns
+    kind, who = columns[0], columns[-1]
+    b0, b1, b48, b49, name, more = (c.astype(U64) for c in columns[1:-1])  # names have at most 48 bits
+    shift = lambda x, k: x << U64(k)
     rest, sample = np.flatnonzero(kind == 0), np.flatnonzero(kind > 0)
-    sample = sample[np.lexsort((b49[sample], b48[sample], name[sample]))]
-    rest = rest[np.lexsort((b49[rest], name[rest], b0[rest]))]
+    whole, whole_rest = shift(name, 16) | shift(b48, 8) | b49, shift(b0, 56) | shift(name, 8) | b49
+    sample = sample[np.argsort(whole[sample])]
+    rest = rest[np.argsort(whole_rest[rest])]
     same = np.zeros(len(kind), bool)  # as the one before it in the merged order
-    same[sample] = ~fresh([c[sample] for c in (name, b48, b49)]) if len(sample) else False
-    same_rest = ~fresh([c[rest] for c in (b0, name, b49)]) if len(rest) else np.zeros(0, bool)
+    same[sample] = ~fresh([whole[sample]])
+    same_rest = ~fresh([whole_rest[rest]])
     place, place_rest = np.arange(len(sample)), np.arange(len(rest))
     equal = np.zeros(len(rest), bool)
-    for k, mine, its in ((1, (b0, name, b49), (b0, more, b49)), (2, (b0, b1, more), (b0, b1, more))):
+    two = shift(b0, 56) | shift(b1, 48) | more
+    for k, mine, its in ((1, whole_rest, shift(b0, 56) | shift(more, 8) | b49), (2, two, two)):
         at = np.flatnonzero(kind[sample] == k)
-        rank = ranks([np.concatenate([x[rest], y[sample[at]]]) for x, y in zip(mine, its)])
-        a, b = rank[: len(rest)], rank[len(rest) :]  # both ascend
+        a, b = mine[rest], its[sample[at]]  # both ascend
         upto = np.searchsorted(b, a, side="right")
         place_rest += upto
         equal |= (upto > 0) & (b[np.maximum(upto, 1) - 1] == a if len(b) else False)
@@ -427,8 +568,6 @@ def _take_names(span, splits):
 
 
 def _take_matches(splits):
-    """Runs of windows that a document with a smaller id has: chunk, document in it, place, number of windows."""
-
     def take(batches):
         for _, blob, replies in rows_of(batches):
             part = Part.read(blob)
@@ -437,8 +576,7 @@ def _take_matches(splits):
             region = part.region[at]
             begin = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (region[1:] != region[:-1]))[: len(at)])
             n, r = np.diff(np.append(begin, len(at))), region[begin]
-            if len(begin):
-                yield pa.RecordBatch.from_arrays([pa.array(part.chunk[r]), pa.array(part.doc[r]), pa.array(part.at[r] + at[begin] - part.start[r]), pa.array(n)], ["chunk", "doc", "at", "n"])
+            yield from told_runs(part.chunk[r], part.doc[r], part.at[r] + at[begin] - part.start[r], n)
 
     return take
 
@@ -447,28 +585,33 @@ def _keep(with_bytes):
     def keep(batches):
         for _, blob, runs in rows_of(batches):
             raw, ends, ids = unpacked(blob, "u1", "<i8", "<i8")
+            doc, at, n = (np.concatenate(c) for c in zip(*(unpacked(r, "<i8", "<i8", "<i8") for r in runs)))
+            at = at + ends[doc]
+            change = np.zeros(len(raw) + 1, np.int32)
+            np.add.at(change, at, 1)
+            np.add.at(change, at + n + WINDOW - 1, -1)
+            gone = np.cumsum(change) > 0  # runs end within their texts
             rows = []
-            for d, own in groupby(sorted(runs, key=lambda r: (r["doc"], r["at"])), key=lambda r: r["doc"]):
-                text = raw[ends[d] : ends[d + 1]]
-                change = np.zeros(len(text) + 1, np.int64)
-                for r in own:
-                    change[r["at"]] += 1
-                    change[r["at"] + r["n"] + WINDOW - 1] -= 1
-                gone = np.append(np.cumsum(change[:-1]) > 0, False)
-                edge = np.flatnonzero(gone != np.append(False, gone[:-1]))
-                kept = text[~gone[:-1]].tobytes()
+            for d in np.unique(doc).tolist():
+                text, own = raw[ends[d] : ends[d + 1]], gone[ends[d] : ends[d + 1]]
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
+                kept = text[~own].tobytes()
                 spans = [{"at": a, "n": b - a} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-                rows.append((int(ids[d]), sha256(text.tobytes()).digest(), int(gone.sum()), spans, sha256(kept).digest(), kept if with_bytes else None))
+                rows.append((int(ids[d]), sha256(text.tobytes()).digest(), int(own.sum()), spans, sha256(kept).digest(), kept if with_bytes else None))
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())])), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["id", "mark", "n_removed", "spans", "kept_mark", "kept"])
 
     return keep
 
 
-def exchange(asks: DataFrame, answer: Callable) -> DataFrame:
-    """What each range, or bucket, says to the rows sent to it: (chunk, replies)."""
+def exchange(asks: DataFrame, answer: Callable, save: Callable) -> DataFrame:
+    """What each range, or bucket, says to the rows sent to it: (chunk, bucket, blob). It is written, so that what was sent can go."""
     dealt = asks.repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    return dealt.mapInArrow(answer, "chunk long, bucket int, blob binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("replies"))
+    return save(dealt.mapInArrow(answer, "chunk long, bucket int, blob binary"), "answers")
+
+
+def by_chunk(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("replies"))
 
 
 class Sort:
@@ -490,18 +633,23 @@ class Sort:
         finally:
             conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
-    def regions(self, first: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-        """(chunks of the leading texts, their regions with shared anchors)."""
-        save = self.scratch.save
+    def found(self, first: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+        """(chunks of the leading texts, runs of windows that stand in a document with a smaller id)."""
+        save, drop = self.scratch.save, self.scratch.drop
         leading = self.docs.where(F.octet_length("text") >= WINDOW).join(first.select("mark", F.col("first").alias("id")), ["mark", "id"], "left_semi")
         chunks = save(leading.select("id", "text").mapInArrow(_chunks, "chunk long, blob binary"), "chunks")
         buckets = min(max(1, total >> 24), MOST_RANGES)
-        replies = exchange(chunks.mapInArrow(_tell_anchors(buckets), "chunk long, bucket int, blob binary"), _shared_anchors)
-        # a chunk without a window has no replies, and no regions
-        return chunks, save(chunks.join(replies, "chunk").mapInArrow(_regions(buckets), "key long, id long, chunk long, doc long, at long, data binary"), "regions")
+        answers = exchange(chunks.mapInArrow(_tell_anchors(buckets), "chunk long, bucket int, blob binary"), _shared_anchors(HOT), save)
+        # a chunk without a window has no replies, and no pieces
+        asked = chunks.join(by_chunk(answers), "chunk")
+        dealt = asked.mapInArrow(_pieces(buckets), "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+        alone = save(dealt.mapInArrow(_sort_alone, "chunk long, blob binary"), "alone")
+        regions = save(asked.mapInArrow(_regions(buckets), "key long, id long, chunk long, doc long, at long, data binary"), "regions")
+        drop(answers)
+        return chunks, alone if regions.isEmpty() else alone.unionByName(self.matches(regions))
 
     def matches(self, regions: DataFrame) -> DataFrame:
-        """(chunk, doc, at, n): runs of windows that stand in a document with a smaller id."""
+        """(chunk, blob): runs of windows of regions that stand in a document with a smaller id."""
         save, drop = self.scratch.save, self.scratch.drop
         dealt = regions.repartitionByRange("key", "id").sortWithinPartitions("key", "id", "at")
         parts = save(dealt.mapInArrow(_lay_out, "chunk long, n long, sample array<binary>, blob binary"), "parts")
@@ -516,14 +664,15 @@ class Sort:
         schema = "chunk long, bucket int, blob binary"
         path = parts
         for span in NAMES:
-            replies = exchange(parts.mapInArrow(_ask(span, splits), schema), _answer(span, ranks))
-            parts = save(parts.join(replies, "chunk", "left").mapInArrow(_take_names(span, splits), "chunk long, blob binary"), f"names{span}")
+            answers = exchange(parts.mapInArrow(_ask(span, splits), schema), _answer(span, ranks), save)
+            parts = save(parts.join(by_chunk(answers), "chunk", "left").mapInArrow(_take_names(span, splits), "chunk long, blob binary"), f"names{span}")
+            drop(answers)
             if span > 9:
                 drop(path)
             path = parts
-        replies = exchange(parts.mapInArrow(_ask(WINDOW, splits), schema), _answer(WINDOW, merged))
-        found = save(parts.join(replies, "chunk").mapInArrow(_take_matches(splits), "chunk long, doc long, at long, n long"), "matches")
-        drop(parts)
+        answers = exchange(parts.mapInArrow(_ask(WINDOW, splits), schema), _answer(WINDOW, merged), save)
+        found = save(parts.join(by_chunk(answers), "chunk").mapInArrow(_take_matches(splits), "chunk long, blob binary"), "matches")
+        drop(parts, answers)
         return found
 
     def run(self, with_bytes: bool) -> tuple[DataFrame, DataFrame]:
@@ -536,8 +685,8 @@ class Sort:
         first = facts.where("id is not null").groupBy("mark").agg(F.min("id").alias("first"), F.max("n_bytes").alias("size"))
         total = first.agg(F.sum("size")).first()[0] or 0
         rows = facts.join(first.drop("size"), "mark", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= WINDOW))
-        chunks, regions = self.regions(first, total)
-        runs = self.matches(regions).groupBy("chunk").agg(F.collect_list(F.struct("doc", "at", "n")).alias("runs"))
+        chunks, found = self.found(first, total)
+        runs = found.groupBy("chunk").agg(F.collect_list("blob").alias("runs"))
         changed = chunks.join(runs, "chunk").mapInArrow(_keep(with_bytes), "id long, mark binary, n_removed long, spans array<struct<at:long,n:long>>, kept_mark binary, kept binary")
         return rows, self.scratch.save(changed.dropDuplicates(["id", "mark"]), "changed")
 
